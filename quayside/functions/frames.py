@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def union_all(frames: Iterable[DataFrame], fill: bool = False) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=fill), frames)
+    """Union by name, in halves: a chain would analyse its growing plan again for every frame."""
+    frames = list(frames)
+    while len(frames) > 1:
+        pairs = [frames[i : i + 2] for i in range(0, len(frames), 2)]
+        frames = [p[0].unionByName(p[1], allowMissingColumns=fill) if len(p) == 2 else p[0] for p in pairs]
+    return frames[0]
 
 
 def fold(frames: Sequence[DataFrame], keys: Sequence[str] = ()) -> DataFrame:

@@ -127,19 +127,13 @@ def delay_rate_monthly(line_fact: DataFrame) -> DataFrame:
     }).select(*GOLD["agg_delay_rate_monthly"])
 
 
-def gold_facts(lineitem: DataFrame, orders: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "fct_lineitem_delivery": line_delivery(lineitem, orders),
-        "fct_order_fulfillment": order_fulfillment(lineitem, orders),
-    }
-
-
-def gold_aggregates(line_fact: DataFrame, order_fact: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "agg_ship_mode_performance": ship_mode_performance(line_fact),
-        "agg_on_time_summary": on_time_summary(order_fact, line_fact),
-        "agg_on_time_by_line_count": on_time_by_line_count(order_fact),
-        "agg_priority_fulfillment": priority_fulfillment(order_fact, line_fact),
-        "agg_urgency_fulfillment": urgency_fulfillment(order_fact, line_fact),
-        "agg_delay_rate_monthly": delay_rate_monthly(line_fact),
-    }
+# What each Gold table is built from: facts from (lineitem, orders), aggregates from the two facts.
+FACT_BUILDERS = {"fct_lineitem_delivery": line_delivery, "fct_order_fulfillment": order_fulfillment}
+AGGREGATE_BUILDERS = {
+    "agg_ship_mode_performance": lambda line_fact, order_fact: ship_mode_performance(line_fact),
+    "agg_on_time_summary": lambda line_fact, order_fact: on_time_summary(order_fact, line_fact),
+    "agg_on_time_by_line_count": lambda line_fact, order_fact: on_time_by_line_count(order_fact),
+    "agg_priority_fulfillment": lambda line_fact, order_fact: priority_fulfillment(order_fact, line_fact),
+    "agg_urgency_fulfillment": lambda line_fact, order_fact: urgency_fulfillment(order_fact, line_fact),
+    "agg_delay_rate_monthly": lambda line_fact, order_fact: delay_rate_monthly(line_fact),
+}

@@ -24,7 +24,7 @@ def conform(df: DataFrame, contract: TableContract) -> DataFrame:
 
     A value that does not fit its type raises instead of turning into NULL (ANSI mode).
     """
-    return df.select(*[F.col(name).cast(type_name).alias(name) for name, type_name in contract.columns])
+    return df.selectExpr(*[f"CAST({name} AS {type_name}) AS {name}" for name, type_name in contract.columns])
 
 
 def decompose(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT_PREFIX, SOURCE_TABLES, Layout, new_run_id
 from ..contracts import DQ_RESULTS_SCHEMA, FACTS, GOLD, GOLD_RULES, RUNS_SCHEMA, SILVER, VALIDATE_RULES
-from ..operators.aggregates import gold_aggregates, gold_facts
+from ..operators.aggregates import AGGREGATE_BUILDERS, FACT_BUILDERS
 from ..operators.gate import audit_rows, for_run, raise_if_failed
 from ..operators.layers import bronze, staged_tables
 from ..operators.ledger import ledger_event
@@ -109,12 +109,12 @@ def build_gold(run: Execution) -> None:
     lineitem, orders = store.read("silver", "lineitem"), store.read("silver", "orders")
     written: dict[str, str] = {}
     try:
-        for name, df in gold_facts(lineitem, orders).items():
-            written[name] = store.write_new(df, "gold", name)
+        for name, build in FACT_BUILDERS.items():
+            written[name] = store.write_new(build(lineitem, orders), "gold", name)
         line_fact, order_fact = (spark.table(written[f]) for f in FACTS)
-        for name, df in gold_aggregates(line_fact, order_fact).items():
+        for name, build in AGGREGATE_BUILDERS.items():
             # a handful of result rows each
-            written[name] = store.write_new(df.coalesce(1), "gold", name)
+            written[name] = store.write_new(build(line_fact, order_fact).coalesce(1), "gold", name)
         require_ok(gold_report({t: spark.table(written[t]) for t in GOLD}), "columns_match_contract")
         run.append_results(gold_count_rules(lineitem, orders, line_fact, order_fact))
         raise_if_failed(run.audit(), run.run_id, GOLD_RULES)

@@ -8,17 +8,17 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import FOREIGN_KEYS, SILVER, VALIDATE_RULES
+from ..contracts import FACTS, FOREIGN_KEYS, GOLD, SILVER, VALIDATE_RULES
 from ..functions.frames import union_all
 from ..operators import profiling, rules
-from ..operators.aggregates import gold_aggregates, gold_facts
+from ..operators.aggregates import AGGREGATE_BUILDERS, FACT_BUILDERS
 from ..operators.diff import bag_diff, layer_diff
 from ..operators.gate import audit_rows, for_run, gate_verdict, run_ids
 from ..operators.layers import bronze, inject_receipt_before_ship, staged, staged_tables
 from ..operators.ledger import last_events, latest_run_state, run_states
 from ..operators.reports import bronze_report, enforced_violations, gold_report, silver_report, staging_report
 from ..sources.fixtures import raw, source_table, source_tables
-from .analysis import answer_tables
+from .analysis import ANSWERS
 
 Query = Callable[[SparkSession, str], DataFrame]
 RUN_TS = datetime(2026, 10, 7, tzinfo=timezone.utc)
@@ -31,6 +31,21 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in doubles}) if doubles else df
 
 
+class Gold(dict):
+    """Gold tables, each planned when it is first asked for."""
+
+    def __init__(self, lineitem: DataFrame, orders: DataFrame):
+        super().__init__()
+        self.silver = (lineitem, orders)
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name in FACT_BUILDERS:
+            self[name] = FACT_BUILDERS[name](*self.silver)
+        else:
+            self[name] = AGGREGATE_BUILDERS[name](*(self[f] for f in FACTS))
+        return self[name]
+
+
 class Inputs:
     """Lazily built relations of one test data folder."""
 
@@ -49,12 +64,8 @@ class Inputs:
     def staging(self, dirty: bool = False) -> dict[str, DataFrame]:
         return staged_tables(self.sources(dirty))
 
-    def facts(self) -> dict[str, DataFrame]:
-        return gold_facts(self.staged("lineitem"), self.staged("orders"))
-
-    def gold(self) -> dict[str, DataFrame]:
-        facts = self.facts()
-        return facts | gold_aggregates(facts["fct_lineitem_delivery"], facts["fct_order_fulfillment"])
+    def gold(self, dirty: bool = False) -> Gold:
+        return Gold(self.staged("lineitem", dirty), self.staged("orders", dirty))
 
     def ledger(self) -> DataFrame:
         """The event stream read as a ledger: one run per user, signup starts it, purchase ends it."""
@@ -133,9 +144,8 @@ def _validation() -> dict[str, Query]:
         return union_all(rules.record(p) for p in pairs)
 
     def gold_counts(x):
-        lineitem, orders = x.staged("lineitem", True), x.staged("orders", True)
-        facts = gold_facts(lineitem, orders)
-        return rules.gold_count_rules(lineitem, orders, facts["fct_lineitem_delivery"], facts["fct_order_fulfillment"])
+        gold = x.gold(True)
+        return rules.gold_count_rules(*gold.silver, *(gold[f] for f in FACTS))
 
     made = {
         "dq_l1_dirty": lambda x: rules.record(joined(x), "DQ-L1"),
@@ -163,21 +173,13 @@ def _validation() -> dict[str, Query]:
 
 
 def _gold() -> dict[str, Query]:
-    names = (
-        "fct_lineitem_delivery", "fct_order_fulfillment", "agg_ship_mode_performance", "agg_on_time_summary",
-        "agg_on_time_by_line_count", "agg_priority_fulfillment", "agg_urgency_fulfillment", "agg_delay_rate_monthly",
-    )
-    made = {name: lambda x, name=name: x.gold()[name] for name in names}
+    made = {name: lambda x, name=name: x.gold()[name] for name in GOLD}
     made["gold_report"] = lambda x: gold_report(x.gold())
     return {name: _relation(f) for name, f in made.items()}
 
 
 def _answers() -> dict[str, Query]:
-    names = (
-        "q1_ship_mode", "q1_fastest", "q1_most_predictable", "q2_gap", "q2_by_size", "q3_delay_rate", "q3_worst",
-        "q4_urgency", "q4_priority", "q4_verdict", "monitor_months", "monitor_summary", "answers_text",
-    )
-    return {name: _relation(lambda x, name=name: answer_tables(x.gold())[name]) for name in names}
+    return {name: _relation(lambda x, answer=answer: answer(x.gold())) for name, answer in ANSWERS.items()}
 
 
 def _profile() -> dict[str, Query]:

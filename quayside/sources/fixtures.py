@@ -6,77 +6,89 @@ come from the row's own keys, so two engines get the same tables. FIXTURES.md ha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..config import SHIP_MODES, SOURCE_TABLES
-from .readers import ParquetSource
 
-MONEY = "decimal(18,2)"
-CUTOFF = "1998-06-17"  # ship dates after it are open, receipts after it cannot be returned yet
+# Schemas of the test tables. Giving them spares a job that reads footers before each query.
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    ),
+}
+CUTOFF = "DATE '1998-06-17'"  # ship dates after it are open, receipts after it cannot be returned yet
 
 
 def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return ParquetSource(sf_dir).read(spark, table)
+    return spark.read.schema(RAW[table]).parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def _mix(order: int, line: int, part: int, supp: int, modulo: int) -> Column:
-    return (
-        F.col("l_orderkey") * order + F.col("l_linenumber") * line + F.col("l_partkey") * part + F.col("l_suppkey") * supp
-    ) % modulo
-
+def _money(column: str) -> str:
+    return f"CAST({column} AS DECIMAL(18,2)) AS {column}"
 
-def _later(date: Column, days: Column) -> Column:
-    return F.date_add(date, days.cast("int"))
 
-
-def _pick(code: Column, values: tuple[str, ...]) -> Column:
-    """The value at position ``code``; NULL past the end."""
-    return F.get(F.array(*[F.lit(v) for v in values]), code.cast("int"))
+def _mix(order: int, line: int, part: int, supp: int, modulo: int) -> str:
+    return f"((l_orderkey * {order} + l_linenumber * {line} + l_partkey * {part} + l_suppkey * {supp}) % {modulo})"
 
 
-def _phone(nation: str, key: str) -> Column:
-    return F.concat_ws("-", (F.col(nation) + 10).cast("string"), F.col(key).cast("string"))
+def _later(date: str, days: str) -> str:
+    return f"date_add({date}, CAST({days} AS INT))"
 
 
-def _empty(name: str) -> Column:
-    return F.lit("").alias(name)
+def _pick(code: str, values: tuple[str, ...]) -> str:
+    """The value at position ``code``; NULL past the end."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"get(array({listed}), CAST({code} AS INT))"
 
 
 def region(spark, sf_dir, dirty=False):
-    return raw(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint"), "r_name", _empty("r_comment"))
+    return raw(spark, sf_dir, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS r_regionkey", "r_name", "'' AS r_comment")
 
 
 def nation(spark, sf_dir, dirty=False):
-    return raw(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("bigint"), "n_name", F.col("n_regionkey").cast("bigint"), _empty("n_comment")
+    return raw(spark, sf_dir, "nation").selectExpr(
+        "CAST(n_nationkey AS BIGINT) AS n_nationkey", "n_name", "CAST(n_regionkey AS BIGINT) AS n_regionkey",
+        "'' AS n_comment",
     )
 
 
 def supplier(spark, sf_dir, dirty=False):
-    return raw(spark, sf_dir, "supplier").select(
-        "s_suppkey", "s_name", _empty("s_address"), F.col("s_nationkey").cast("bigint"),
-        _phone("s_nationkey", "s_suppkey").alias("s_phone"), F.col("s_acctbal").cast(MONEY), _empty("s_comment"),
+    return raw(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey", "s_name", "'' AS s_address", "CAST(s_nationkey AS BIGINT) AS s_nationkey",
+        "concat_ws('-', s_nationkey + 10, s_suppkey) AS s_phone", _money("s_acctbal"), "'' AS s_comment",
     )
 
 
 def customer(spark, sf_dir, dirty=False):
-    return raw(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", _empty("c_address"), F.col("c_nationkey").cast("bigint"),
-        _phone("c_nationkey", "c_custkey").alias("c_phone"), F.col("c_acctbal").cast(MONEY), "c_mktsegment",
-        _empty("c_comment"),
+    return raw(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", "c_name", "'' AS c_address", "CAST(c_nationkey AS BIGINT) AS c_nationkey",
+        "concat_ws('-', c_nationkey + 10, c_custkey) AS c_phone", _money("c_acctbal"), "c_mktsegment",
+        "'' AS c_comment",
     )
 
 
 def part(spark, sf_dir, dirty=False):
-    maker = F.concat(F.lit("Manufacturer#"), F.substring("p_brand", 7, 1))
-    brand = F.col("p_brand")
+    maker, brand = "concat('Manufacturer#', substring(p_brand, 7, 1))", "p_brand"
     if dirty:
-        maker = F.when(F.col("p_partkey") % 53 == 0, "Manufacturer#X").otherwise(maker)
-        brand = F.when(F.col("p_partkey") % 157 != 0, brand)
-    return raw(spark, sf_dir, "part").select(
-        "p_partkey", "p_name", maker.alias("p_mfgr"), brand.alias("p_brand"), "p_type", F.col("p_size").cast("int"),
-        F.lit("BOX").alias("p_container"), F.col("p_retailprice").cast(MONEY), _empty("p_comment"),
+        maker = f"CASE WHEN p_partkey % 53 = 0 THEN 'Manufacturer#X' ELSE {maker} END"
+        brand = "CASE WHEN p_partkey % 157 <> 0 THEN p_brand END AS p_brand"
+    return raw(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "p_name", f"{maker} AS p_mfgr", brand, "p_type", "p_size", "'BOX' AS p_container",
+        _money("p_retailprice"), "'' AS p_comment",
     )
 
 
@@ -86,59 +98,58 @@ def _merged_lines(spark, sf_dir):
     Equal keys are summed up in a hash aggregate. Numbering the rows of an order in a window would
     put a whole order into one task.
     """
+    lines = raw(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _money("l_quantity"), "l_discount", "l_tax"
+    )
     return (
-        raw(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(
-            F.min("l_partkey").alias("l_partkey"),
-            F.min("l_suppkey").alias("l_suppkey"),
-            F.sum(F.col("l_quantity").cast(MONEY)).cast(MONEY).alias("l_quantity"),
-            F.max("l_discount").cast(MONEY).alias("l_discount"),
-            F.max("l_tax").cast(MONEY).alias("l_tax"),
+        lines.groupBy("l_orderkey", "l_linenumber")
+        .agg({"l_partkey": "min", "l_suppkey": "min", "l_quantity": "sum", "l_discount": "max", "l_tax": "max"})
+        .selectExpr(
+            "l_orderkey", "l_linenumber", "`min(l_partkey)` AS l_partkey", "`min(l_suppkey)` AS l_suppkey",
+            "CAST(`sum(l_quantity)` AS DECIMAL(18,2)) AS l_quantity",
+            "CAST(`max(l_discount)` AS DECIMAL(18,2)) AS l_discount",
+            "CAST(`max(l_tax)` AS DECIMAL(18,2)) AS l_tax",
         )
     )
 
 
 def _clean_lineitem(spark, sf_dir):
-    ordered = raw(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("ordered"))
-    prices = raw(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast(MONEY).alias("price"))
+    ordered = raw(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "CAST(o_orderdate AS DATE) AS ordered")
+    prices = raw(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", "CAST(p_retailprice AS DECIMAL(18,2)) AS price")
     dated = (
-        _merged_lines(spark, sf_dir)
-        .join(ordered, F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(prices, F.col("p_partkey") == F.col("l_partkey"))
-        .withColumns({
-            "l_shipdate": _later(F.col("ordered"), 1 + _mix(7919, 10007, 31, 11, 121)),
-            "l_commitdate": _later(F.col("ordered"), 30 + _mix(6151, 4931, 7, 97, 61)),
-            "l_shipmode": _pick(_mix(3, 5, 1, 0, 7), SHIP_MODES),
-        })
-        .withColumn("l_receiptdate", _later(F.col("l_shipdate"), 1 + _mix(1543, 1229, 53, 389, 30)))
+        _merged_lines(spark, sf_dir).join(ordered, "l_orderkey").join(prices, "l_partkey")
+        .selectExpr(
+            "*",
+            f"{_later('ordered', f'1 + {_mix(7919, 10007, 31, 11, 121)}')} AS l_shipdate",
+            f"{_later('ordered', f'30 + {_mix(6151, 4931, 7, 97, 61)}')} AS l_commitdate",
+            f"{_later('l_shipdate', f'1 + {_mix(1543, 1229, 53, 389, 30)}')} AS l_receiptdate",
+            f"{_pick(_mix(3, 5, 1, 0, 7), SHIP_MODES)} AS l_shipmode",
+        )
     )
-    cutoff = F.lit(CUTOFF).cast("date")
-    returned = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 2 == 0, "R").otherwise("A")
-    return dated.select(
+    return dated.selectExpr(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        (F.col("l_quantity") * F.col("price")).cast(MONEY).alias("l_extendedprice"),
-        "l_discount", "l_tax",
-        F.when(F.col("l_receiptdate") > cutoff, "N").otherwise(returned).alias("l_returnflag"),
-        F.when(F.col("l_shipdate") > cutoff, "O").otherwise("F").alias("l_linestatus"),
-        "l_shipdate", "l_commitdate", "l_receiptdate", F.lit("NONE").alias("l_shipinstruct"), "l_shipmode",
-        _empty("l_comment"),
+        "CAST(l_quantity * price AS DECIMAL(18,2)) AS l_extendedprice", "l_discount", "l_tax",
+        f"CASE WHEN l_receiptdate > {CUTOFF} THEN 'N' WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN 'R' ELSE 'A' END"
+        " AS l_returnflag",
+        f"CASE WHEN l_shipdate > {CUTOFF} THEN 'O' ELSE 'F' END AS l_linestatus",
+        "l_shipdate", "l_commitdate", "l_receiptdate", "'NONE' AS l_shipinstruct", "l_shipmode", "'' AS l_comment",
     )
 
 
 def _dirty_lineitem(spark, sf_dir):
-    shipped = F.col("l_shipdate").cast("date")
-    return raw(spark, sf_dir, "lineitem").select(
+    shipped = "CAST(l_shipdate AS DATE)"
+    committed = _later(shipped, f"{_mix(6151, 4931, 7, 97, 61)} - 30")
+    return raw(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-        *[F.col(c).cast(MONEY) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
-        F.when(_mix(11, 7, 3, 5, 89) == 0, "X").otherwise(F.col("l_returnflag")).alias("l_returnflag"),
-        F.when(_mix(13, 7, 3, 5, 83) != 0, F.col("l_linestatus")).alias("l_linestatus"),
-        shipped.alias("l_shipdate"),
-        F.when(_mix(17, 3, 5, 7, 97) != 0, _later(shipped, _mix(6151, 4931, 7, 97, 61) - 30)).alias("l_commitdate"),
-        _later(shipped, _mix(1543, 1229, 53, 389, 32) - 1).alias("l_receiptdate"),
-        F.lit("NONE").alias("l_shipinstruct"),
-        _pick(_mix(3, 5, 1, 0, 9), (*SHIP_MODES, "DRONE")).alias("l_shipmode"),
-        _empty("l_comment"),
+        *[_money(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
+        f"CASE WHEN {_mix(11, 7, 3, 5, 89)} = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag",
+        f"CASE WHEN {_mix(13, 7, 3, 5, 83)} <> 0 THEN l_linestatus END AS l_linestatus",
+        f"{shipped} AS l_shipdate",
+        f"CASE WHEN {_mix(17, 3, 5, 7, 97)} <> 0 THEN {committed} END AS l_commitdate",
+        f"{_later(shipped, f'{_mix(1543, 1229, 53, 389, 32)} - 1')} AS l_receiptdate",
+        "'NONE' AS l_shipinstruct",
+        f"{_pick(_mix(3, 5, 1, 0, 9), (*SHIP_MODES, 'DRONE'))} AS l_shipmode",
+        "'' AS l_comment",
     )
 
 
@@ -148,33 +159,29 @@ def lineitem(spark, sf_dir, dirty=False):
 
 def orders(spark, sf_dir, dirty=False):
     source = raw(spark, sf_dir, "orders")
-    key, date = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    key, date = "o_orderkey", "CAST(o_orderdate AS DATE) AS o_orderdate"
     if dirty:
         # some orders move to a key no line refers to: their lines become orphans, they lose their lines
-        moved = F.when(key % 101 == 0, -1 - key).otherwise(key)
-        key, date = moved, F.when(key % 211 != 0, date)
+        key = "CASE WHEN o_orderkey % 101 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS o_orderkey"
+        date = "CASE WHEN o_orderkey % 211 <> 0 THEN CAST(o_orderdate AS DATE) END AS o_orderdate"
     else:
-        used = raw(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
-        source = source.join(used, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-    return source.select(
-        key.alias("o_orderkey"), "o_custkey", "o_orderstatus", F.col("o_totalprice").cast(MONEY),
-        date.alias("o_orderdate"), "o_orderpriority", _empty("o_clerk"), F.lit(0).alias("o_shippriority"),
-        _empty("o_comment"),
+        used = raw(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o_orderkey").distinct()
+        source = source.join(used, "o_orderkey", "left_semi")
+    return source.selectExpr(
+        key, "o_custkey", "o_orderstatus", _money("o_totalprice"), date, "o_orderpriority", "'' AS o_clerk",
+        "0 AS o_shippriority", "'' AS o_comment",
     )
 
 
 def partsupp(spark, sf_dir, dirty=False):
     lines = raw(spark, sf_dir, "lineitem") if dirty else _merged_lines(spark, sf_dir)
-    supplier_key = F.col("l_suppkey")
-    if dirty:
-        supplier_key = F.when(F.col("l_partkey") % 13 == 0, -1 - supplier_key).otherwise(supplier_key)
+    supplier_key = "CASE WHEN l_partkey % 13 = 0 THEN -1 - l_suppkey ELSE l_suppkey END" if dirty else "l_suppkey"
     return (
         lines.select("l_partkey", "l_suppkey").distinct()
-        .select(
-            F.col("l_partkey").alias("ps_partkey"), supplier_key.alias("ps_suppkey"),
-            ((F.col("l_partkey") + F.col("l_suppkey")) % 1000).cast("int").alias("ps_availqty"),
-            ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 1000).cast(MONEY).alias("ps_supplycost"),
-            _empty("ps_comment"),
+        .selectExpr(
+            "l_partkey AS ps_partkey", f"{supplier_key} AS ps_suppkey",
+            "CAST((l_partkey + l_suppkey) % 1000 AS INT) AS ps_availqty",
+            "CAST((l_partkey * 7 + l_suppkey) % 1000 AS DECIMAL(18,2)) AS ps_supplycost", "'' AS ps_comment",
         )
     )
 
