@@ -68,7 +68,8 @@ class Store:
         for table, written in pending.items():
             full = self.name(layer, table)
             self.spark.sql(f"DROP TABLE IF EXISTS {full}")
-            self.spark.sql(f"ALTER TABLE {written} RENAME TO {full}")
+            inside_catalog = full.partition(".")[2]  # the new name may not repeat the catalog
+            self.spark.sql(f"ALTER TABLE {written} RENAME TO {inside_catalog}")
             for key, value in (properties or {}).get(table, {}).items():
                 text = value.replace("\\", "\\\\").replace("'", "\\'")
                 self.spark.sql(f"ALTER TABLE {full} SET TBLPROPERTIES ('{key}' = '{text}')")
