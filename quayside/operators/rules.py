@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LINE_STATUSES, RETURN_FLAGS, SHIP_MODES, SOURCE_TABLES
-from ..contracts import FOREIGN_KEYS, SILVER, ForeignKey
+from ..contracts import FOREIGN_KEYS, SILVER
 from ..functions.frames import fold, row_counts, union_all
 from ..functions.predicates import any_null, outside_allowed
 
@@ -63,7 +63,7 @@ def line_rules(lineitem: DataFrame) -> RuleFrame:
 
 
 def line_order_rules(lineitem: DataFrame, orders: DataFrame) -> RuleFrame:
-    """DQ-L1, L3, L8 and the line-to-order reference, from one join.
+    """DQ-L1, L3 and L8, from one join.
 
     Orders are first counted per key and date. A repeated order then meets each of its lines once,
     with its count as weight, instead of multiplying them. The line side is never regrouped: it
@@ -72,12 +72,10 @@ def line_order_rules(lineitem: DataFrame, orders: DataFrame) -> RuleFrame:
     dated = orders.groupBy("o_orderkey", "o_orderdate").agg(F.count(F.lit(1)).alias("copies"))
     lines = lineitem.select(*LINE_KEY, "l_shipdate", "l_commitdate")
     joined = lines.join(dated, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    orphan = F.col("o_orderkey").isNull()
     return RuleFrame(joined, (
         Rule("DQ-L1", "lineitem", F.col("l_shipdate") < F.col("o_orderdate"), LINE_KEY, F.col("copies")),
         Rule("DQ-L3", "lineitem", F.col("l_commitdate") < F.col("o_orderdate"), LINE_KEY, F.col("copies")),
-        Rule("DQ-L8", "lineitem", orphan, LINE_KEY),
-        Rule("DQ-G2", "lineitem.lineitem_orders_fk", orphan, ("l_orderkey",)),
+        Rule("DQ-L8", "lineitem", F.col("o_orderkey").isNull(), LINE_KEY),
     ))
 
 
@@ -92,51 +90,49 @@ def status_rules(ship_date_status: DataFrame) -> RuleFrame:
     return RuleFrame(ship_date_status, (Rule("DQ-L7", "ship_date_status", allowed, ("l_shipdate",)),))
 
 
-def empty_order_rules(orders: DataFrame, lineitem: DataFrame) -> RuleFrame:
-    """DQ-L9: an order without lines. Line keys are made distinct before they are compared."""
-    used = lineitem.select("l_orderkey").distinct()
-    alone = orders.join(used, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
-    return RuleFrame(alone, (Rule("DQ-L9", "orders", F.lit(True), ("o_orderkey",)),))
+def key_rules(table: str, tables: Mapping[str, DataFrame]) -> RuleFrame:
+    """Everything asked of one primary key: DQ-G1, each DQ-G2 reference to it, and DQ-L9 on orders.
 
+    DQ-G1: a NULL key counts per row, a repeated key (NULL ones too) counts once more per value.
+    DQ-G2: child rows whose reference has no parent row, NULL references included.
+    DQ-L9: orders no line refers to.
 
-def key_rules(table: str, df: DataFrame) -> RuleFrame:
-    """DQ-G1: a NULL key counts per row, a repeated key (NULL ones too) counts once more per value."""
-    keys = SILVER[table].primary_key
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    missing, repeated = any_null(keys), F.col("copies") > 1
-    weight = F.when(missing, F.col("copies")).otherwise(0) + F.when(repeated, 1).otherwise(0)
-    return RuleFrame(groups, (Rule("DQ-G1", table, missing | repeated, keys, weight),))
-
-
-def reference_rules(fk: ForeignKey, child: DataFrame, parent: DataFrame) -> RuleFrame:
-    """DQ-G2: child rows without a parent, NULL references included.
-
-    Both sides shrink to one row per key value first, so a hot value is one row in the anti join.
+    Parent keys and the children's references are stacked and counted per value. That is one hash
+    aggregation that sums up in the tasks first: each table's key goes through one shuffle for all
+    these rules, nothing is sorted or joined, and a hot value arrives as one row per task.
     """
-    used = child.groupBy(*fk.child_columns).agg(F.count(F.lit(1)).alias("copies"))
-    parents = parent.select(*[F.col(c).alias(f"parent_{c}") for c in fk.parent_columns]).distinct()
-    match = [F.col(c) == F.col(f"parent_{p}") for c, p in zip(fk.child_columns, fk.parent_columns)]
-    orphans = used.join(parents, match, "left_anti")
-    return RuleFrame(orphans, (
-        Rule("DQ-G2", f"{fk.child}.{fk.name}", F.lit(True), fk.child_columns, F.col("copies")),
-    ))
+    keys = SILVER[table].primary_key
+    references = [fk for fk in FOREIGN_KEYS if fk.parent == table and fk.child in tables]
+    parts = [tables[table].select(*keys, F.lit(1).alias("owned"))]
+    parts += [
+        tables[fk.child].select(*[F.col(c).alias(k) for c, k in zip(fk.child_columns, keys)], F.lit(1).alias(fk.name))
+        for fk in references
+    ]
+    origins = ["owned", *[fk.name for fk in references]]
+    values = union_all(parts, fill=True).groupBy(*keys).agg(*[F.count(o).alias(o) for o in origins])
+
+    missing, owned = any_null(keys), F.col("owned")
+    repeated = owned > 1
+    weight = F.when(missing, owned).otherwise(0) + F.when(repeated, 1).otherwise(0)
+    found = [Rule("DQ-G1", table, (missing & (owned > 0)) | repeated, keys, weight)]
+    for fk in references:
+        used = F.col(fk.name)
+        orphan = (used > 0) & (missing | (owned == 0))
+        found.append(Rule("DQ-G2", f"{fk.child}.{fk.name}", orphan, keys, used))
+        if (fk.child, table) == ("lineitem", "orders"):
+            found.append(Rule("DQ-L9", "orders", (owned > 0) & (missing | (used == 0)), keys, owned))
+    return RuleFrame(values, tuple(found))
 
 
 def staging_rules(tables: Mapping[str, DataFrame]) -> list[RuleFrame]:
     """DQ-L1 to L9, G1 for every table and G2 for every foreign key."""
-    frames = [
+    return [
         line_rules(tables["lineitem"]),
         line_order_rules(tables["lineitem"], tables["orders"]),
         order_rules(tables["orders"]),
         status_rules(tables["ship_date_status"]),
-        empty_order_rules(tables["orders"], tables["lineitem"]),
-    ]
-    frames += [key_rules(name, tables[name]) for name in SILVER]
-    joined_above = {"lineitem_orders_fk"}
-    frames += [
-        reference_rules(fk, tables[fk.child], tables[fk.parent]) for fk in FOREIGN_KEYS if fk.name not in joined_above
+        *[key_rules(name, tables) for name in SILVER],
     ]
-    return frames
 
 
 # --- counting and sampling ---------------------------------------------------------------------
@@ -181,10 +177,15 @@ def rule_counts(frames: Iterable[RuleFrame]) -> DataFrame:
     return union_all(_counted(f) for f in frames)
 
 
-def record(frame: RuleFrame, *rule_ids: str) -> DataFrame:
+def only(frame: RuleFrame, *names: str) -> RuleFrame:
+    """The frame's rules of these ids or tables."""
+    return RuleFrame(frame.rows, tuple(r for r in frame.rules if set(r.name) & set(names)))
+
+
+def record(frame: RuleFrame, *names: str) -> DataFrame:
     """Counts and sample keys of the frame's rules (or of those named) in one plan."""
-    chosen = tuple(r for r in frame.rules if not rule_ids or r.rule_id in rule_ids)
-    frame = RuleFrame(frame.rows, chosen)
+    frame = only(frame, *names) if names else frame
+    chosen = frame.rules
     parts = [_counted(frame), *[_sampled(frame, r) for r in chosen]]
     return fold(parts, ("rule_id", "table_name")).select(*REPORT_COLUMNS)
 

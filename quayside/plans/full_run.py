@@ -66,8 +66,8 @@ def ingest(run: Execution) -> None:
     """Copy the source into Bronze and compare the two."""
     ingested_at = datetime.now(timezone.utc)
     tables = run.source_tables()
-    for name, df in tables.items():
-        run.store.replace(bronze(df, f"{run.source.label}.{name}", ingested_at), "bronze", name)
+    loaded = {t: bronze(df, f"{run.source.label}.{t}", ingested_at) for t, df in tables.items()}
+    run.store.replace_all(loaded, "bronze")
     require_ok(bronze_report(tables, run.store.read_all("bronze", SOURCE_TABLES)))
 
 
@@ -76,8 +76,9 @@ def stage(run: Execution, amend: Mapping[str, Callable[[DataFrame], DataFrame]]
     if amend and run.store.layout.prefix == DEFAULT_PREFIX:
         raise ValueError("staged tables are amended only in a scratch prefix")
     sources = run.store.read_all("bronze", SOURCE_TABLES)
-    for name, df in staged_tables(sources).items():
-        run.store.replace((amend or {}).get(name, lambda same: same)(df), "staging", name)
+    staged = staged_tables(sources)
+    staged |= {name: change(staged[name]) for name, change in (amend or {}).items()}
+    run.store.replace_all(staged, "staging")
     require_ok(staging_report(sources, run.store.read_all("staging", SILVER)))
 
 
@@ -94,7 +95,7 @@ def publish(run: Execution) -> None:
     raise_if_failed(run.audit(), run.run_id, VALIDATE_RULES)
     staging = run.store.read_all("staging", SILVER)
     assert_enforced(staging)
-    written = {t: run.store.write_new(df, "silver", t) for t, df in staging.items()}
+    written = run.store.write_all(staging, "silver")
     run.store.swap("silver", written, {t: constraint_properties(t) for t in SILVER})
     require_ok(silver_report(staging, run.store.read_all("silver", SILVER)))
 
@@ -109,12 +110,11 @@ def build_gold(run: Execution) -> None:
     lineitem, orders = store.read("silver", "lineitem"), store.read("silver", "orders")
     written: dict[str, str] = {}
     try:
-        for name, build in FACT_BUILDERS.items():
-            written[name] = store.write_new(build(lineitem, orders), "gold", name)
+        written |= store.write_all({t: build(lineitem, orders) for t, build in FACT_BUILDERS.items()}, "gold")
         line_fact, order_fact = (spark.table(written[f]) for f in FACTS)
-        for name, build in AGGREGATE_BUILDERS.items():
-            # a handful of result rows each
-            written[name] = store.write_new(build(line_fact, order_fact).coalesce(1), "gold", name)
+        # a handful of result rows each
+        small = {t: build(line_fact, order_fact).coalesce(1) for t, build in AGGREGATE_BUILDERS.items()}
+        written |= store.write_all(small, "gold")
         require_ok(gold_report({t: spark.table(written[t]) for t in GOLD}), "columns_match_contract")
         run.append_results(gold_count_rules(lineitem, orders, line_fact, order_fact))
         raise_if_failed(run.audit(), run.run_id, GOLD_RULES)

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import FACTS, FOREIGN_KEYS, GOLD, SILVER, VALIDATE_RULES
+from ..contracts import FACTS, GOLD, SILVER, VALIDATE_RULES
 from ..functions.frames import union_all
 from ..operators import profiling, rules
 from ..operators.aggregates import AGGREGATE_BUILDERS, FACT_BUILDERS
@@ -117,31 +117,27 @@ def _validation() -> dict[str, Query]:
     def joined(x):
         return rules.line_order_rules(x.staged("lineitem", True), x.staged("orders", True))
 
-    def keys(x):
-        frames = [rules.key_rules(t, x.staged(t, True)) for t in SILVER]
-        return rules.rule_counts(frames)
-
-    def references(x):
+    def keys(x, rule_id):
         tables = x.staging(True)
-        frames = [rules.reference_rules(fk, tables[fk.child], tables[fk.parent]) for fk in FOREIGN_KEYS]
-        return rules.rule_counts(frames)
+        found = [rules.only(rules.key_rules(t, tables), rule_id) for t in SILVER]
+        return rules.rule_counts(f for f in found if f.rules)
 
     def l4(x):
         dated = rules.record(rules.order_rules(x.staged("orders", True)))
         return rules.record(lines(x), "DQ-L4").unionByName(dated)
 
     def samples(x):
-        pairs = [
-            rules.key_rules("lineitem", x.staged("lineitem", True)),
-            rules.key_rules("brand", x.staged("brand", True)),
-            rules.key_rules("part_quantity_price", x.staged("part_quantity_price", True)),
-        ]
         tables = x.staging(True)
-        pairs += [
-            rules.reference_rules(fk, tables[fk.child], tables[fk.parent])
-            for fk in FOREIGN_KEYS if fk.name in ("part_brand_fk", "lineitem_partsupp_fk")
-        ]
-        return union_all(rules.record(p) for p in pairs)
+        return union_all([
+            rules.record(rules.key_rules("lineitem", tables), "lineitem"),
+            rules.record(rules.key_rules("brand", tables), "brand", "part.part_brand_fk"),
+            rules.record(rules.key_rules("part_quantity_price", tables), "part_quantity_price"),
+            rules.record(rules.key_rules("partsupp", tables), "lineitem.lineitem_partsupp_fk"),
+        ])
+
+    def empty_orders(x):
+        tables = {t: x.staged(t, True) for t in ("orders", "lineitem")}
+        return rules.record(rules.key_rules("orders", tables), "DQ-L9")
 
     def gold_counts(x):
         gold = x.gold(True)
@@ -156,9 +152,9 @@ def _validation() -> dict[str, Query]:
         "dq_l6_dirty": lambda x: rules.record(lines(x), "DQ-L6"),
         "dq_l7_dirty": lambda x: rules.record(rules.status_rules(x.staged("ship_date_status", True))),
         "dq_l8_dirty": lambda x: rules.record(joined(x), "DQ-L8"),
-        "dq_l9_dirty": lambda x: rules.record(rules.empty_order_rules(x.staged("orders", True), x.staged("lineitem", True))),
-        "dq_g1_dirty": keys,
-        "dq_g2_dirty": references,
+        "dq_l9_dirty": empty_orders,
+        "dq_g1_dirty": lambda x: keys(x, "DQ-G1"),
+        "dq_g2_dirty": lambda x: keys(x, "DQ-G2"),
         "dq_g3": lambda x: rules.count_rules(x.sources(True), x.sources(True), x.staging()),
         "dq_gold": gold_counts,
         "dq_samples_dirty": samples,

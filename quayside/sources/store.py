@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +24,12 @@ class Store:
         spark: SparkSession,
         layout: Layout,
         buckets: Mapping[str, tuple[int, tuple[str, ...]]] | None = None,
+        writers: int = 4,
     ):
         self.spark = spark
         self.layout = layout
         self.buckets = dict(buckets or {})
+        self.writers = writers
 
     def name(self, layer: str, table: str) -> str:
         return self.layout.table(layer, table)
@@ -59,6 +62,23 @@ class Store:
         writer.saveAsTable(pending)
         return pending
 
+    def write_all(self, frames: Mapping[str, DataFrame], layer: str) -> dict[str, str]:
+        """``write_new`` for independent tables, a few at a time, so small ones fill idle executors.
+
+        If one fails, the versions already written are dropped and the error is raised.
+        """
+        self.ensure_layer(layer)
+        with ThreadPoolExecutor(max_workers=self.writers) as pool:
+            started = {t: pool.submit(self.write_new, df, layer, t) for t, df in frames.items()}
+        failed = [f.exception() for f in started.values() if f.exception()]
+        if failed:
+            self.discard(f.result() for f in started.values() if not f.exception())
+            raise failed[0]
+        return {t: f.result() for t, f in started.items()}
+
+    def replace_all(self, frames: Mapping[str, DataFrame], layer: str) -> None:
+        self.swap(layer, self.write_all(frames, layer))
+
     def swap(self, layer: str, pending: Mapping[str, str], properties: Mapping[str, Mapping[str, str]] | None = None):
         """Put finished versions in place of the current tables.
 
@@ -70,9 +90,10 @@ class Store:
             self.spark.sql(f"DROP TABLE IF EXISTS {full}")
             inside_catalog = full.partition(".")[2]  # the new name may not repeat the catalog
             self.spark.sql(f"ALTER TABLE {written} RENAME TO {inside_catalog}")
-            for key, value in (properties or {}).get(table, {}).items():
-                text = value.replace("\\", "\\\\").replace("'", "\\'")
-                self.spark.sql(f"ALTER TABLE {full} SET TBLPROPERTIES ('{key}' = '{text}')")
+            declared = (properties or {}).get(table)
+            if declared:
+                pairs = ", ".join(f"'{key}' = '{value}'" for key, value in declared.items())
+                self.spark.sql(f"ALTER TABLE {full} SET TBLPROPERTIES ({pairs})")
 
     def discard(self, pending: Iterable[str]) -> None:
         for written in pending:
@@ -88,8 +109,7 @@ class Store:
     def snapshot(self, layer: str, tables: Iterable[str]) -> None:
         """Copy a whole layer into the snapshot layer."""
         self._scratch_only("snapshots are taken")
-        for table in tables:
-            self.replace(self.read(layer, table), "snapshot", table)
+        self.replace_all(self.read_all(layer, tables), "snapshot")
 
     def drop_layers(self, layers: Iterable[str]) -> None:
         """Drop layers of a scratch prefix with everything in them."""

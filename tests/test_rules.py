@@ -5,7 +5,6 @@ from collections import Counter
 
 import pytest
 
-from quayside.contracts import ForeignKey
 from quayside.operators import rules
 
 LINE = (
@@ -62,7 +61,6 @@ def test_line_order_rules_skip_orphans_and_nulls(lines, orders):
         ("DQ-L1", "lineitem"): (1, ["3|1"]),
         ("DQ-L3", "lineitem"): (1, ["3|1"]),
         ("DQ-L8", "lineitem"): (2, ["1", "9|1"]),  # a NULL part is left out of the text
-        ("DQ-G2", "lineitem.lineitem_orders_fk"): (2, ["", "9"]),
     }
 
 
@@ -77,24 +75,35 @@ def test_repeated_orders_weigh_instead_of_multiplying(spark, lines):
 
 def test_order_rules(orders, lines):
     assert found(rules.order_rules(orders)) == {("DQ-L4", "orders"): (1, ["4"])}
-    assert found(rules.empty_order_rules(orders, lines)) == {("DQ-L9", "orders"): (2, ["", "4"])}
+    tables = {"orders": orders, "lineitem": lines}
+    assert found(rules.key_rules("orders", tables)) == {
+        ("DQ-G1", "orders"): (1, [""]),
+        ("DQ-G2", "lineitem.lineitem_orders_fk"): (2, ["", "9"]),
+        ("DQ-L9", "orders"): (2, ["", "4"]),
+    }
 
 
 def test_key_rule_counts_null_rows_and_repeated_values(spark):
     rows = spark.createDataFrame([(None,), (None,), ("a",), ("a",), ("a",), ("b",)], "p_brand string")
     # two NULL rows, NULL repeated once, "a" repeated once
-    assert found(rules.key_rules("brand", rows)) == {("DQ-G1", "brand"): (4, ["", "", "", "a"])}
+    assert found(rules.key_rules("brand", {"brand": rows})) == {("DQ-G1", "brand"): (4, ["", "", "", "a"])}
 
 
 def test_reference_rule_counts_rows(spark):
-    fk = ForeignKey("part_brand_fk", "part", ("p_brand",), "brand", ("p_brand",))
     child = spark.createDataFrame([("x",)] * 12 + [("a",), (None,)], "p_brand string")
     parent = spark.createDataFrame([("a",), ("a",)], "p_brand string")
-    assert found(rules.reference_rules(fk, child, parent)) == {
-        ("DQ-G2", "part.part_brand_fk"): (13, [""] + ["x"] * 9)
+    assert found(rules.key_rules("brand", {"brand": parent, "part": child})) == {
+        ("DQ-G1", "brand"): (1, ["a"]),
+        ("DQ-G2", "part.part_brand_fk"): (13, [""] + ["x"] * 9),
     }
 
 
+def test_a_null_parent_key_matches_no_reference(spark):
+    rows = spark.createDataFrame([(None,)], "p_brand string")
+    counts = found(rules.key_rules("brand", {"brand": rows, "part": rows}))
+    assert counts["DQ-G2", "part.part_brand_fk"] == (1, [""])
+
+
 def test_samples_are_the_first_ten_in_key_order(spark):
     rows = [(k, 1, "2020-01-02", "2020-01-02", "2020-01-01", "AIR", "A") for k in range(30, 0, -1)]
     assert found(rules.line_rules(frame(spark, rows, LINE)), "DQ-L2") == {
@@ -112,7 +121,7 @@ def test_report_orders_rules_and_marks_clean_ones(lines, orders):
 
 def test_counts_on_empty_tables(spark, lines, orders):
     counted = rules.rule_counts([rules.line_order_rules(lines.limit(0), orders), rules.order_rules(orders.limit(0))])
-    assert Counter(r.violation_count for r in counted.collect()) == {0: 5}
+    assert Counter(r.violation_count for r in counted.collect()) == {0: 4}
 
 
 def test_unknown_layer_is_refused():
@@ -131,4 +140,6 @@ def test_hot_keys_give_the_same_counts(spark):
     )
     orders = spark.range(30000).select(F.col("id").alias("o_orderkey"), F.lit("2020-01-02").cast("date").alias("o_orderdate"))
     counts = {r.rule_id: r.violation_count for r in rules.rule_counts([rules.line_order_rules(lines, orders)]).collect()}
-    assert counts == {"DQ-L1": 20000, "DQ-L3": 20000, "DQ-L8": 10000, "DQ-G2": 10000}
+    assert counts == {"DQ-L1": 20000, "DQ-L3": 20000, "DQ-L8": 10000}
+    keyed = rules.rule_counts([rules.key_rules("orders", {"orders": orders, "lineitem": lines})]).collect()
+    assert {r.rule_id: r.violation_count for r in keyed} == {"DQ-G1": 0, "DQ-G2": 10000, "DQ-L9": 10000}
