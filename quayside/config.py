@@ -67,13 +67,16 @@ def session(app: str = "quayside", master: str | None = None, **conf: str) -> Sp
     """A session with the settings the operators count on.
 
     Adaptive execution sizes shuffle partitions and splits skewed join partitions at run time. Its
-    starting partition count, executor sizes and ``spark.checkpoint.dir`` stay with the cluster.
+    starting partition count and the executor sizes stay with the cluster. A full run compiles some
+    hundred stages; the code cache is made large enough to keep them for the next run.
     """
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.codegen.cache.maxEntries": "2000",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
