@@ -588,7 +588,7 @@ RELATIONS["ledger"] = (
 )
 RELATIONS["runs"] = (
     "SELECT run_id, min(event_ts) FILTER (WHERE event = 'started') AS started_at, "
-    "max(event_ts) FILTER (WHERE event = 'succeeded') AS succeeded_at, list_sort(list(DISTINCT event)) AS events "
+    "max(event_ts) FILTER (WHERE event = 'succeeded') AS succeeded_at, array_to_string(list_sort(list(DISTINCT event)), ',') AS events "
     "FROM ledger GROUP BY run_id"
 )
 
@@ -715,7 +715,11 @@ def _needed(text: str) -> list[str]:
     return found
 
 
-# Columns rounded in each query: engines differ in the last bits of sums and roots.
+_MONEY = {
+    "supplier": "s_acctbal", "customer": "c_acctbal", "part": "p_retailprice", "partsupp": "ps_supplycost",
+    "orders": "o_totalprice", "part_quantity_price": "l_quantity l_extendedprice", "lineitem": "l_quantity l_discount l_tax",
+}
+# Columns shown as doubles with six digits: engines differ in the last bits of sums and roots.
 _DOUBLE_COLUMNS = {
     "agg_ship_mode_performance": "transit_p50_days transit_p90_days transit_p90_minus_p50_days transit_iqr_days transit_mean_days transit_stddev_days delay_rate",
     "agg_on_time_summary": "order_on_time_share line_on_time_share lines_per_order_p50 lines_per_order_mean",
@@ -735,6 +739,9 @@ _DOUBLE_COLUMNS = {
     "q4_verdict": " ".join(f"{side}_{c}" for side in ("urgent", "other") for c in _ANSWER_COLUMNS[1:]),
     "monitor_months": "delay_rate median_line_count",
     "monitor_summary": "overall_delay_rate median_line_count mean_monthly_rate lowest_rate highest_rate",
+    **{f"stage_{t}": columns for t, columns in _MONEY.items()},
+    "bronze_ingest": _MONEY["orders"],
+    "inject_bad_row": _MONEY["lineitem"],
     "profile_lines_per_order": "lines_median lines_mean",
     "profile_lines_per_order_dirty": "lines_median lines_mean",
 }

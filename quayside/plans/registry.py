@@ -25,10 +25,15 @@ RUN_TS = datetime(2026, 10, 7, tzinfo=timezone.utc)
 LOADED_AT = "2026-10-07 16:43:01"
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits: engines differ in the last bits of sums and roots."""
-    doubles = [c for c, t in df.dtypes if t == "double"]
-    return df.withColumns({c: F.round(c, 6) for c in doubles}) if doubles else df
+def comparable(df: DataFrame) -> DataFrame:
+    """Results as every engine can state them.
+
+    Doubles go to six digits, as engines differ in the last bits of sums and roots. Money is shown
+    as a double, because clients hand out decimals in different ways.
+    """
+    shown = {c: F.round(c, 6) for c, t in df.dtypes if t == "double"}
+    shown |= {c: F.col(c).cast("double") for c, t in df.dtypes if t.startswith("decimal")}
+    return df.withColumns(shown) if shown else df
 
 
 class Gold(dict):
@@ -91,7 +96,7 @@ class Inputs:
 
 
 def _relation(make: Callable[[Inputs], DataFrame]) -> Query:
-    return lambda spark, sf_dir: rounded(make(Inputs(spark, sf_dir)))
+    return lambda spark, sf_dir: comparable(make(Inputs(spark, sf_dir)))
 
 
 def _layers() -> dict[str, Query]:
@@ -198,6 +203,9 @@ def _profile() -> dict[str, Query]:
 
 
 def _changes() -> dict[str, Query]:
+    def listed(states: DataFrame) -> DataFrame:
+        return states.withColumn("events", F.array_join("events", ","))
+
     def injected(x: Inputs) -> DataFrame:
         return inject_receipt_before_ship(x.staged("lineitem"))
 
@@ -205,8 +213,8 @@ def _changes() -> dict[str, Query]:
         "bag_diff": lambda x: bag_diff(x.staged("lineitem"), injected(x)),
         "bag_diff_fixtures": lambda x: bag_diff(x.staged("part", True), x.staged("part")),
         "layer_diff": lambda x: layer_diff(x.staging(), x.staging(True)),
-        "ledger_states": lambda x: run_states(x.ledger()),
-        "ledger_latest": lambda x: latest_run_state(x.ledger()),
+        "ledger_states": lambda x: listed(run_states(x.ledger())),
+        "ledger_latest": lambda x: listed(latest_run_state(x.ledger())),
         "ledger_last_events": lambda x: last_events(x.ledger()),
     }
     return {name: _relation(f) for name, f in made.items()}
