@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import require_run_id
+from .rules import CHECKED_LAYERS, MAX_SAMPLE_KEYS
+
+REPORT_SCHEMA = "rule_id string, layer string, table_name string, violation_count bigint, sample_keys string"
 
 
 class DataQualityError(RuntimeError):
@@ -26,6 +30,26 @@ def audit_rows(report: DataFrame, run_id: str, run_ts: datetime | None = None) -
     )
 
 
+def dq_result(
+    spark: SparkSession,
+    run_id: str,
+    rule_id: str,
+    layer: str,
+    table_name: str,
+    violation_count: int,
+    sample_keys: Iterable[object] = (),
+    run_ts: datetime | None = None,
+) -> DataFrame:
+    """The audit row of a rule of one's own, with up to ten sample keys."""
+    if layer not in CHECKED_LAYERS:
+        raise ValueError(f"layer must be one of {CHECKED_LAYERS}, got {layer!r}")
+    if int(violation_count) < 0:
+        raise ValueError(f"violation_count must be >= 0, got {violation_count}")
+    samples = json.dumps([str(k) for k in sample_keys][:MAX_SAMPLE_KEYS], separators=(",", ":"))
+    row = (rule_id, layer, table_name, int(violation_count), samples)
+    return audit_rows(spark.createDataFrame([row], REPORT_SCHEMA), run_id, run_ts)
+
+
 def for_run(audit: DataFrame, run_id: str, rule_ids: Iterable[str] | None = None) -> DataFrame:
     """Rows of one run, optionally of some rules; other runs never matter."""
     rows = audit.where(F.col("run_id") == require_run_id(run_id))

@@ -143,14 +143,10 @@ def _counted(frame: RuleFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(rule.violated, rule.weight)), F.lit(0)).cast("bigint").alias(f"r{i}")
         for i, rule in enumerate(frame.rules)
     ])
-    rows = F.array(*[
-        F.struct(
-            F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.layer).alias("layer"),
-            F.lit(rule.table_name).alias("table_name"), F.col(f"r{i}").alias("violation_count"),
-        )
-        for i, rule in enumerate(frame.rules)
-    ])
-    return totals.select(F.inline(rows))
+    rows = ", ".join(f"'{r.rule_id}', '{r.layer}', '{r.table_name}', r{i}" for i, r in enumerate(frame.rules))
+    return totals.selectExpr(
+        f"stack({len(frame.rules)}, {rows}) AS (rule_id, layer, table_name, violation_count)"
+    )
 
 
 def _sampled(frame: RuleFrame, rule: Rule) -> DataFrame:

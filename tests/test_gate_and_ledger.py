@@ -6,20 +6,16 @@ from quayside.config import Layout, new_run_id, require_run_id
 from quayside.contracts import DQ_RESULTS_SCHEMA, RUNS_SCHEMA
 from quayside.operators import gate, ledger
 
-REPORT = "rule_id string, layer string, table_name string, violation_count bigint, sample_keys string"
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
 
 @pytest.fixture(scope="module")
 def audit(spark):
-    def rows(run_id, first_rule_violations, samples):
-        report = spark.createDataFrame([
-            ("TEST-1", "staging", "lineitem", first_rule_violations, samples),
-            ("TEST-2", "staging", "orders", 0, "[]"),
-        ], REPORT)
-        return gate.audit_rows(report, run_id, T0)
+    def rows(run_id, violations, samples):
+        first = gate.dq_result(spark, run_id, "TEST-1", "staging", "lineitem", violations, samples, T0)
+        return first.unionByName(gate.dq_result(spark, run_id, "TEST-2", "staging", "orders", 0, run_ts=T0))
 
-    return rows("a", 3, '["1|1","1|2","2|1"]').unionByName(rows("b", 0, "[]"))
+    return rows("a", 3, ["1|1", "1|2", "2|1"]).unionByName(rows("b", 0, []))
 
 
 def test_audit_rows_have_the_declared_schema(spark, audit):
@@ -29,6 +25,14 @@ def test_audit_rows_have_the_declared_schema(spark, audit):
     }
 
 
+def test_results_of_ones_own_are_checked(spark):
+    row = gate.dq_result(spark, "a", "TEST-9", "gold", "t", 12, range(12)).first()
+    assert row.sample_keys == '["0","1","2","3","4","5","6","7","8","9"]' and row.severity == "blocking"
+    for bad in (("", "gold", 0), ("a", "attic", 0), ("a", "gold", -1)):
+        with pytest.raises(ValueError):
+            gate.dq_result(spark, bad[0], "TEST-9", bad[1], "t", bad[2])
+
+
 def test_gate(audit):
     with pytest.raises(gate.DataQualityError, match=r"failed rules = \['TEST-1'\]"):
         gate.raise_if_failed(audit, "a", ["TEST-1", "TEST-2"])
