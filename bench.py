@@ -1,8 +1,8 @@
 """Time the headline queries and one full run; prints one JSON line.
 
 ``BENCH_SF_DIR`` is the test data folder, ``BENCH_CPUS`` the number of local cores. Each query is
-run to the end (every row and column, nothing collected) twice and the better time counts. The full
-run goes from source files to published Gold and answers, written to a scratch warehouse.
+run to the end (every row and column, nothing collected) twice and the better time counts; once the
+bench has taken four minutes, one try has to do. The full run goes from source files to published Gold and answers, written to a scratch warehouse.
 """
 
 from __future__ import annotations
@@ -39,7 +39,13 @@ def timed(action) -> float:
     return round(time.perf_counter() - start, 3)
 
 
+def best(action, since: float) -> float:
+    first = timed(action)
+    return first if time.perf_counter() - since > 240 else min(first, timed(action))
+
+
 def main() -> None:
+    begun = time.perf_counter()
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     home = tempfile.mkdtemp(prefix="run-", dir="/tmp")
@@ -60,7 +66,7 @@ def main() -> None:
     def to_the_end(name: str) -> None:
         registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
-    seconds = {name: min(timed(lambda n=name: to_the_end(n)) for _ in range(2)) for name in HEADLINE}
+    seconds = {name: best(lambda n=name: to_the_end(n), begun) for name in HEADLINE}
 
     for name, df in source_tables(spark, sf_dir).items():
         df.write.parquet(f"{home}/source/{name}.parquet")
@@ -71,7 +77,7 @@ def main() -> None:
         for df in analyse(store).values():
             df.write.format("noop").mode("overwrite").save()
 
-    seconds["full_run_and_answers"] = min(timed(full_run) for _ in range(2))
+    seconds["full_run_and_answers"] = best(full_run, begun)
     print(json.dumps({
         "metric": "sum of headline query times and one full run",
         "value": round(sum(seconds.values()), 3),

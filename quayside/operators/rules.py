@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Collection, Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LINE_STATUSES, RETURN_FLAGS, SHIP_MODES, SOURCE_TABLES
@@ -45,6 +47,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class RuleFrame:
+    """Rows and the rules that read them; the rules of a frame share their key columns."""
+
     rows: DataFrame
     rules: tuple[Rule, ...]
 
@@ -149,22 +153,33 @@ def _counted(frame: RuleFrame) -> DataFrame:
     )
 
 
-def _sampled(frame: RuleFrame, rule: Rule) -> DataFrame:
-    """The first violating keys in key order, as a JSON array of ``|``-joined texts.
+def _sampled(frame: RuleFrame, failing: Collection[tuple[str, str]] | None = None) -> DataFrame:
+    """The first violating keys of each rule in key order, as a JSON array of ``|``-joined texts.
 
-    ``orderBy().limit()`` keeps the best few rows per task, so no full sort takes place.
+    All failing rules of a frame are sampled in one pass over it. ``row_number() <= n`` lets Spark
+    keep the best rows of each rule inside every task, so only those are shuffled.
     """
+    rules = [r for r in frame.rules if failing is None or r.name in failing]
+    keys = frame.rules[0].keys
+    hits = F.array(*[
+        F.when(r.violated, F.struct(
+            F.lit(r.rule_id).alias("rule_id"), F.lit(r.table_name).alias("table_name"),
+            r.weight.cast("bigint").alias("times"),
+        ))
+        for r in rules
+    ])
+    broken = frame.rows.where(reduce(or_, (r.violated for r in rules)))
+    rank = F.row_number().over(Window.partitionBy("rule_id", "table_name").orderBy(*keys))
     top = (
-        frame.rows.where(rule.violated)
-        .select(*rule.keys, rule.weight.cast("bigint").alias("times"))
-        .orderBy(*rule.keys)
-        .limit(MAX_SAMPLE_KEYS)
+        broken.select(*keys, F.inline(hits)).where(F.col("rule_id").isNotNull())
+        .withColumn("rank", rank).where(F.col("rank") <= MAX_SAMPLE_KEYS)
     )
-    repeated = top.select(*rule.keys, F.explode(F.sequence(F.lit(1), F.least("times", F.lit(MAX_SAMPLE_KEYS)))))
-    ordered = F.slice(F.array_sort(F.collect_list(F.struct(*rule.keys))), 1, MAX_SAMPLE_KEYS)
-    texts = F.transform(ordered, lambda k: F.concat_ws("|", *[k[c].cast("string") for c in rule.keys]))
-    return repeated.agg(F.to_json(texts).alias("sample_keys")).select(
-        F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.table_name).alias("table_name"), "sample_keys"
+    copies = F.explode(F.sequence(F.lit(1), F.least("times", F.lit(MAX_SAMPLE_KEYS))))
+    ordered = F.slice(F.array_sort(F.collect_list(F.struct(*keys))), 1, MAX_SAMPLE_KEYS)
+    texts = F.transform(ordered, lambda k: F.concat_ws("|", *[k[c].cast("string") for c in keys]))
+    return (
+        top.select("rule_id", "table_name", *keys, copies)
+        .groupBy("rule_id", "table_name").agg(F.to_json(texts).alias("sample_keys"))
     )
 
 
@@ -181,9 +196,8 @@ def only(frame: RuleFrame, *names: str) -> RuleFrame:
 def record(frame: RuleFrame, *names: str) -> DataFrame:
     """Counts and sample keys of the frame's rules (or of those named) in one plan."""
     frame = only(frame, *names) if names else frame
-    chosen = frame.rules
-    parts = [_counted(frame), *[_sampled(frame, r) for r in chosen]]
-    return fold(parts, ("rule_id", "table_name")).select(*REPORT_COLUMNS)
+    report = fold([_counted(frame), _sampled(frame)], ("rule_id", "table_name"))
+    return report.withColumn("sample_keys", F.coalesce("sample_keys", F.lit("[]"))).select(*REPORT_COLUMNS)
 
 
 def dq_report(frames: Iterable[RuleFrame], more_counts: DataFrame | None = None) -> DataFrame:
@@ -198,7 +212,7 @@ def dq_report(frames: Iterable[RuleFrame], more_counts: DataFrame | None = None)
     schema = counts.schema
     counted = counts.collect()
     failing = {(r.rule_id, r.table_name) for r in counted if r.violation_count > 0}
-    samples = [_sampled(f, rule) for f in frames for rule in f.rules if rule.name in failing]
+    samples = [_sampled(f, failing) for f in frames if any(r.name in failing for r in f.rules)]
     parts = [spark.createDataFrame(counted, schema), *samples]
     report = fold(parts, ("rule_id", "table_name")) if samples else parts[0].withColumn("sample_keys", F.lit("[]"))
     report = report.withColumn("sample_keys", F.coalesce("sample_keys", F.lit("[]"))).select(*REPORT_COLUMNS)

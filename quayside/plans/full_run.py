@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import DEFAULT_PREFIX, SOURCE_TABLES, Layout, new_run_id
+from ..config import DEFAULT_PREFIX, SOURCE_TABLES, new_run_id
 from ..contracts import DQ_RESULTS_SCHEMA, FACTS, GOLD, GOLD_RULES, RUNS_SCHEMA, SILVER, VALIDATE_RULES
 from ..operators.aggregates import AGGREGATE_BUILDERS, FACT_BUILDERS
 from ..operators.gate import audit_rows, for_run, raise_if_failed
