@@ -69,3 +69,13 @@ def test_rollup_and_key_rules_sum_up_before_the_shuffle(hot, small_partitions):
     plan = executed(keyed)
     assert "partial_count" in plan and "Join" not in plan
     assert {r.rule_id: r.violation_count for r in keyed.collect()}["DQ-L9"] == 199_999
+
+
+def test_samples_are_cut_inside_the_tasks(hot):
+    lines, orders = hot
+    frame = rules.line_order_rules(lines, orders.where("o_orderkey % 2 = 0"))
+    sampled = rules._sampled(frame)
+    plan = executed(sampled)
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert plan.split("Initial Plan")[0].count("Join") == 1  # one pass for all rules of the frame
+    assert {r.table_name: r.sample_keys for r in sampled.collect()}["lineitem"].startswith('["1|1","5|5"')
