@@ -6,12 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quayside.llm.common import table
+from quayside.llm.golay_simhash import near_duplicates
+from quayside.llm.line_dedup import dedup_lines
 from quayside.llm.token_store import read_tokens, write_tokens
 from quayside.llm.warc import archive_pages, read_archives
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that an earlier document holds."""
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of all documents."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives, and what a sequential read of the archives finds."""
     found = read_archives(archive_pages(table(spark, sf_dir, "pages")), with_payload=False)
@@ -25,4 +40,4 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_warc, op10_token_store)}
+    return {f.__name__: f for f in (op2_line_dedup, op4_simhash_golay, op8_warc, op10_token_store)}
