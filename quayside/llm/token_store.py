@@ -18,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import in_tasks, rows_of, shared_folder, written
+from quayside.llm.common import SAFE_CUT, in_tasks, rows_of, shared_folder, written
 
 _MAGIC = b"DACTOK1\n"
 _BLOCK = 512
@@ -142,41 +143,51 @@ def read_file(source) -> tuple[list[int | None], np.ndarray, Codes]:
 class UnitEncoder:
     """Ids of whole texts from the tokenizers library, asking it once for each unit of text.
 
-    The byte-level pattern always starts a new piece at a space that is followed by a character that is no
-    white space, so a text may be cut there and its parts encoded alone. Units seen are kept, up to
-    ``most`` of them, for the other texts of the task.
+    Texts are cut where a piece starts in any case. The new units of a block are encoded as one text, and
+    its ids are dealt back by the bytes they stand for, as no token reaches over a cut. Units met are kept,
+    up to ``most`` of them, for later texts of the worker.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 400_000):
+    def __init__(self, tokenizer_path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # the end mark's name within a text is ordinary text
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # byte-level vocabularies write each byte as one character
         self.most, self.known = most, {}
 
-    @staticmethod
-    def units(text: str) -> list[str]:
-        """Cut before each space that no white space follows; the space starts its unit."""
-        first, *rest = text.split(" ")
-        units = [first]
-        for part in rest:
-            if not part or part[0].isspace():
-                units[-1] += " " + part
-            else:
-                units.append(" " + part)
-        return units if first else units[1:]
+    def _learn(self, units: list[str]) -> None:
+        """Each unit stands for itself after a space."""
+        raw = [u.encode() for u in units]
+        ids = np.array(self.tokenizer.encode(" " + " ".join(units), add_special_tokens=False).ids, np.uint32)
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        reached = np.cumsum(self.bytes_of[ids])
+        cuts = np.searchsorted(reached, ends)
+        if not np.array_equal(reached[cuts], ends):
+            raise ValueError("a token reaches over a unit's end")
+        data, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
+        self.known.update(zip(units, (data[a:b] for a, b in zip([0, *stops], stops)), strict=False))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.units(t) for t in texts]
+        cut = [SAFE_CUT.split(t) for t in texts]
+        starts = self.tokenizer.encode_batch_fast([units.pop(0) for units in cut], add_special_tokens=False)
         if len(self.known) > self.most:
             self.known.clear()
         new = list(set().union(*cut).difference(self.known))
         for at in range(0, len(new), 20_000):
-            part = new[at: at + 20_000]
-            codes = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((u, np.array(c.ids, np.uint32).tobytes()) for u, c in zip(part, codes, strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.uint32) for units in cut]
+            self._learn(new[at: at + 20_000])
+        of = self.known.__getitem__
+        return [np.frombuffer(np.array(s.ids, np.uint32).tobytes() + b"".join(map(of, units)), np.uint32)
+                for s, units in zip(starts, cut, strict=True)]
+
+
+@cache
+def _encoder(tokenizer_path: str) -> UnitEncoder:
+    return UnitEncoder(tokenizer_path)  # kept by the worker for its next tasks
 
 
 def _by_size(rows: Iterator[dict], most: int) -> Iterator[list[dict]]:
@@ -193,8 +204,8 @@ def _by_size(rows: Iterator[dict], most: int) -> Iterator[list[dict]]:
 
 def _writer(folder: str, tokenizer_path: str, end_id: int, width: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, doc_ids, parts, lengths, part = UnitEncoder(tokenizer_path), [], [], [], 0
-        for rows in _by_size(rows_of(batches), 1 << 21):
+        encoder, doc_ids, parts, lengths, part = _encoder(tokenizer_path), [], [], [], 0
+        for rows in _by_size(rows_of(batches), 1 << 22):
             part = rows[0]["part"]
             for row, ids in zip(rows, encoder.encode([r["text"] for r in rows]), strict=True):
                 doc_ids.append(row["doc_id"])
