@@ -30,18 +30,18 @@ _BYTES = 4 << 20
 _MOST_UNITS = 600_000
 
 _ONE_MERGE = """
-WITH RECURSIVE step(i, w, p, t) AS (
-  SELECT 0, w, p, t FROM start
+WITH RECURSIVE step(done, w, p, t) AS (
+  SELECT false, w, p, t FROM start
   UNION ALL
   (WITH pairs AS (
-     SELECT w, p, t, lead(t) OVER x AS n, lead(p) OVER x AS np FROM step WINDOW x AS (PARTITION BY w ORDER BY p)),
+     SELECT w, p, t, lead(t) OVER x AS n, lag(p) OVER x AS before
+     FROM step WHERE NOT done WINDOW x AS (PARTITION BY w ORDER BY p)),
    best AS (
-     SELECT w, min({'c': c, 'p': p, 'np': np}) AS b
+     SELECT w, min((c::BIGINT << 32) | p) AS b
      FROM pairs JOIN merges ON ab = (t::BIGINT << 32) | n GROUP BY w)
-   SELECT s.i + 1, s.w, s.p, CASE WHEN s.p = b.p THEN b.c ELSE s.t END
-   FROM step s JOIN best USING (w) WHERE s.p <> b.np))
-SELECT w, list(t ORDER BY p) AS ids
-FROM (SELECT *, max(i) OVER (PARTITION BY w) AS last FROM step) WHERE i = last GROUP BY w
+   SELECT b IS NULL, w, p, CASE WHEN p = b & 4294967295 THEN (b >> 32)::INTEGER ELSE t END
+   FROM pairs LEFT JOIN best USING (w) WHERE before IS NULL OR b IS NULL OR before <> b & 4294967295))
+SELECT w, list(t ORDER BY p) AS ids FROM step WHERE done GROUP BY w
 """
 
 # All non-overlapping places of a word's lowest pair, every second one of a run, are merged in a round. That

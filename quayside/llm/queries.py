@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.llm.bpe import encode_and_decode
 from quayside.llm.common import table
 from quayside.llm.golay_simhash import near_duplicates
 from quayside.llm.line_dedup import dedup_lines
@@ -27,6 +28,16 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents under the multilingual ranks, and what the ids decode to."""
+    docs = table(spark, sf_dir, "documents")
+    found = encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives, and what a sequential read of the archives finds."""
     found = read_archives(archive_pages(table(spark, sf_dir, "pages")), with_payload=False)
@@ -40,4 +51,4 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_simhash_golay, op8_warc, op10_token_store)}
+    return {f.__name__: f for f in (op2_line_dedup, op4_simhash_golay, op7_byte_bpe, op8_warc, op10_token_store)}
