@@ -20,14 +20,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import SAFE_CUT, in_tasks
+from quayside.llm.common import in_tasks
+from quayside.llm.unit_ids import UnitIds
 
 #: Words of up to so many bytes take one merge a round; longer ones all places of their lowest pair at once.
 SHORT = 64
 _WORDS = 50_000
 _IDS = 2_000_000
 _BYTES = 4 << 20
-_MOST_UNITS = 600_000
+_MOST_PIECES = 600_000
 
 _ONE_MERGE = """
 WITH RECURSIVE step(done, w, p, t) AS (
@@ -79,7 +80,7 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.units: dict[str, bytes] = {}  # each stands for itself after a space
+        self.units = UnitIds(self._learn, self._learn, most=_MOST_PIECES)
         self.pieces: dict[str, bytes] = {}
         parts = [(a, b, c) for token, c in self.ranks.items() for i in range(1, len(token))
                  if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
@@ -123,28 +124,25 @@ class ByteBpe:
         self.con.register("start", pa.table({"w": w, "p": p, "t": t}))
         return self.con.sql(sql).to_arrow_table()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts. They are cut where a piece starts in any case, and only units that were not met
-        before are split by the pattern; only pieces that were not met before are merged."""
-        cut = [SAFE_CUT.split(t) for t in texts]
-        starts = [units.pop(0) for units in cut]
-        if len(self.units) > _MOST_UNITS:
-            self.units.clear()
-        if len(self.pieces) > _MOST_UNITS:
+    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units; only pieces that were not met before are merged."""
+        if len(self.pieces) > _MOST_PIECES:
             self.pieces.clear()
-        new = list(set().union(*cut).difference(self.units))
-        split = [self.pattern.findall(" " + u) for u in new]
-        first = [self.pattern.findall(u) for u in starts]
-        words = list({p for ps in (*split, *first) for p in ps}.difference(self.pieces))
+        split = [self.pattern.findall(u) for u in units]
+        words = list({p for ps in split for p in ps}.difference(self.pieces))
         raw = [w.encode() for w in words]
         whole = [self.ranks.get(r) for r in raw]
         longer = [i for i, r in enumerate(whole) if r is None]
         self.pieces.update((w, r.to_bytes(4, "little")) for w, r in zip(words, whole, strict=True) if r is not None)
         self.pieces.update((words[i], x.astype("<u4").tobytes()) for i, x in zip(longer, self._merged([raw[i] for i in longer]), strict=True))
-        ids = self.pieces.__getitem__
-        self.units.update((u, b"".join(map(ids, ps))) for u, ps in zip(new, split, strict=True))
-        of = self.units.__getitem__
-        return [np.frombuffer(b"".join(map(ids, f)) + b"".join(map(of, units)), "<u4") for f, units in zip(first, cut, strict=True)]
+        of = self.pieces.__getitem__
+        data = [b"".join(map(of, ps)) for ps in split]
+        return np.frombuffer(b"".join(data), "<u4"), np.array([len(d) // 4 for d in data], np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        ids, sizes = self.units.of(texts)
+        return np.split(ids, np.cumsum(sizes)[:-1]) if texts else []
 
     def decode(self, documents: list[np.ndarray]) -> list[bytes]:
         """Bytes of documents from their ids alone, in blocks of bounded size; longer documents in parts."""

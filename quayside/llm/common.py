@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import shutil
 import tempfile
 import uuid
@@ -44,10 +43,6 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Where the splitting pattern of byte-level tokenizers starts a new piece in any case: at a space that a
-#: character follows which is no white space. Texts may be cut there and their parts encoded alone.
-SAFE_CUT = re.compile(r" (?=\S)")
-
 _shipped: set[str] = set()
 
 

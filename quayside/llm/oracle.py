@@ -20,6 +20,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM judged GROUP BY doc_id
 """
 
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+
+OP6 = f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+its AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+        FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)),
+n AS (SELECT item_id, count(*) AS n FROM its GROUP BY item_id),
+pairs AS (SELECT doc_id, item_id, count(*) / n AS containment
+          FROM ds JOIN its USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n),
+hits AS (SELECT doc_id, list(item_id ORDER BY item_id) AS item_ids, max(containment) AS containment
+         FROM pairs WHERE containment >= 0.8 GROUP BY doc_id)
+SELECT d.doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, []::BIGINT[]) AS item_ids,
+       coalesce(containment, 0.0)::DOUBLE AS containment
+FROM documents d LEFT JOIN hits USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2}
+    return {"op2_line_dedup": OP2, "op6_decontamination": OP6}

@@ -10,12 +10,22 @@ from pyspark.sql import functions as F
 
 from quayside.llm.bpe import encode_and_decode
 from quayside.llm.common import table
+from quayside.llm.decontaminate import contamination
 from quayside.llm.golay_simhash import near_duplicates
+from quayside.llm.language_id import fit_model, held_out, identify
 from quayside.llm.line_dedup import dedup_lines
 from quayside.llm.token_store import read_tokens, write_tokens
 from quayside.llm.warc import archive_pages, read_archives
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by machines fitted on the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_model(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that an earlier document holds."""
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -28,6 +38,11 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For all documents the benchmark items that they contain."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents under the multilingual ranks, and what the ids decode to."""
     docs = table(spark, sf_dir, "documents")
@@ -51,4 +66,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_simhash_golay, op7_byte_bpe, op8_warc, op10_token_store)}
+    return {f.__name__: f for f in (
+        op1_language_id, op2_line_dedup, op4_simhash_golay, op6_decontamination, op7_byte_bpe, op8_warc, op10_token_store,
+    )}

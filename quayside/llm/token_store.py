@@ -26,7 +26,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import SAFE_CUT, in_tasks, rows_of, shared_folder, written
+from quayside.llm.common import in_tasks, rows_of, shared_folder, written
+from quayside.llm.unit_ids import UnitIds
 
 _MAGIC = b"DACTOK1\n"
 _BLOCK = 512
@@ -140,15 +141,10 @@ def read_file(source) -> tuple[list[int | None], np.ndarray, Codes]:
     return [None if z else int(d) for d, z in zip(ids, nulls, strict=True)], lengths, Codes(head["tokens"], head["width"], levels)
 
 
-class UnitEncoder:
-    """Ids of whole texts from the tokenizers library, asking it once for each unit of text.
+class _Library:
+    """Learns units from the tokenizers library."""
 
-    Texts are cut where a piece starts in any case. The new units of a block are encoded as one text, and
-    its ids are dealt back by the bytes they stand for, as no token reaches over a cut. Units met are kept,
-    up to ``most`` of them, for later texts of the worker.
-    """
-
-    def __init__(self, tokenizer_path: str, most: int = 1_000_000):
+    def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -158,36 +154,32 @@ class UnitEncoder:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # byte-level vocabularies write each byte as one character
-        self.most, self.known = most, {}
-
-    def _learn(self, units: list[str]) -> None:
-        """Each unit stands for itself after a space."""
-        raw = [u.encode() for u in units]
-        ids = np.array(self.tokenizer.encode(" " + " ".join(units), add_special_tokens=False).ids, np.uint32)
-        ends = np.cumsum([len(r) + 1 for r in raw])
-        reached = np.cumsum(self.bytes_of[ids])
-        cuts = np.searchsorted(reached, ends)
-        if not np.array_equal(reached[cuts], ends):
-            raise ValueError("a token reaches over a unit's end")
-        data, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
-        self.known.update(zip(units, (data[a:b] for a, b in zip([0, *stops], stops)), strict=False))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [SAFE_CUT.split(t) for t in texts]
-        starts = self.tokenizer.encode_batch_fast([units.pop(0) for units in cut], add_special_tokens=False)
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at: at + 20_000])
-        of = self.known.__getitem__
-        return [np.frombuffer(np.array(s.ids, np.uint32).tobytes() + b"".join(map(of, units)), np.uint32)
-                for s, units in zip(starts, cut, strict=True)]
+
+    def inner(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many units as one text; as no token reaches over a cut, its ids are dealt back by their bytes."""
+        found, sizes = [], []
+        for at in range(0, len(units), 20_000):
+            part = units[at: at + 20_000]
+            texts = ["".join(part[i: i + 100]) for i in range(0, len(part), 100)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
+            ends, reached = np.cumsum([len(u.encode()) for u in part]), np.cumsum(self.bytes_of[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if not np.array_equal(reached[cuts - 1], ends):
+                raise ValueError("a token reaches over a unit's end")
+            found.append(ids)
+            sizes.append(np.diff(cuts, prepend=0))
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def first(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
 
 @cache
-def _encoder(tokenizer_path: str) -> UnitEncoder:
-    return UnitEncoder(tokenizer_path)  # kept by the worker for its next tasks
+def library_ids(tokenizer_path: str, end_id: int | None) -> UnitIds:
+    """Ids of whole texts by the tokenizers library, kept by the worker for its next tasks."""
+    library = _Library(tokenizer_path)
+    return UnitIds(library.inner, library.first, end_id)
 
 
 def _by_size(rows: Iterator[dict], most: int) -> Iterator[list[dict]]:
@@ -204,20 +196,20 @@ def _by_size(rows: Iterator[dict], most: int) -> Iterator[list[dict]]:
 
 def _writer(folder: str, tokenizer_path: str, end_id: int, width: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, doc_ids, parts, lengths, part = _encoder(tokenizer_path), [], [], [], 0
+        units, doc_ids, ids, lengths, part = library_ids(tokenizer_path, end_id), [], [], [], 0
         for rows in _by_size(rows_of(batches), 1 << 22):
             part = rows[0]["part"]
-            for row, ids in zip(rows, encoder.encode([r["text"] for r in rows]), strict=True):
-                doc_ids.append(row["doc_id"])
-                lengths.append(len(ids) + 1)
-                parts.append(np.append(ids, np.uint32(end_id)))
+            doc_ids += [r["doc_id"] for r in rows]
+            found, sizes = units.of([r["text"] for r in rows])
+            ids.append(found)
+            lengths.append(sizes)
         if doc_ids:
             store, base = fs.FileSystem.from_uri(folder)
             store.create_dir(base, recursive=True)
             name = f"{part:06d}-{uuid.uuid4().hex}.dac"  # a repeated attempt writes a file of its own
-            codes = Codes.of(np.concatenate(parts), width)
+            codes = Codes.of(np.concatenate(ids), width)
             with store.open_output_stream(f"{base}/{name}", compression=None) as out:
-                write_file(out, doc_ids, np.array(lengths), codes)
+                write_file(out, doc_ids, np.concatenate(lengths), codes)
             yield pa.RecordBatch.from_pydict({
                 "path": [f"{folder}/{name}"], "part": pa.array([part], pa.int32()), "documents": [len(doc_ids)], "tokens": [codes.n],
             })
@@ -254,7 +246,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with store.open_input_stream(path, compression=None) as source:
             doc_ids, lengths, codes = read_file(source)
         ends = np.cumsum(lengths)
-        crcs = [zlib.crc32(codes.run(int(e - n), int(e)).astype("<u4").tobytes()) for e, n in zip(ends, lengths, strict=True)]
+        data = memoryview(codes.run(0, codes.n).astype("<u4").tobytes())
+        crcs = [zlib.crc32(data[4 * (e - n): 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
         yield pa.RecordBatch.from_pydict({
             "doc_id": pa.array(doc_ids, pa.int64()), "start": row["start"] + ends - lengths, "n_tokens": lengths,
             "ids_crc32": pa.array(crcs, pa.int64()),
