@@ -10,6 +10,8 @@ is missed. Documents that meet a sketch are then compared with the items word by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,24 +26,30 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def shingle_hashes(words_: Column, size: int) -> Column:
-    """A hash of every run of ``size`` words, made of the hashes of its words."""
-    hashes = F.transform(words_, lambda w: F.xxhash64(w))
-    starts = F.sequence(F.lit(0), F.size(words_) - size)
-    made = F.transform(starts, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(size))))
-    return F.when(F.size(words_) >= size, made).otherwise(F.array().cast("array<bigint>"))
+def _runs(array: str, size: int, made: Callable[..., Column], kind: str) -> Column:
+    """``made`` of every ``size`` neighbours of an array column: slices of it side by side, one pass over each."""
+    shifted = F.arrays_zip(*(F.slice(array, k + 1, F.size(array) - (size - 1)) for k in range(size)))
+    each = F.transform(shifted, lambda run: made(*(run[str(k)] for k in range(size))))
+    return F.when(F.size(array) >= size, each).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def with_hashes(docs: DataFrame, size: int) -> DataFrame:
+    """One row per shingle of every row of ``docs`` (column text): its ``hash``, made of the hashes of its words."""
+    hashed = docs.withColumn("words", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
+    return hashed.select(*(c for c in docs.columns if c != "text"), F.explode(_runs("words", size, F.xxhash64, "bigint")).alias("hash"))
 
 
-def shingles(words_: Column, size: int) -> Column:
-    """The distinct runs of ``size`` words as text."""
-    made = F.transform(F.sequence(F.lit(0), F.size(words_) - size), lambda i: F.array_join(F.slice(words_, i + 1, size), " "))
-    return F.when(F.size(words_) >= size, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+def with_shingles(docs: DataFrame, size: int) -> DataFrame:
+    """One row per distinct shingle of every row of ``docs`` (column text), as text."""
+    cut = docs.withColumn("words", words(F.col("text")))
+    runs = _runs("words", size, lambda *w: F.concat_ws(" ", *w), "string")
+    return cut.select(*(c for c in docs.columns if c != "text"), F.explode(F.array_distinct(runs)).alias("shingle"))
 
 
 def item_shingles(items: DataFrame, size: int) -> DataFrame:
     """``item_id, n, shingle, hash`` of the distinct shingles of every item."""
-    made = items.select(F.col("item_id").cast("long").alias("item_id"), shingles(words(F.col("text").cast("string")), size).alias("shingles"))
-    each = made.select("item_id", F.explode("shingles").alias("shingle")).distinct()
+    plain = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    each = with_shingles(plain, size).distinct()
     sizes = each.groupBy(F.col("item_id").alias("item")).agg(F.count("*").alias("n"))
     each = each.join(sizes, F.col("item_id").eqNullSafe(F.col("item"))).drop("item")
     return each.withColumn("hash", F.xxhash64(*(F.xxhash64(F.element_at(F.split("shingle", " "), k + 1)) for k in range(size))))
@@ -75,13 +83,13 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, s
     near = F.broadcast if fits else (lambda df: df)
     keys = near(sketches(parts, threshold).select("hash").distinct())
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = plain.select("doc_id", F.xxhash64("text").alias("version"), F.explode(shingle_hashes(words(F.col("text")), size)).alias("hash"))
+    plain = plain.withColumn("version", F.xxhash64("text"))
+    hashed = with_hashes(plain, size)
     met = written(hashed.join(keys, "hash").select("doc_id", "version").distinct(), "sketch-hits")
     found = met.select(F.col("doc_id").alias("d"), F.col("version").alias("v"))
-    suspects = plain.withColumn("version", F.xxhash64("text"))
-    suspects = suspects.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left_semi")
+    suspects = plain.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left_semi")
     suspects = suspects.dropDuplicates(["doc_id", "version"])
-    held = suspects.select("doc_id", "version", F.explode(shingles(words(F.col("text")), size)).alias("shingle"))
+    held = with_shingles(suspects, size)
     shared = held.join(near(parts.select("item_id", "n", "shingle")), "shingle")
     counted = shared.groupBy("doc_id", "version", "item_id", "n").agg(F.count("*").alias("common"))
     ratio = F.col("common") / F.col("n")
