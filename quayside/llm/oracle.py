@@ -39,6 +39,19 @@ SELECT d.doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, []::BI
 FROM documents d LEFT JOIN hits USING (doc_id)
 """
 
+OP9 = """
+WITH d AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS hash,
+                  coalesce(strlen(text), 0) AS bytes FROM documents),
+p AS (SELECT doc_id, bytes, depth, hash >> (60 - depth) AS prefix FROM d, (SELECT unnest(range(61))::INTEGER AS depth)),
+s AS (SELECT depth, prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY depth, prefix),
+shards AS (
+  SELECT s.* FROM s LEFT JOIN s AS above ON above.depth = s.depth - 1 AND above.prefix = s.prefix >> 1
+  WHERE (s.shard_bytes <= 1048576 OR s.depth = 60) AND (s.depth = 0 OR above.shard_bytes > 1048576))
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(prefix), 60, '0'), depth) END AS shard,
+       depth, shard_bytes, shard_rows
+FROM p JOIN shards USING (depth, prefix)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op6_decontamination": OP6}
+    return {"op2_line_dedup": OP2, "op6_decontamination": OP6, "op9_sharding": OP9}

@@ -12,8 +12,10 @@ from quayside.llm.bpe import encode_and_decode
 from quayside.llm.common import table
 from quayside.llm.decontaminate import contamination
 from quayside.llm.golay_simhash import near_duplicates
+from quayside.llm.imatch import imatch
 from quayside.llm.language_id import fit_model, held_out, identify
 from quayside.llm.line_dedup import dedup_lines
+from quayside.llm.sharding import with_shards
 from quayside.llm.token_store import read_tokens, write_tokens
 from quayside.llm.warc import archive_pages, read_archives
 
@@ -32,6 +34,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return imatch(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of all documents."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -59,6 +66,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digests_hold")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document; a shard holds up to 1 MiB of text, what a loader fetches at once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_shards(docs, 1 << 20).drop("text")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as directly addressable token files, and what a read of the files finds."""
     docs = table(spark, sf_dir, "documents")
@@ -67,5 +80,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_language_id, op2_line_dedup, op4_simhash_golay, op6_decontamination, op7_byte_bpe, op8_warc, op10_token_store,
+        op1_language_id, op2_line_dedup, op3_imatch, op4_simhash_golay, op6_decontamination, op7_byte_bpe, op8_warc, op9_sharding, op10_token_store,
     )}
