@@ -16,6 +16,7 @@ from quayside.llm.imatch import imatch
 from quayside.llm.language_id import fit_model, held_out, identify
 from quayside.llm.line_dedup import dedup_lines
 from quayside.llm.sharding import with_shards
+from quayside.llm.suffix_dedup import remove_repeats
 from quayside.llm.token_store import read_tokens, write_tokens
 from quayside.llm.warc import archive_pages, read_archives
 
@@ -45,6 +46,12 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that 100-byte strings cover which start earlier too."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For all documents the benchmark items that they contain."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -80,5 +87,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_language_id, op2_line_dedup, op3_imatch, op4_simhash_golay, op6_decontamination, op7_byte_bpe, op8_warc, op9_sharding, op10_token_store,
+        op1_language_id, op2_line_dedup, op3_imatch, op4_simhash_golay, op5_suffix_dedup, op6_decontamination, op7_byte_bpe, op8_warc, op9_sharding, op10_token_store,
     )}
