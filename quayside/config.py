@@ -26,7 +26,7 @@ _PLAIN = re.compile(r"[A-Za-z0-9_]+")
 def plain_identifier(name: str, what: str) -> str:
     """Names end up unquoted in SQL, so anything but letters, digits and ``_`` is refused."""
     if not isinstance(name, str) or not _PLAIN.fullmatch(name):
-        raise ValueError(f"{what} must be a plain identifier, got {name!r}")
+        raise ValueError(f"{name!r} cannot be the {what}: only letters, digits and _ are used in names")
     return name
 
 

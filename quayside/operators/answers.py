@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import union_all
+from ..functions.frames import fold, union_all
 from ..functions.measures import days_text, percent_text
 
 _SIDES = (("urgent", True), ("other", False))
@@ -81,15 +81,23 @@ def q4_verdict(urgency: DataFrame) -> DataFrame:
 
 
 def answers_text(
-    modes: DataFrame, summary: DataFrame, urgency: DataFrame, monitoring: DataFrame
+    modes: DataFrame, summary: DataFrame, urgency: DataFrame, months: DataFrame, monitoring: DataFrame
 ) -> DataFrame:
-    """One readable sentence per question."""
+    """One readable sentence per question; ``months`` are the marked months, ``monitoring`` their summary."""
     fastest = q1_fastest(modes).agg(
         F.array_join(F.array_sort(F.collect_list("ship_mode")), ", ").alias("names"),
         F.max("transit_p50_days").alias("p50"),
         F.max("is_tied").alias("tied"),
         F.max(F.when(F.col("has_lowest_mean"), F.col("ship_mode"))).alias("lowest"),
+        F.min("transit_mean_days").alias("lowest_mean"),
     )
+    told = F.concat(
+        F.coalesce(F.col("commit_month").cast("string"), F.lit("no month")), F.lit(" ("), F.col("incomplete_reason"), F.lit(", "),
+        F.col("line_count").cast("string"), F.lit(" lines, "), percent_text(F.col("delay_rate")), F.lit(")"),
+    )
+    listed = months.where("is_incomplete").agg(F.array_sort(F.collect_list(F.struct("commit_month", told.alias("told")))).alias("m"))
+    listed = listed.select(F.array_join(F.transform("m", lambda x: x["told"]), ", ").alias("incomplete"))
+    monitoring = fold([monitoring, listed])
     predictable = q1_most_predictable(modes)
     worst = q3_worst(modes)
     verdict = q4_verdict(urgency)
@@ -109,7 +117,7 @@ def answers_text(
     return union_all([
         said(
             "q1_fastest", fastest, F.col("names"), F.when(F.col("tied"), " tie").otherwise(" is fastest"),
-            " at a median of ", days_text(F.col("p50")), "; lowest mean: ", F.col("lowest"),
+            " at a median of ", days_text(F.col("p50")), "; lowest mean: ", F.col("lowest"), " with ", days_text(F.col("lowest_mean")),
         ),
         said(
             "q1_predictable", predictable, F.col("ship_mode"), " has the narrowest p90 - p50: ",
@@ -118,7 +126,8 @@ def answers_text(
         said(
             "q2", q2_gap(summary), percent_text(F.col("order_on_time_share")), " of orders are fully on time, ",
             percent_text(F.col("line_on_time_share")), " of lines, a gap of ", percent_text(F.col("share_gap")),
-            "; orders have ", whole("lines_per_order_min"), " to ", whole("lines_per_order_max"), " lines",
+            "; orders have ", whole("lines_per_order_min"), " to ", whole("lines_per_order_max"), " lines, ",
+            F.format_string("%.2f", "lines_per_order_p50"), " in the median and ", F.format_string("%.2f", "lines_per_order_mean"), " on average",
         ),
         said(
             "q3", worst, F.col("ship_mode"), " is late most often: ", percent_text(F.col("delay_rate")), ", ",
@@ -130,6 +139,8 @@ def answers_text(
             percent_text(F.col("overall_delay_rate")), "; stable from ", whole("stable_first_month"), " to ",
             whole("stable_last_month"), " between ", percent_text(F.col("lowest_rate")), " (",
             whole("lowest_rate_month"), ") and ", percent_text(F.col("highest_rate")), " (",
-            whole("highest_rate_month"), ")",
+            whole("highest_rate_month"), "), ", whole("stable_months"), " months with a mean rate of ",
+            percent_text(F.col("mean_monthly_rate")), " and ", whole("min_lines"), " to ", whole("max_lines"), " lines each; median of all months: ",
+            F.format_string("%.2f", "median_line_count"), " lines; incomplete: ", F.col("incomplete"),
         ),
     ])

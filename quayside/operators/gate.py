@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,24 +30,28 @@ def audit_rows(report: DataFrame, run_id: str, run_ts: datetime | None = None) -
     )
 
 
-def dq_result(
-    spark: SparkSession,
-    run_id: str,
-    rule_id: str,
-    layer: str,
-    table_name: str,
-    violation_count: int,
-    sample_keys: Iterable[object] = (),
-    run_ts: datetime | None = None,
-) -> DataFrame:
-    """The audit row of a rule of one's own, with up to ten sample keys."""
-    if layer not in CHECKED_LAYERS:
-        raise ValueError(f"layer must be one of {CHECKED_LAYERS}, got {layer!r}")
-    if int(violation_count) < 0:
-        raise ValueError(f"violation_count must be >= 0, got {violation_count}")
-    samples = json.dumps([str(k) for k in sample_keys][:MAX_SAMPLE_KEYS], separators=(",", ":"))
-    row = (rule_id, layer, table_name, int(violation_count), samples)
-    return audit_rows(spark.createDataFrame([row], REPORT_SCHEMA), run_id, run_ts)
+@dataclass(frozen=True)
+class OwnResult:
+    """The result of a rule that a user evaluates; refused at once if no audit row could hold it."""
+
+    rule: str
+    layer: str
+    table: str
+    violations: int
+    samples: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        if self.layer not in CHECKED_LAYERS:
+            raise ValueError(f"no checked layer: {self.layer!r}; there are {', '.join(CHECKED_LAYERS)}")
+        if self.violations < 0:
+            raise ValueError(f"{self.rule} cannot be broken {self.violations} times")
+
+
+def own_results(spark: SparkSession, results: Iterable[OwnResult]) -> DataFrame:
+    """Own results as report rows, ready for ``audit_rows``; samples are cut and encoded as in every report."""
+    rows = [(r.rule, r.layer, r.table, r.violations, list(r.samples)) for r in results]
+    report = spark.createDataFrame(rows, REPORT_SCHEMA.replace("sample_keys string", "sample_keys array<string>"))
+    return report.withColumn("sample_keys", F.to_json(F.slice("sample_keys", 1, MAX_SAMPLE_KEYS)))
 
 
 def for_run(audit: DataFrame, run_id: str, rule_ids: Iterable[str] | None = None) -> DataFrame:
@@ -56,6 +60,12 @@ def for_run(audit: DataFrame, run_id: str, rule_ids: Iterable[str] | None = None
     return rows if rule_ids is None else rows.where(F.col("rule_id").isin(*rule_ids))
 
 
+def latest_results(audit: DataFrame) -> DataFrame:
+    """All results of the run recorded last (the smaller id on equal times), failed ones first."""
+    newest = audit.groupBy("run_id").agg(F.max("run_ts").alias("at")).orderBy(F.col("at").desc(), "run_id").limit(1)
+    return audit.join(newest.select("run_id"), "run_id", "left_semi").select(audit.columns).orderBy("passed", "rule_id", "table_name")
+
+
 def run_ids(audit: DataFrame) -> DataFrame:
     return audit.select("run_id").distinct()
 
@@ -73,7 +83,7 @@ def gate_verdict(audit: DataFrame, run_id: str, rule_ids: Iterable[str]) -> Data
 
 def raise_if_failed(audit: DataFrame, run_id: str, rule_ids: Iterable[str]) -> None:
     """Stop the run unless every requested rule has only passing results in it."""
-    bad = {r.rule_id: r.verdict for r in gate_verdict(audit, run_id, rule_ids).where("verdict <> 'passed'").collect()}
+    bad = gate_verdict(audit, run_id, rule_ids).where("verdict <> 'passed'").orderBy("rule_id").collect()
     if bad:
-        failed, missing = (sorted(r for r, v in bad.items() if v == kind) for kind in ("failed", "missing"))
-        raise DataQualityError(f"run {run_id}: failed rules = {failed}, rules without a result = {missing}")
+        told = "; ".join(f"{r.rule_id} {r.verdict}" + (f" ({r.violations} rows)" if r.violations else "") for r in bad)
+        raise DataQualityError(f"run {run_id} is stopped: {told}")

@@ -14,20 +14,22 @@ def edge_months(monthly: DataFrame, edge_share: float = EDGE_LINE_SHARE) -> Data
     """Mark months that hold only part of their lines.
 
     From either end inward, months below ``edge_share`` of the median month are edge months until
-    one reaches it, i.e. those before the first or after the last month that does. The windows run
-    over one row per calendar month.
+    one reaches it, i.e. those before the first or after the last month that does; without any such
+    month all are. Lines without a commit month stand before all months and are never a full month.
+    The windows run over one row per calendar month.
     """
     series = Window.partitionBy()
-    month, lines = F.col("commit_month"), F.col("line_count")
-    full = F.when(lines >= edge_share * F.col("median_line_count"), month)
+    lines, at = F.col("line_count"), F.col("place")
+    full = F.when(F.col("commit_month").isNotNull() & (lines >= edge_share * F.col("median_line_count")), at)
     marked = (
         monthly.withColumn("median_line_count", F.percentile("line_count", 0.5).over(series))
+        .withColumn("place", F.row_number().over(Window.orderBy(F.col("commit_month").asc_nulls_first())))
         .withColumns({"first_full": F.min(full).over(series), "last_full": F.max(full).over(series)})
-        .withColumn("is_edge_month", (month < F.col("first_full")) | (month > F.col("last_full")))
-        .withColumn("is_incomplete", F.col("is_boundary_month") | F.col("is_edge_month"))
+        .withColumn("is_edge_month", F.coalesce((at < F.col("first_full")) | (at > F.col("last_full")), F.lit(True)))
+        .withColumn("is_incomplete", F.coalesce("is_boundary_month", F.lit(False)) | F.col("is_edge_month"))
     )
     label = F.when(F.col("is_boundary_month"), "boundary").when(F.col("is_edge_month"), "low count")
-    return marked.withColumn("incomplete_reason", label).drop("first_full", "last_full").orderBy("commit_month")
+    return marked.withColumn("incomplete_reason", label).drop("first_full", "last_full", "place").orderBy("commit_month")
 
 
 def monitor_summary(months: DataFrame) -> DataFrame:

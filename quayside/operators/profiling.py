@@ -145,22 +145,24 @@ def documented_rules(tables: Mapping[str, DataFrame]) -> DataFrame:
         )
 
     def wrong_code(phone: str, nation: str):
-        return F.substring(phone, 1, 2).cast("int") != F.col(nation) + 10
-
-    priced = tables["lineitem"].select("l_partkey", "l_quantity", "l_extendedprice").join(
-        tables["part"].select("p_partkey", "p_retailprice"), F.col("p_partkey") == F.col("l_partkey")
-    )
+        # a code that is no number breaks the rule as well
+        differs = F.substring(phone, 1, 2).try_cast("int") != F.col(nation) + 10
+        return F.col(phone).isNotNull() & F.coalesce(differs, F.lit(True))
+
+    # equal lines are counted in the tasks, so a part with very many of them is a few rows in the join
+    lines = tables["lineitem"].groupBy("l_partkey", "l_quantity", "l_extendedprice").agg(F.count(F.lit(1)).alias("n"))
+    priced = lines.join(tables["part"].select("p_partkey", "p_retailprice"), F.col("p_partkey") == F.col("l_partkey"))
+    wrong_price = F.col("l_extendedprice") != F.col("l_quantity") * F.col("p_retailprice")
     return union_all([
         breaking(
-            "p_brand digit M = p_mfgr number", tables["part"],
+            "brand names its manufacturer", tables["part"],
             F.substring("p_brand", 7, 1) != F.expr("substring(p_mfgr, 14)"),
         ),
-        breaking(
-            "l_extendedprice = l_quantity * p_retailprice", priced,
-            F.col("l_extendedprice") != F.col("l_quantity") * F.col("p_retailprice"),
+        priced.agg(F.coalesce(F.sum(F.when(wrong_price, F.col("n"))), F.lit(0)).alias("rows_breaking_rule")).select(
+            F.lit("line price is quantity times retail price").alias("rule"), "rows_breaking_rule"
         ),
-        breaking("c_phone country code = c_nationkey + 10", tables["customer"], wrong_code("c_phone", "c_nationkey")),
-        breaking("s_phone country code = s_nationkey + 10", tables["supplier"], wrong_code("s_phone", "s_nationkey")),
+        breaking("phone of a customer starts with its nation", tables["customer"], wrong_code("c_phone", "c_nationkey")),
+        breaking("phone of a supplier starts with its nation", tables["supplier"], wrong_code("s_phone", "s_nationkey")),
     ])
 
 

@@ -48,7 +48,7 @@ ANSWERS = {
     "monitor_months": _months,
     "monitor_summary": lambda gold: monitor_summary(_months(gold)),
     "answers_text": lambda gold: answers.answers_text(
-        _modes(gold), _summary(gold), _urgency(gold), monitor_summary(_months(gold))
+        _modes(gold), _summary(gold), _urgency(gold), _months(gold), monitor_summary(_months(gold))
     ),
 }
 

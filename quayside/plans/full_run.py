@@ -51,7 +51,12 @@ class Execution:
 
 
 def start(spark: SparkSession, store: Store, source, run_id: str | None = None) -> Execution:
-    """Open the audit tables for a fresh execution; earlier rows are kept."""
+    """Open the audit tables for a fresh execution; earlier rows are kept, leftovers of a lost driver are swept."""
+    local = spark.sparkContext.master.startswith("local")
+    home = spark.conf.get("spark.sql.warehouse.dir")
+    if not local and store.layout.catalog == "spark_catalog" and (home.startswith("file:") or "://" not in home):
+        raise ValueError(f"spark.sql.warehouse.dir is {home!r}, a folder of one machine; name a shared one")
+    store.sweep(("bronze", "staging", "silver", "gold"))
     store.ensure("audit", CHECKS, DQ_RESULTS_SCHEMA)
     store.ensure("audit", RUNS, RUNS_SCHEMA)
     return Execution(spark, store, source, run_id or new_run_id())
@@ -67,8 +72,7 @@ def ingest(run: Execution) -> None:
     ingested_at = datetime.now(timezone.utc)
     tables = run.source_tables()
     loaded = {t: bronze(df, f"{run.source.label}.{t}", ingested_at) for t, df in tables.items()}
-    run.store.replace_all(loaded, "bronze")
-    require_ok(bronze_report(tables, run.store.read_all("bronze", SOURCE_TABLES)))
+    run.store.replace_all(loaded, "bronze", lambda new: require_ok(bronze_report(tables, new)))
 
 
 def stage(run: Execution, amend: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
@@ -78,8 +82,7 @@ def stage(run: Execution, amend: Mapping[str, Callable[[DataFrame], DataFrame]]
     sources = run.store.read_all("bronze", SOURCE_TABLES)
     staged = staged_tables(sources)
     staged |= {name: change(staged[name]) for name, change in (amend or {}).items()}
-    run.store.replace_all(staged, "staging")
-    require_ok(staging_report(sources, run.store.read_all("staging", SILVER)))
+    run.store.replace_all(staged, "staging", lambda new: require_ok(staging_report(sources, new)))
 
 
 def validate(run: Execution) -> None:
@@ -95,9 +98,9 @@ def publish(run: Execution) -> None:
     raise_if_failed(run.audit(), run.run_id, VALIDATE_RULES)
     staging = run.store.read_all("staging", SILVER)
     assert_enforced(staging)
-    written = run.store.write_all(staging, "silver")
-    run.store.swap("silver", written, {t: constraint_properties(t) for t in SILVER})
-    require_ok(silver_report(staging, run.store.read_all("silver", SILVER)))
+    run.store.replace_all(
+        staging, "silver", lambda new: require_ok(silver_report(staging, new)), {t: constraint_properties(t) for t in SILVER}
+    )
 
 
 def build_gold(run: Execution) -> None:
@@ -112,9 +115,7 @@ def build_gold(run: Execution) -> None:
     try:
         written |= store.write_all({t: build(lineitem, orders) for t, build in FACT_BUILDERS.items()}, "gold")
         line_fact, order_fact = (spark.table(written[f]) for f in FACTS)
-        # a handful of result rows each
-        small = {t: build(line_fact, order_fact).coalesce(1) for t, build in AGGREGATE_BUILDERS.items()}
-        written |= store.write_all(small, "gold")
+        written |= store.write_all({t: build(line_fact, order_fact) for t, build in AGGREGATE_BUILDERS.items()}, "gold")
         require_ok(gold_report({t: spark.table(written[t]) for t in GOLD}), "columns_match_contract")
         run.append_results(gold_count_rules(lineitem, orders, line_fact, order_fact))
         raise_if_failed(run.audit(), run.run_id, GOLD_RULES)

@@ -53,7 +53,7 @@ _PART = (
 _ORDERS = (
     "SELECT {key} AS o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, "
     "{date} AS o_orderdate, o_orderpriority, '' AS o_clerk, CAST(0 AS INTEGER) AS o_shippriority, '' AS o_comment "
-    "FROM orders {where}"
+    "FROM orders"
 )
 _PARTSUPP = (
     "SELECT DISTINCT l_partkey AS ps_partkey, {supp} AS ps_suppkey, "
@@ -68,7 +68,9 @@ RELATIONS: dict[str, str] = {
         "SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, "
         "CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS l_quantity, "
         "CAST(max(l_discount) AS DECIMAL(18,2)) AS l_discount, CAST(max(l_tax) AS DECIMAL(18,2)) AS l_tax "
-        "FROM lineitem GROUP BY l_orderkey, l_linenumber"
+        "FROM lineitem GROUP BY l_orderkey, l_linenumber UNION ALL SELECT o_orderkey, CAST(1 AS INTEGER), "
+        "o_orderkey % 200, o_orderkey % 10, CAST(1 AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2)) "
+        "FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"
     ),
     "c_dated": (
         "SELECT l.*, CAST(p.p_retailprice AS DECIMAL(18,2)) AS price, "
@@ -86,9 +88,7 @@ RELATIONS: dict[str, str] = {
         "l_shipdate, l_commitdate, l_shipdate + td AS l_receiptdate, 'NONE' AS l_shipinstruct, l_shipmode, "
         "'' AS l_comment FROM c_dated"
     ),
-    "c_orders": _ORDERS.format(
-        key="o_orderkey", date="CAST(o_orderdate AS DATE)", where="WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"
-    ),
+    "c_orders": _ORDERS.format(key="o_orderkey", date="CAST(o_orderdate AS DATE)"),
     "c_partsupp": _PARTSUPP.format(supp="l_suppkey", lines="c_lines"),
     **_plain("d"),
     "d_part": _PART.format(
@@ -110,7 +110,7 @@ RELATIONS: dict[str, str] = {
     ),
     "d_orders": _ORDERS.format(
         key="CASE WHEN o_orderkey % 101 = 0 THEN -1 - o_orderkey ELSE o_orderkey END",
-        date="CASE WHEN o_orderkey % 211 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END", where="",
+        date="CASE WHEN o_orderkey % 211 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END",
     ),
     "d_partsupp": _PARTSUPP.format(
         supp="CASE WHEN l_partkey % 13 = 0 THEN -1 - l_suppkey ELSE l_suppkey END", lines="lineitem"
@@ -119,6 +119,7 @@ RELATIONS: dict[str, str] = {
 
 # --- Silver, Gold and answers ------------------------------------------------------------------
 
+# Columns of the staged tables, and the source tables.
 _STAGED = {
     "region": "r_regionkey, r_name, r_comment",
     "nation": "n_nationkey, n_name, n_regionkey, n_comment",
@@ -309,22 +310,38 @@ def _figures(side: str) -> str:
 RELATIONS["said"] = " UNION ALL ".join([
     "SELECT 'q1_fastest' AS topic, string_agg(ship_mode, ', ' ORDER BY ship_mode) || CASE WHEN count(*) > 1 THEN ' tie' "
     f"ELSE ' is fastest' END || ' at a median of ' || {_dy('max(transit_p50_days)')} || '; lowest mean: ' || "
-    "max(ship_mode) FILTER (WHERE has_lowest_mean) AS answer FROM fastest",
+    f"max(ship_mode) FILTER (WHERE has_lowest_mean) || ' with ' || {_dy('min(transit_mean_days)')} AS answer FROM fastest",
     f"SELECT 'q1_predictable', ship_mode || ' has the narrowest p90 - p50: ' || {_dy('transit_p90_minus_p50_days')} FROM predictable",
     f"SELECT 'q2', {_pc('order_on_time_share')} || ' of orders are fully on time, ' || {_pc('line_on_time_share')} || "
     f"' of lines, a gap of ' || {_pc('share_gap')} || '; orders have ' || lines_per_order_min || ' to ' || "
-    "lines_per_order_max || ' lines' FROM gap",
+    "lines_per_order_max || ' lines, ' || printf('%.2f', lines_per_order_p50) || ' in the median and ' || "
+    "printf('%.2f', lines_per_order_mean) || ' on average' FROM gap",
     f"SELECT 'q3', ship_mode || ' is late most often: ' || {_pc('delay_rate')} || ', ' || late_line_count || ' of ' || "
     "line_count || ' lines' FROM worst",
     f"SELECT 'q4', 'urgent orders: ' || verdict || '; ' || {_figures('urgent')} || '; ' || {_figures('other')} FROM verdict",
     f"SELECT 'monitoring', month_count || ' commit months, overall delay rate ' || {_pc('overall_delay_rate')} || "
     "'; stable from ' || stable_first_month || ' to ' || stable_last_month || ' between ' || "
     f"{_pc('lowest_rate')} || ' (' || lowest_rate_month || ') and ' || {_pc('highest_rate')} || ' (' || "
-    "highest_rate_month || ')' FROM monitor_summary",
+    f"highest_rate_month || '), ' || stable_months || ' months with a mean rate of ' || {_pc('mean_monthly_rate')} || ' and ' || "
+    "min_lines || ' to ' || max_lines || ' lines each; median of all months: ' || printf('%.2f', median_line_count) || "
+    "' lines; incomplete: ' || incomplete FROM monitor_summary, "
+    "(SELECT coalesce(string_agg(coalesce(CAST(commit_month AS VARCHAR), 'no month') || ' (' || incomplete_reason || ', ' || line_count || ' lines, ' || "
+    f"{_pc('delay_rate')} || ')', ', ' ORDER BY commit_month NULLS FIRST), '') AS incomplete FROM monitor_months WHERE is_incomplete) AS i",
 ])
 
 # --- validation --------------------------------------------------------------------------------
 
+# Gold and answers over the dirty fixture: the same statements on relations with a prefix of their own.
+_DERIVED = tuple(r for r in RELATIONS if not r.startswith(("c_", "d_")))
+
+
+def _dirty(sql: str) -> str:
+    return re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(_DERIVED)})\b", r"\1\2d_\3", sql)
+
+
+RELATIONS |= {f"d_{r}": _dirty(RELATIONS[r]) for r in _DERIVED if f"d_{r}" not in RELATIONS}
+
+# Primary and foreign keys, allowed values.
 _LINE_KEY = ("l_orderkey", "l_linenumber")
 _PK = {
     "region": ("r_regionkey",), "nation": ("n_nationkey",), "supplier": ("s_suppkey",), "customer": ("c_custkey",),
@@ -455,6 +472,7 @@ def _gate(counts: str) -> str:
     )
 
 
+# Columns that may not be NULL.
 _REQUIRED = {
     t: keys + {
         "orders": ("o_orderdate",), "ship_date_status": ("l_linestatus",),
@@ -539,14 +557,14 @@ def _fds(p: str) -> str:
 
 def _documented(p: str) -> str:
     phones = " UNION ALL ".join(
-        f"SELECT '{x}_phone country code = {x}_nationkey + 10', "
-        f"{_count_if(f'CAST(substring({x}_phone, 1, 2) AS INTEGER) <> {x}_nationkey + 10')} FROM {p}_{t}"
+        f"SELECT 'phone of a {t} starts with its nation', "
+        f"{_count_if(f'{x}_phone IS NOT NULL AND coalesce(TRY_CAST(substring({x}_phone, 1, 2) AS INTEGER) <> {x}_nationkey + 10, true)')} FROM {p}_{t}"
         for x, t in (("c", "customer"), ("s", "supplier"))
     )
     return (
-        "SELECT 'p_brand digit M = p_mfgr number' AS rule, "
+        "SELECT 'brand names its manufacturer' AS rule, "
         f"{_count_if('substring(p_brand, 7, 1) <> substring(p_mfgr, 14)')} AS rows_breaking_rule FROM {p}_part UNION ALL "
-        "SELECT 'l_extendedprice = l_quantity * p_retailprice', "
+        "SELECT 'line price is quantity times retail price', "
         f"{_count_if('l_extendedprice <> l_quantity * p_retailprice')} FROM {p}_lineitem JOIN {p}_part ON p_partkey = l_partkey "
         f"UNION ALL {phones}"
     )
@@ -587,9 +605,9 @@ RELATIONS["ledger"] = (
     "ELSE event_type END AS event, ts AS event_ts FROM events"
 )
 RELATIONS["runs"] = (
-    "SELECT run_id, min(event_ts) FILTER (WHERE event = 'started') AS started_at, "
-    "max(event_ts) FILTER (WHERE event = 'succeeded') AS succeeded_at, array_to_string(list_sort(list(DISTINCT event)), ',') AS events "
-    "FROM ledger GROUP BY run_id"
+    "SELECT run_id, array_to_string(list_sort(list(DISTINCT event)), ',') AS kinds, "
+    "min(event_ts) FILTER (WHERE event = 'started') AS first_start, "
+    "max(event_ts) FILTER (WHERE event = 'succeeded') AS last_success FROM ledger GROUP BY run_id"
 )
 
 # --- the queries -------------------------------------------------------------------------------
@@ -694,9 +712,14 @@ def _body() -> dict[str, str]:
         "bag_diff_fixtures": _diff(_stage("part", "d"), _stage("part")),
         "layer_diff": " UNION ALL ".join(_diff(_stage(t), _stage(t, "d"), t) for t in _TABLES),
         "ledger_states": "SELECT * FROM runs",
-        "ledger_latest": "SELECT * FROM runs ORDER BY started_at DESC NULLS LAST, run_id LIMIT 1",
+        "ledger_latest": (
+            "SELECT n.run_id, n.event_ts AS newest_start, last_success FROM "
+            "(SELECT * FROM ledger WHERE event = 'started' ORDER BY event_ts DESC, run_id LIMIT 1) n JOIN runs USING (run_id)"
+        ),
         "ledger_last_events": "SELECT run_id, event, event_ts FROM ledger ORDER BY event_ts DESC, run_id LIMIT 2",
     }
+    answers = [name for name in bodies if name in _GOLD_NAMES or name.startswith(("q1_", "q2_", "q3_", "q4_", "monitor_")) or name == "answers_text"]
+    bodies |= {f"{name}_dirty": _dirty(bodies[name]) for name in answers}
     return bodies
 
 
@@ -752,7 +775,7 @@ def oracle_sql() -> dict[str, str]:
     statements = {}
     for name, body in _body().items():
         needed = ", ".join(f"{r} AS ({RELATIONS[r]})" for r in _needed(body))
-        doubles = _DOUBLE_COLUMNS.get(name, "").split()
+        doubles = _DOUBLE_COLUMNS.get(name, _DOUBLE_COLUMNS.get(name.removesuffix("_dirty"), "")).split()
         if doubles:
             replaced = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in doubles)
             body = f"SELECT * REPLACE ({replaced}) FROM ({body})"

@@ -13,9 +13,9 @@ from ..functions.frames import union_all
 from ..operators import profiling, rules
 from ..operators.aggregates import AGGREGATE_BUILDERS, FACT_BUILDERS
 from ..operators.diff import bag_diff, layer_diff
-from ..operators.gate import audit_rows, for_run, gate_verdict, run_ids
+from ..operators.gate import audit_rows, for_run, gate_verdict, latest_results, run_ids
 from ..operators.layers import bronze, inject_receipt_before_ship, staged, staged_tables
-from ..operators.ledger import last_events, latest_run_state, run_states
+from ..operators.ledger import last_events, newest_run, run_states
 from ..operators.reports import bronze_report, enforced_violations, gold_report, silver_report, staging_report
 from ..sources.fixtures import raw, source_table, source_tables
 from .analysis import ANSWERS
@@ -175,12 +175,15 @@ def _validation() -> dict[str, Query]:
 
 def _gold() -> dict[str, Query]:
     made = {name: lambda x, name=name: x.gold()[name] for name in GOLD}
+    made |= {f"{name}_dirty": lambda x, name=name: x.gold(True)[name] for name in GOLD}
     made["gold_report"] = lambda x: gold_report(x.gold())
     return {name: _relation(f) for name, f in made.items()}
 
 
 def _answers() -> dict[str, Query]:
-    return {name: _relation(lambda x, answer=answer: answer(x.gold())) for name, answer in ANSWERS.items()}
+    made = {name: lambda x, answer=answer: answer(x.gold()) for name, answer in ANSWERS.items()}
+    made |= {f"{name}_dirty": lambda x, answer=answer: answer(x.gold(True)) for name, answer in ANSWERS.items()}
+    return {name: _relation(f) for name, f in made.items()}
 
 
 def _profile() -> dict[str, Query]:
@@ -204,7 +207,7 @@ def _profile() -> dict[str, Query]:
 
 def _changes() -> dict[str, Query]:
     def listed(states: DataFrame) -> DataFrame:
-        return states.withColumn("events", F.array_join("events", ","))
+        return states.withColumn("kinds", F.array_join("kinds", ","))
 
     def injected(x: Inputs) -> DataFrame:
         return inject_receipt_before_ship(x.staged("lineitem"))
@@ -214,7 +217,7 @@ def _changes() -> dict[str, Query]:
         "bag_diff_fixtures": lambda x: bag_diff(x.staged("part", True), x.staged("part")),
         "layer_diff": lambda x: layer_diff(x.staging(), x.staging(True)),
         "ledger_states": lambda x: listed(run_states(x.ledger())),
-        "ledger_latest": lambda x: listed(latest_run_state(x.ledger())),
+        "ledger_latest": lambda x: newest_run(x.ledger()),
         "ledger_last_events": lambda x: last_events(x.ledger()),
     }
     return {name: _relation(f) for name, f in made.items()}

@@ -101,7 +101,7 @@ def _merged_lines(spark, sf_dir):
     lines = raw(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _money("l_quantity"), "l_discount", "l_tax"
     )
-    return (
+    merged = (
         lines.groupBy("l_orderkey", "l_linenumber")
         .agg({"l_partkey": "min", "l_suppkey": "min", "l_quantity": "sum", "l_discount": "max", "l_tax": "max"})
         .selectExpr(
@@ -111,6 +111,17 @@ def _merged_lines(spark, sf_dir):
             "CAST(`max(l_tax)` AS DECIMAL(18,2)) AS l_tax",
         )
     )
+    return merged.unionByName(_first_lines(spark, sf_dir))
+
+
+def _first_lines(spark, sf_dir):
+    """A line for each order that has none, made of the order's own key; every part and supplier so named exists."""
+    used = raw(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o_orderkey").distinct()
+    return raw(spark, sf_dir, "orders").join(used, "o_orderkey", "left_anti").selectExpr(
+        "o_orderkey AS l_orderkey", "1 AS l_linenumber", "o_orderkey % 200 AS l_partkey", "o_orderkey % 10 AS l_suppkey",
+        "CAST(1 AS DECIMAL(18,2)) AS l_quantity", "CAST(0 AS DECIMAL(18,2)) AS l_discount",
+        "CAST(0 AS DECIMAL(18,2)) AS l_tax",
+    )
 
 
 def _clean_lineitem(spark, sf_dir):
@@ -164,9 +175,6 @@ def orders(spark, sf_dir, dirty=False):
         # some orders move to a key no line refers to: their lines become orphans, they lose their lines
         key = "CASE WHEN o_orderkey % 101 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS o_orderkey"
         date = "CASE WHEN o_orderkey % 211 <> 0 THEN CAST(o_orderdate AS DATE) END AS o_orderdate"
-    else:
-        used = raw(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o_orderkey").distinct()
-        source = source.join(used, "o_orderkey", "left_semi")
     return source.selectExpr(
         key, "o_custkey", "o_orderstatus", _money("o_totalprice"), date, "o_orderpriority", "'' AS o_clerk",
         "0 AS o_shippriority", "'' AS o_comment",

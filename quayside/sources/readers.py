@@ -25,7 +25,7 @@ class CatalogSource:
     def parse(cls, name: str) -> CatalogSource:
         catalog, dot, schema = name.partition(".")
         if not dot:
-            raise ValueError(f"source must be <catalog>.<schema>, got {name!r}")
+            raise ValueError(f"{name!r} names no schema; write catalog and schema with a dot between them")
         return cls(catalog, schema)
 
     @property

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT_PREFIX, Layout
 
+_LEFT = re.compile(r"(?P<table>.+?)__(?P<aside>aside_)?[0-9a-f]{12}")
+
 
 class Store:
     """Tables of one layout.
@@ -76,24 +79,72 @@ class Store:
             raise failed[0]
         return {t: f.result() for t, f in started.items()}
 
-    def replace_all(self, frames: Mapping[str, DataFrame], layer: str) -> None:
-        self.swap(layer, self.write_all(frames, layer))
+    def replace_all(
+        self,
+        frames: Mapping[str, DataFrame],
+        layer: str,
+        check: Callable[[dict[str, DataFrame]], None] | None = None,
+        properties: Mapping[str, Mapping[str, str]] | None = None,
+    ) -> None:
+        """Write new versions, let ``check`` look at them, and only then put them in place."""
+        pending = self.write_all(frames, layer)
+        try:
+            if check:
+                check({t: self.spark.table(name) for t, name in pending.items()})
+        except Exception:
+            self.discard(pending.values())
+            raise
+        self.swap(layer, pending, properties)
 
     def swap(self, layer: str, pending: Mapping[str, str], properties: Mapping[str, Mapping[str, str]] | None = None):
         """Put finished versions in place of the current tables.
 
-        All data is written by then, so a failed write or a failed check leaves every table of the
-        layer as it was; only catalog entries change here.
+        All data is written by then; only catalog entries change here. Current tables step aside under
+        another name and are dropped after the last table is in place. If anything fails before, they
+        come back and the pending versions are dropped.
         """
-        for table, written in pending.items():
-            full = self.name(layer, table)
-            self.spark.sql(f"DROP TABLE IF EXISTS {full}")
-            inside_catalog = full.partition(".")[2]  # the new name may not repeat the catalog
-            self.spark.sql(f"ALTER TABLE {written} RENAME TO {inside_catalog}")
-            declared = (properties or {}).get(table)
-            if declared:
-                pairs = ", ".join(f"'{key}' = '{value}'" for key, value in declared.items())
-                self.spark.sql(f"ALTER TABLE {full} SET TBLPROPERTIES ({pairs})")
+        aside: dict[str, str] = {}
+        placed: list[str] = []
+        try:
+            for table, written in pending.items():
+                full = self.name(layer, table)
+                if self.exists(layer, table):
+                    aside[full] = f"{full}__aside_{uuid.uuid4().hex[:12]}"
+                    self._rename(full, aside[full])
+                declared = (properties or {}).get(table)
+                if declared:
+                    pairs = ", ".join(f"'{key}' = '{value}'" for key, value in declared.items())
+                    self.spark.sql(f"ALTER TABLE {written} SET TBLPROPERTIES ({pairs})")
+                self._rename(written, full)
+                placed.append(full)
+        except Exception:
+            self.discard(placed)
+            for full, old in aside.items():
+                if self.spark.catalog.tableExists(old):
+                    self._rename(old, full)
+            self.discard(pending.values())
+            raise
+        self.discard(aside.values())
+
+    def _rename(self, old: str, new: str) -> None:
+        self.spark.sql(f"ALTER TABLE {old} RENAME TO {new.partition('.')[2]}")  # the new name may not repeat the catalog
+
+    def sweep(self, layers: Iterable[str]) -> None:
+        """Drop what a lost driver left: versions that were never put in place. Only while no other run writes here.
+
+        A current table that had stepped aside when the driver was lost comes back under its name.
+        """
+        for layer in layers:
+            schema = self.layout.schema(layer)
+            if not self.spark.catalog.databaseExists(schema):
+                continue
+            names = {r.tableName for r in self.spark.sql(f"SHOW TABLES IN {schema}").collect()}
+            for name in sorted(names):
+                left = _LEFT.fullmatch(name)
+                if left and left["aside"] and left["table"] not in names:
+                    self._rename(f"{schema}.{name}", f"{schema}.{left['table']}")
+                elif left:
+                    self.discard([f"{schema}.{name}"])
 
     def discard(self, pending: Iterable[str]) -> None:
         for written in pending:
