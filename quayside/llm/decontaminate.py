@@ -110,5 +110,5 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, siz
 
 def without_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """``docs`` without the documents that contain a test item. Rows that share a doc_id go together."""
-    hits = contained_items(docs, items, threshold, size).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+    hits = contained_items(docs, items, threshold, size).select(F.col("doc_id").alias("contaminated_doc_id")).distinct()
+    return docs.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.contaminated_doc_id")), "left_anti")

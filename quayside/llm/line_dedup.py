@@ -207,9 +207,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, n_lines: str = "n_lines",
     copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *nothing, *arrays)
     dealt = copies.unionByName(probes).repartition(max(1 << min(bits, 14), 8), "shard", "salt")
     dealt = dealt.sortWithinPartitions("shard", "salt", F.col("sizes").isNull())
-    drops = in_tasks(dealt, _probe, "doc long, lo long").groupBy("doc").agg(F.collect_set("lo").alias(n_dropped))
-    rows = docs.join(drops, doc == F.col("doc"), "left").drop("doc").withColumn(n_lines, F.lit(0).cast("long"))
+    drops = in_tasks(dealt, _probe, "doc long, lo long").groupBy("doc").agg(F.collect_set("lo").alias("gone"))
     names = [*docs.columns, n_lines, n_dropped]
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc.alias("own"))  # any column name may come
+    rows = whole.join(drops, F.col("own") == F.col("doc"), "left").select("row.*", F.lit(0).cast("long").alias(n_lines), F.col("gone").alias(n_dropped))
     kinds = {**dict(docs.dtypes), n_lines: "long", n_dropped: "long", "text": "string"}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
-    return in_tasks(rows.select(*(F.col(f"`{n}`") for n in names)), _rewrite("text", n_dropped, n_lines), schema)
+    return in_tasks(rows, _rewrite("text", n_dropped, n_lines), schema)

@@ -72,8 +72,9 @@ def with_shards(rows: DataFrame, max_bytes: int, key: str = "doc_id", text: str
         F.col("depth"), "prefix", F.substring(F.lpad(F.bin("prefix"), BITS, "0"), F.lit(BITS + 1) - F.col("depth"), F.col("depth")).alias("shard"), "shard_bytes", "shard_rows")
     keys = sizes.select("hash").distinct().withColumn("depth", F.explode(F.array(*map(F.lit, depths)).cast("array<int>")))
     placed = keys.withColumn("prefix", _prefix(F.col("hash"), F.col("depth"))).join(named, ["depth", "prefix"])
-    placed = placed.select(F.col("hash").alias("key_hash"), "shard", "depth", "shard_bytes", "shard_rows")
-    return rows.join(placed, hashed == F.col("key_hash")).drop("key_hash")
+    placed = placed.select(F.struct("shard", "depth", "shard_bytes", "shard_rows").alias("place"), F.col("hash").alias("of"))
+    whole = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), hashed.alias("own"))  # any column name may come
+    return whole.join(placed, F.col("own") == F.col("of")).select("row.*", "place.*")
 
 
 def write_shards(rows: DataFrame, folder: str, max_bytes: int, key: str = "doc_id", text: str = "text") -> None:
