@@ -201,26 +201,25 @@ def record(frame: RuleFrame, *names: str) -> DataFrame:
 
 
 def dq_report(frames: Iterable[RuleFrame], more_counts: DataFrame | None = None) -> DataFrame:
-    """Every rule with its count and sample keys, ordered by rule and table.
+    """Every rule with its count and sample keys, ordered by rule and table, as one plan."""
+    report = union_all(record(f) for f in frames)
+    return with_counts(report, more_counts)
 
-    The counts come first, in one job, and are brought to the driver: one small row per rule of the
-    contract. Only rules with violations are then sampled, so clean data is read once.
-    """
-    frames = list(frames)
-    counts = rule_counts(frames)
-    spark = counts.sparkSession
-    schema = counts.schema
-    counted = counts.collect()
-    failing = {(r.rule_id, r.table_name) for r in counted if r.violation_count > 0}
-    samples = [_sampled(f, failing) for f in frames if any(r.name in failing for r in f.rules)]
-    parts = [spark.createDataFrame(counted, schema), *samples]
-    report = fold(parts, ("rule_id", "table_name")) if samples else parts[0].withColumn("sample_keys", F.lit("[]"))
-    report = report.withColumn("sample_keys", F.coalesce("sample_keys", F.lit("[]"))).select(*REPORT_COLUMNS)
+
+def with_counts(report: DataFrame, more_counts: DataFrame | None) -> DataFrame:
+    """The report and the results of rules that come with samples of their own, in order."""
     if more_counts is not None:
         report = report.unionByName(more_counts.select(*REPORT_COLUMNS))
     return report.orderBy("rule_id", "table_name")
 
 
+def sampled_where_failing(frames: Iterable[RuleFrame], counts: DataFrame, failing: Collection[tuple[str, str]]) -> DataFrame:
+    """Counted rules with sample keys, read from only those frames that have a failing rule."""
+    samples = [_sampled(f, failing) for f in frames if any(r.name in failing for r in f.rules)]
+    report = fold([counts, *samples], ("rule_id", "table_name")) if samples else counts.withColumn("sample_keys", F.lit("[]"))
+    return report.withColumn("sample_keys", F.coalesce("sample_keys", F.lit("[]"))).select(*REPORT_COLUMNS)
+
+
 def _difference_rows(rule_id: Column, layer: str, counts: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Row-count differences along ``names``; the counts themselves are the sample."""
     steps = [F.abs(F.col(a) - F.col(b)) for a, b in zip(names, names[1:])]

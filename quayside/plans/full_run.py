@@ -23,7 +23,15 @@ from ..operators.reports import (
     silver_report,
     staging_report,
 )
-from ..operators.rules import count_rules, dq_report, gold_count_rules, staging_rules
+from ..operators.rules import (
+    RuleFrame,
+    count_rules,
+    gold_count_rules,
+    rule_counts,
+    sampled_where_failing,
+    staging_rules,
+    with_counts,
+)
 from ..sources.readers import read_source
 from ..sources.store import Store
 
@@ -85,11 +93,23 @@ def stage(run: Execution, amend: Mapping[str, Callable[[DataFrame], DataFrame]]
     run.store.replace_all(staged, "staging", lambda new: require_ok(staging_report(sources, new)))
 
 
+def report_in_two_steps(frames: list[RuleFrame], more_counts: DataFrame) -> DataFrame:
+    """The report over written tables: counts first, then samples of what failed, so clean data is read once.
+
+    The counts are brought to the driver, one small row per rule of the contract.
+    """
+    counts = rule_counts(frames)
+    counted = counts.collect()
+    failing = {(r.rule_id, r.table_name) for r in counted if r.violation_count > 0}
+    known = counts.sparkSession.createDataFrame(counted, counts.schema)
+    return with_counts(sampled_where_failing(frames, known, failing), more_counts)
+
+
 def validate(run: Execution) -> None:
     """Record every rule, then stop the run if one failed or is missing."""
     staging = run.store.read_all("staging", SILVER)
     lost = count_rules(run.source_tables(), run.store.read_all("bronze", SOURCE_TABLES), staging)
-    run.append_results(dq_report(staging_rules(staging), lost))
+    run.append_results(report_in_two_steps(staging_rules(staging), lost))
     raise_if_failed(run.audit(), run.run_id, VALIDATE_RULES)
 
 

@@ -459,8 +459,101 @@ def _layer_counts(names: tuple[str, ...], per_table: dict[str, tuple[str, ...]],
 
 
 RULE_IDS = [f"DQ-L{i}" for i in range(1, 10)] + ["DQ-G1", "DQ-G2", "DQ-G3"]
-RELATIONS["dirty_counts"] = _counts("d")
-RELATIONS["clean_counts"] = _counts("c")
+
+_LOADED = "TIMESTAMP '2026-10-07 16:43:01' AS _ingested_at, 'samples.{t}' AS _source_table"
+RELATIONS |= {f"{p}_bronze_{t}": f"SELECT *, {_LOADED.format(t=t)} FROM {p}_{t}" for p in "cd" for t in _SOURCES}
+RELATIONS |= {
+    "d_bronze_orders": RELATIONS["d_bronze_orders"] + " WHERE o_orderkey % 97 <> 5",
+    "d_bronze_part": RELATIONS["d_bronze_part"].replace("SELECT *", "SELECT * REPLACE (CAST(p_size AS VARCHAR) AS p_size)"),
+    "d_bronze_nation": RELATIONS["d_bronze_nation"].replace("SELECT *", "SELECT n_name, * EXCLUDE (n_name)"),
+    "d_bronze_region": "SELECT *, TIMESTAMP '2026-10-07 16:43:01' AS _ingested_at FROM d_region",
+}
+RELATIONS |= {f"a_{t}": f"SELECT {_STAGED[t]} FROM d_{t}" for t in _TABLES}
+RELATIONS |= {
+    "a_lineitem": RELATIONS["a_lineitem"] + " WHERE l_linenumber <> 3",
+    "a_part": f"SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size) FROM (SELECT {_STAGED['part']} FROM d_part)",
+    "a_modes": "SELECT * EXCLUDE (delay_rate) FROM d_agg_ship_mode_performance",
+}
+
+
+def _shape(relation: str, columns: str = "*") -> str:
+    """Names, order and types of a relation's columns as one text."""
+    return f"(SELECT CAST(to_json(s) AS VARCHAR) FROM (SELECT typeof(COLUMNS({columns})) FROM {relation} LIMIT 1) AS s)"
+
+
+def _width(relation: str) -> str:
+    own = "'^[^_].*'"
+    return f"CAST((SELECT len(json_keys(to_json(s))) FROM (SELECT COLUMNS({own}) FROM {relation} LIMIT 1) AS s) AS INTEGER)"
+
+
+def _rows(relation: str) -> str:
+    return f"(SELECT {_COUNT} FROM {relation})"
+
+
+def _bronze_report(p: str) -> str:
+    own, added = "'^[^_].*'", "'^_.*'"
+    parts = [
+        f"SELECT '{t}' AS table_name, {_width(f'{p}_{t}')} AS source_columns, {_width(f'{p}_bronze_{t}')} AS bronze_columns, "
+        f"{_shape(f'{p}_{t}')} = {_shape(f'{p}_bronze_{t}', own)} AS names_and_types_match, "
+        f"(SELECT json_keys(to_json(s)) FROM (SELECT COLUMNS({added}) FROM {p}_bronze_{t} LIMIT 1) AS s) = ['_ingested_at', '_source_table'] "
+        f"AS metadata_columns_present, {_rows(f'{p}_{t}')} AS source_rows, {_rows(f'{p}_bronze_{t}')} AS bronze_rows"
+        for t in _SOURCES
+    ]
+    return (
+        "SELECT *, source_rows = bronze_rows AS row_counts_match, names_and_types_match AND metadata_columns_present AND "
+        f"source_rows = bronze_rows AS ok FROM ({' UNION ALL '.join(parts)})"
+    )
+
+
+def _staging_report(bronze: str, staging: str) -> str:
+    parts = [
+        f"SELECT '{t}' AS table_name, {_shape(f'{staging}_{t}', _chosen(t))} = {_shape('c_' + t, _chosen(t))} AS columns_match_contract, "
+        f"{_rows(f'{bronze}_bronze_{t}') if t in _SOURCES else 'CAST(NULL AS BIGINT)'} AS bronze_rows, {_rows(f'{staging}_{t}')} AS staging_rows"
+        for t in _TABLES
+    ]
+    return (
+        "SELECT *, bronze_rows IS NULL OR bronze_rows = staging_rows AS row_counts_match, "
+        "columns_match_contract AND (bronze_rows IS NULL OR bronze_rows = staging_rows) AS ok "
+        f"FROM ({' UNION ALL '.join(parts)})"
+    )
+
+
+def _chosen(table: str) -> str:
+    return "[" + ", ".join(f"'{c.strip()}'" for c in _STAGED[table].split(",")) + "]"
+
+
+def _silver_report(staging: str, silver: str) -> str:
+    parts = [f"SELECT '{t}' AS table_name, {_rows(f'{staging}_{t}')} AS staging_rows, {_rows(f'{silver}_{t}')} AS silver_rows" for t in _TABLES]
+    return f"SELECT *, staging_rows = silver_rows AS ok FROM ({' UNION ALL '.join(parts)})"
+
+
+def _gold_report(relations: dict[str, str], whole: dict[str, str]) -> str:
+    def keys(relation: str) -> str:
+        return f"(SELECT json_keys(to_json(s)) FROM (SELECT * FROM {relation} LIMIT 1) AS s)"
+
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, {_rows(rel)} AS row_count, {keys(rel)} = {keys(whole[name])} AS columns_match_contract"
+        for name, rel in relations.items()
+    )
+
+
+def _g3(p: str, staging: str) -> str:
+    return _layer_counts(
+        ("source", "bronze", "staging"), {t: (f"{p}_{t}", f"{p}_bronze_{t}", f"{staging}_{t}") for t in _SOURCES},
+        dict.fromkeys(_SOURCES, "DQ-G3"), "staging",
+    )
+
+
+_COUNTED = "SELECT rule_id, layer, table_name, violation_count FROM"
+RELATIONS["dirty_counts"] = f"{_counts('d')} UNION ALL {_COUNTED} ({_g3('d', 'd')})"
+RELATIONS["clean_counts"] = f"{_counts('c')} UNION ALL {_COUNTED} ({_g3('c', 'c')})"
+
+
+_REPORTED = "SELECT rule_id, layer, table_name, violation_count, sample_keys FROM"
+
+
+def _audited(report: str) -> str:
+    return f"SELECT 'dirty' AS run_id, *, 'blocking' AS severity, violation_count = 0 AS passed FROM ({report})"
 
 
 def _gate(counts: str) -> str:
@@ -620,10 +713,9 @@ _GOLD_NAMES = {"fct_lineitem_delivery": "fct_line", "fct_order_fulfillment": "fc
 def _body() -> dict[str, str]:
     modes = "agg_ship_mode_performance"
     bodies = {name: f"SELECT * FROM {rel}" for name, rel in _GOLD_NAMES.items()}
-    bodies["gold_report"] = " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, {_COUNT} AS row_count, true AS columns_match_contract FROM {rel}"
-        for name, rel in _GOLD_NAMES.items()
-    )
+    dirty_names = {name: _dirty(f"FROM {rel}").removeprefix("FROM ") for name, rel in _GOLD_NAMES.items()}
+    bodies["gold_report"] = _gold_report(_GOLD_NAMES, _GOLD_NAMES)
+    bodies["gold_report_dirty"] = _gold_report(dirty_names | {"agg_ship_mode_performance": "a_modes"}, dirty_names)
     bodies |= {
         "q1_ship_mode": f"SELECT * EXCLUDE (late_line_count, delay_rate) FROM {modes} ORDER BY ship_mode",
         "q1_fastest": "SELECT * FROM fastest",
@@ -645,32 +737,21 @@ def _body() -> dict[str, str]:
         "enforced_constraints": _enforced("d"),
     }
     bodies |= {f"stage_{t}": _stage(t) for t in _TABLES}
-    widths = dict(zip(_SOURCES, (3, 4, 7, 8, 9, 5, 9, 16)))
-    bodies["bronze_report"] = " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, CAST({w} AS INTEGER) AS source_columns, CAST({w} AS INTEGER) AS bronze_columns, "
-        f"true AS names_and_types_match, true AS metadata_columns_present, {_COUNT} AS source_rows, {_COUNT} AS bronze_rows, "
-        f"true AS row_counts_match, true AS ok FROM c_{t}" for t, w in widths.items()
-    )
-    bodies["staging_report"] = " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, true AS columns_match_contract, "
-        f"{_COUNT if t in _SOURCES else 'CAST(NULL AS BIGINT)'} AS bronze_rows, {_COUNT} AS staging_rows, "
-        f"true AS row_counts_match, true AS ok FROM c_{t}" for t in _TABLES
-    )
-    bodies["silver_report"] = " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, {_COUNT} AS staging_rows, {_COUNT} AS silver_rows, true AS ok FROM c_{t}" for t in _TABLES
-    )
+    bodies |= {f"bronze_ingest_{t}": f"SELECT *, {_LOADED.format(t=t)} FROM c_{t}" for t in _SOURCES if t != "orders"}
+    bodies |= {
+        "bronze_report": _bronze_report("c"), "bronze_report_dirty": _bronze_report("d"),
+        "staging_report": _staging_report("c", "c"), "staging_report_dirty": _staging_report("d", "a"),
+        "silver_report": _silver_report("c", "c"), "silver_report_dirty": _silver_report("d", "a"),
+    }
     for i in (1, 2, 3, 5, 6, 8):
         bodies[f"dq_l{i}_dirty"] = _records("d", (f"DQ-L{i}", "lineitem"))
     bodies |= {
         "dq_l4_dirty": _records("d", ("DQ-L4", "lineitem"), ("DQ-L4", "orders")),
         "dq_l7_dirty": _records("d", ("DQ-L7", "ship_date_status")),
         "dq_l9_dirty": _records("d", ("DQ-L9", "orders")),
-        "dq_g1_dirty": _counts("d", "DQ-G1"),
-        "dq_g2_dirty": _counts("d", "DQ-G2"),
-        "dq_g3": _layer_counts(
-            ("source", "bronze", "staging"), {t: (f"d_{t}", f"d_{t}", f"c_{t}") for t in _SOURCES},
-            dict.fromkeys(_SOURCES, "DQ-G3"), "staging",
-        ),
+        "dq_g1_dirty": _records("d", *(r for r in _rule_rows("d") if r[0] == "DQ-G1")),
+        "dq_g2_dirty": _records("d", *(r for r in _rule_rows("d") if r[0] == "DQ-G2")),
+        "dq_g3": _g3("d", "c"),
         "dq_gold": _layer_counts(
             ("silver", "gold"),
             {"fct_lineitem_delivery": ("d_lineitem", "d_fct_line"), "fct_order_fulfillment": ("d_orders", "d_fct_order")},
@@ -680,14 +761,12 @@ def _body() -> dict[str, str]:
             "d", ("DQ-G1", "lineitem"), ("DQ-G1", "brand"), ("DQ-G1", "part_quantity_price"),
             ("DQ-G2", "part.part_brand_fk"), ("DQ-G2", "lineitem.lineitem_partsupp_fk"),
         ),
-        "dq_report_dirty": _records("d"),
-        "dq_report_clean": _records("c"),
+        "dq_report_dirty": f"{_records('d')} UNION ALL {_g3('d', 'd')}",
+        "dq_report_clean": f"{_records('c')} UNION ALL {_g3('c', 'c')}",
         "dq_gate": _gate("dirty_counts"),
         "dq_gate_clean": _gate("clean_counts"),
-        "audit_for_run": (
-            "SELECT 'dirty' AS run_id, *, '[]' AS sample_keys, 'blocking' AS severity, violation_count = 0 AS passed "
-            "FROM dirty_counts WHERE rule_id IN ('DQ-L2', 'DQ-G1')"
-        ),
+        "audit_for_run": _audited(_records("d", *(r for r in _rule_rows("d") if r[0] in ("DQ-L2", "DQ-G1")))),
+        "audit_latest": _audited(f"{_records('d')} UNION ALL {_REPORTED} ({_g3('d', 'd')})"),
         "audit_run_ids": (
             "SELECT DISTINCT run_id FROM (SELECT 'dirty' AS run_id FROM dirty_counts UNION ALL SELECT 'clean' FROM clean_counts)"
         ),
@@ -764,6 +843,8 @@ _DOUBLE_COLUMNS = {
     "monitor_summary": "overall_delay_rate median_line_count mean_monthly_rate lowest_rate highest_rate",
     **{f"stage_{t}": columns for t, columns in _MONEY.items()},
     "bronze_ingest": _MONEY["orders"],
+    **{f"bronze_ingest_{t}": columns for t, columns in _MONEY.items() if t in _SOURCES and t not in ("orders", "lineitem")},
+    "bronze_ingest_lineitem": "l_quantity l_extendedprice l_discount l_tax",
     "inject_bad_row": _MONEY["lineitem"],
     "profile_lines_per_order": "lines_median lines_mean",
     "profile_lines_per_order_dirty": "lines_median lines_mean",

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import SOURCE_TABLES
 from ..contracts import FACTS, GOLD, SILVER, VALIDATE_RULES
 from ..functions.frames import union_all
 from ..operators import profiling, rules
@@ -81,18 +82,33 @@ class Inputs:
             event.alias("event"), F.col("ts").alias("event_ts"),
         )
 
-    def report(self, dirty: bool) -> DataFrame:
-        """All rules but the row counts between layers."""
-        return rules.dq_report(rules.staging_rules(self.staging(dirty)))
-
-    def audit(self) -> DataFrame:
-        """Audit rows of a failed and of a passed run."""
+    def bronze(self, dirty: bool = False) -> dict[str, DataFrame]:
+        """Bronze as loaded; the dirty one has lost orders, a changed type, another order of columns and no source name."""
+        loaded = {t: bronze(df, f"samples.{t}", RUN_TS) for t, df in self.sources(dirty).items()}
+        if dirty:
+            loaded["orders"] = loaded["orders"].where("o_orderkey % 97 <> 5")
+            loaded["part"] = loaded["part"].withColumn("p_size", F.col("p_size").cast("string"))
+            loaded["nation"] = loaded["nation"].select("n_name", *(c for c in loaded["nation"].columns if c != "n_name"))
+            loaded["region"] = loaded["region"].drop("_source_table")
+        return loaded
+
+    def altered(self) -> dict[str, DataFrame]:
+        """Dirty staging that has lost lines and changed a type."""
+        tables = self.staging(True)
+        tables["lineitem"] = tables["lineitem"].where("l_linenumber <> 3")
+        tables["part"] = tables["part"].withColumn("p_size", F.col("p_size").cast("bigint"))
+        return tables
 
-        def counted(run_id: str, dirty: bool) -> DataFrame:
-            counts = rules.rule_counts(rules.staging_rules(self.staging(dirty)))
-            return audit_rows(counts.withColumn("sample_keys", F.lit("[]")), run_id, RUN_TS)
+    def report(self, dirty: bool) -> DataFrame:
+        """All rules, the row counts between source, Bronze and staging included."""
+        staging = self.staging(dirty)
+        lost = rules.count_rules(self.sources(dirty), self.bronze(dirty), staging)
+        return rules.dq_report(rules.staging_rules(staging), lost)
 
-        return counted("dirty", True).unionByName(counted("clean", False))
+    def audit(self, *runs: str) -> DataFrame:
+        """Audit rows of the run ``clean``, which passed, and of ``dirty``, a later one that failed."""
+        at = {"clean": RUN_TS, "dirty": RUN_TS + timedelta(hours=1)}
+        return union_all(audit_rows(self.report(run == "dirty"), run, at[run]) for run in runs)
 
 
 def _relation(make: Callable[[Inputs], DataFrame]) -> Query:
@@ -100,18 +116,28 @@ def _relation(make: Callable[[Inputs], DataFrame]) -> Query:
 
 
 def _layers() -> dict[str, Query]:
-    def bronze_layer(x: Inputs) -> dict[str, DataFrame]:
-        return {t: bronze(df, f"samples.{t}", RUN_TS) for t, df in x.sources().items()}
+    def short_gold(x: Inputs) -> dict[str, DataFrame]:
+        gold = {t: x.gold(True)[t] for t in GOLD}
+        gold["agg_ship_mode_performance"] = gold["agg_ship_mode_performance"].drop("delay_rate")
+        return gold
+
+    def loaded(x: Inputs, table: str) -> DataFrame:
+        return bronze(x.source(table), f"samples.{table}", F.lit(LOADED_AT).cast("timestamp_ntz"))
 
     made = {
-        "bronze_ingest": lambda x: bronze(x.source("orders"), "samples.orders", F.lit(LOADED_AT).cast("timestamp_ntz")),
-        "bronze_report": lambda x: bronze_report(x.sources(), bronze_layer(x)),
-        "staging_report": lambda x: staging_report(bronze_layer(x), x.staging()),
+        "bronze_ingest": lambda x: loaded(x, "orders"),
+        "bronze_report": lambda x: bronze_report(x.sources(), x.bronze()),
+        "bronze_report_dirty": lambda x: bronze_report(x.sources(True), x.bronze(True)),
+        "staging_report": lambda x: staging_report(x.bronze(), x.staging()),
+        "staging_report_dirty": lambda x: staging_report(x.bronze(True), x.altered()),
         "silver_report": lambda x: silver_report(x.staging(), x.staging()),
+        "silver_report_dirty": lambda x: silver_report(x.staging(True), x.altered()),
+        "gold_report_dirty": lambda x: gold_report(short_gold(x)),
         "enforced_constraints": lambda x: enforced_violations(x.staging(True)),
         "inject_bad_row": lambda x: inject_receipt_before_ship(x.staged("lineitem")),
     }
     made |= {f"stage_{t}": lambda x, t=t: x.staged(t) for t in SILVER}
+    made |= {f"bronze_ingest_{t}": lambda x, t=t: loaded(x, t) for t in SOURCE_TABLES if t != "orders"}
     return {name: _relation(f) for name, f in made.items()}
 
 
@@ -125,7 +151,7 @@ def _validation() -> dict[str, Query]:
     def keys(x, rule_id):
         tables = x.staging(True)
         found = [rules.only(rules.key_rules(t, tables), rule_id) for t in SILVER]
-        return rules.rule_counts(f for f in found if f.rules)
+        return union_all(rules.record(f) for f in found if f.rules)
 
     def l4(x):
         dated = rules.record(rules.order_rules(x.staged("orders", True)))
@@ -160,15 +186,16 @@ def _validation() -> dict[str, Query]:
         "dq_l9_dirty": empty_orders,
         "dq_g1_dirty": lambda x: keys(x, "DQ-G1"),
         "dq_g2_dirty": lambda x: keys(x, "DQ-G2"),
-        "dq_g3": lambda x: rules.count_rules(x.sources(True), x.sources(True), x.staging()),
+        "dq_g3": lambda x: rules.count_rules(x.sources(True), x.bronze(True), x.staging()),
         "dq_gold": gold_counts,
         "dq_samples_dirty": samples,
         "dq_report_dirty": lambda x: x.report(True),
         "dq_report_clean": lambda x: x.report(False),
-        "dq_gate": lambda x: gate_verdict(x.audit(), "dirty", VALIDATE_RULES),
-        "dq_gate_clean": lambda x: gate_verdict(x.audit(), "clean", VALIDATE_RULES),
-        "audit_for_run": lambda x: for_run(x.audit(), "dirty", ("DQ-L2", "DQ-G1")).drop("run_ts"),
-        "audit_run_ids": lambda x: run_ids(x.audit()),
+        "dq_gate": lambda x: gate_verdict(x.audit("dirty"), "dirty", VALIDATE_RULES),
+        "dq_gate_clean": lambda x: gate_verdict(x.audit("clean"), "clean", VALIDATE_RULES),
+        "audit_for_run": lambda x: for_run(x.audit("dirty"), "dirty", ("DQ-L2", "DQ-G1")).drop("run_ts"),
+        "audit_latest": lambda x: latest_results(x.audit("clean", "dirty")).drop("run_ts"),
+        "audit_run_ids": lambda x: run_ids(x.audit("clean", "dirty")),
     }
     return {name: _relation(f) for name, f in made.items()}
 
