@@ -20,15 +20,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import in_tasks
+from quayside.llm.common import Kept, in_tasks
 from quayside.llm.unit_ids import UnitIds
 
 #: Words of up to so many bytes take one merge a round; longer ones all places of their lowest pair at once.
 SHORT = 64
-_WORDS = 50_000
-_IDS = 2_000_000
+_WORDS = 25_000
+_IDS = 700_000
 _BYTES = 4 << 20
-_MOST_PIECES = 600_000
+_MOST_PIECES = 400_000
 
 _ONE_MERGE = """
 WITH RECURSIVE step(done, w, p, t) AS (
@@ -80,12 +80,12 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.units = UnitIds(self._learn, self._learn, most=_MOST_PIECES)
+        self.units = UnitIds(self._learn, self._learn, most=300_000)
         self.pieces: dict[str, bytes] = {}
         parts = [(a, b, c) for token, c in self.ranks.items() for i in range(1, len(token))
                  if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
         a, b, c = (pa.array(x, pa.int32()) for x in zip(*parts, strict=True)) if parts else (pa.array([], pa.int32()),) * 3
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.con.register("made", pa.table({"a": a, "b": b, "c": c}))
         self.con.execute(
             "CREATE TABLE merges AS WITH low AS (SELECT DISTINCT unnest([a, b]) AS t FROM made WHERE c < a OR c < b) "
@@ -170,18 +170,20 @@ class ByteBpe:
 
 
 @cache
-def _bpe(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)  # kept by the worker for its next tasks
+def _bpe(path: str, pattern: str) -> Kept:
+    return Kept(lambda: ByteBpe(path, pattern))
 
 
 def _coder(path: str, pattern: str) -> Callable:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, ids, texts, size = _bpe(path, pattern), [], [], 0
+        kept, ids, texts, size = _bpe(path, pattern), [], [], 0
 
         def coded() -> pa.RecordBatch:
-            tokens = bpe.encode(texts)
+            with kept as bpe:
+                tokens = bpe.encode(texts)
+                decoded = bpe.decode(tokens)
             return pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array(bpe.decode(tokens), pa.binary()),
+                pa.array(ids, pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array(decoded, pa.binary()),
             ], ["doc_id", "ids", "decoded"])
 
         for batch in batches:

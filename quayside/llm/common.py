@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -57,6 +61,40 @@ def in_tasks(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+class Kept:
+    """An object that a Python worker keeps for the tasks that follow, and gives back when it has been idle.
+
+    ``with kept as x`` makes the object if there is none. Some seconds after its last use it is let go, so an
+    idle worker does not hold on to memory that the next stage needs.
+    """
+
+    def __init__(self, make: Callable, seconds: float = 2.0):
+        self.make, self.seconds, self.held = make, seconds, None
+        self.lock, self.timer = threading.Lock(), None
+
+    def __enter__(self):
+        if self.timer:
+            self.timer.cancel()
+        self.lock.acquire()
+        if self.held is None:
+            self.held = self.make()
+        return self.held
+
+    def __exit__(self, *_):
+        self.lock.release()
+        self.timer = threading.Timer(self.seconds, self._let_go)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def _let_go(self) -> None:
+        if self.lock.acquire(blocking=False):  # in use again otherwise
+            self.held = None
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU C library can be asked to shrink
+                ctypes.CDLL(None).malloc_trim(0)
+            self.lock.release()
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import in_tasks, rows_of, shared_folder, written
+from quayside.llm.common import Kept, in_tasks, rows_of, shared_folder, written
 from quayside.llm.unit_ids import UnitIds
 
 _MAGIC = b"DACTOK1\n"
@@ -175,13 +175,17 @@ class _Library:
         return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
 
-@cache
 def library_ids(tokenizer_path: str, end_id: int | None) -> UnitIds:
-    """Ids of whole texts by the tokenizers library, kept by the worker for its next tasks."""
+    """Ids of whole texts by the tokenizers library."""
     library = _Library(tokenizer_path)
     return UnitIds(library.inner, library.first, end_id)
 
 
+@cache
+def _library_ids(tokenizer_path: str, end_id: int | None) -> Kept:
+    return Kept(lambda: library_ids(tokenizer_path, end_id))
+
+
 def _by_size(rows: Iterator[dict], most: int) -> Iterator[list[dict]]:
     held, size = [], 0
     for row in rows:
@@ -196,11 +200,12 @@ def _by_size(rows: Iterator[dict], most: int) -> Iterator[list[dict]]:
 
 def _writer(folder: str, tokenizer_path: str, end_id: int, width: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, doc_ids, ids, lengths, part = library_ids(tokenizer_path, end_id), [], [], [], 0
+        kept, doc_ids, ids, lengths, part = _library_ids(tokenizer_path, end_id), [], [], [], 0
         for rows in _by_size(rows_of(batches), 1 << 22):
             part = rows[0]["part"]
             doc_ids += [r["doc_id"] for r in rows]
-            found, sizes = units.of([r["text"] for r in rows])
+            with kept as units:
+                found, sizes = units.of([r["text"] for r in rows])
             ids.append(found)
             lengths.append(sizes)
         if doc_ids:
