@@ -549,9 +549,6 @@ RELATIONS["dirty_counts"] = f"{_counts('d')} UNION ALL {_COUNTED} ({_g3('d', 'd'
 RELATIONS["clean_counts"] = f"{_counts('c')} UNION ALL {_COUNTED} ({_g3('c', 'c')})"
 
 
-_REPORTED = "SELECT rule_id, layer, table_name, violation_count, sample_keys FROM"
-
-
 def _audited(report: str) -> str:
     return f"SELECT 'dirty' AS run_id, *, 'blocking' AS severity, violation_count = 0 AS passed FROM ({report})"
 
@@ -766,7 +763,7 @@ def _body() -> dict[str, str]:
         "dq_gate": _gate("dirty_counts"),
         "dq_gate_clean": _gate("clean_counts"),
         "audit_for_run": _audited(_records("d", *(r for r in _rule_rows("d") if r[0] in ("DQ-L2", "DQ-G1")))),
-        "audit_latest": _audited(f"{_records('d')} UNION ALL {_REPORTED} ({_g3('d', 'd')})"),
+        "audit_latest": _audited(_g3("d", "d")),
         "audit_run_ids": (
             "SELECT DISTINCT run_id FROM (SELECT 'dirty' AS run_id FROM dirty_counts UNION ALL SELECT 'clean' FROM clean_counts)"
         ),

@@ -105,10 +105,16 @@ class Inputs:
         lost = rules.count_rules(self.sources(dirty), self.bronze(dirty), staging)
         return rules.dq_report(rules.staging_rules(staging), lost)
 
-    def audit(self, *runs: str) -> DataFrame:
-        """Audit rows of the run ``clean``, which passed, and of ``dirty``, a later one that failed."""
-        at = {"clean": RUN_TS, "dirty": RUN_TS + timedelta(hours=1)}
-        return union_all(audit_rows(self.report(run == "dirty"), run, at[run]) for run in runs)
+    def audit(self, run: str) -> DataFrame:
+        """Audit rows of the run ``clean``, which passed, or of ``dirty``, which failed."""
+        return audit_rows(self.report(run == "dirty"), run, RUN_TS)
+
+    def count_audit(self) -> DataFrame:
+        """The results of one rule, the row counts between layers, of both runs; the dirty one came later."""
+        def counted(dirty: bool) -> DataFrame:
+            return rules.count_rules(self.sources(dirty), self.bronze(dirty), self.staging(dirty))
+
+        return audit_rows(counted(False), "clean", RUN_TS).unionByName(audit_rows(counted(True), "dirty", RUN_TS + timedelta(hours=1)))
 
 
 def _relation(make: Callable[[Inputs], DataFrame]) -> Query:
@@ -194,8 +200,8 @@ def _validation() -> dict[str, Query]:
         "dq_gate": lambda x: gate_verdict(x.audit("dirty"), "dirty", VALIDATE_RULES),
         "dq_gate_clean": lambda x: gate_verdict(x.audit("clean"), "clean", VALIDATE_RULES),
         "audit_for_run": lambda x: for_run(x.audit("dirty"), "dirty", ("DQ-L2", "DQ-G1")).drop("run_ts"),
-        "audit_latest": lambda x: latest_results(x.audit("clean", "dirty")).drop("run_ts"),
-        "audit_run_ids": lambda x: run_ids(x.audit("clean", "dirty")),
+        "audit_latest": lambda x: latest_results(x.count_audit()).drop("run_ts"),
+        "audit_run_ids": lambda x: run_ids(x.count_audit()),
     }
     return {name: _relation(f) for name, f in made.items()}
 
