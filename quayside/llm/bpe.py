@@ -25,10 +25,9 @@ from quayside.llm.unit_ids import UnitIds
 
 #: Words of up to so many bytes take one merge a round; longer ones all places of their lowest pair at once.
 SHORT = 64
-_WORDS = 25_000
-_IDS = 700_000
+_WORDS = 50_000
+_IDS = 2_000_000
 _BYTES = 4 << 20
-_MOST_PIECES = 400_000
 
 _ONE_MERGE = """
 WITH RECURSIVE step(done, w, p, t) AS (
@@ -75,12 +74,13 @@ SELECT d, unhex(string_agg(bytes, '' ORDER BY p)) AS text FROM ids JOIN vocabula
 class ByteBpe:
     """Encoder and decoder of one rank file (base64 token and rank a line) and its splitting pattern."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, keep: int = 600_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.units = UnitIds(self._learn, self._learn, most=300_000)
+        self.units = UnitIds(self._learn, self._learn, most=keep)
+        self.keep = keep
         self.pieces: dict[str, bytes] = {}
         parts = [(a, b, c) for token, c in self.ranks.items() for i in range(1, len(token))
                  if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
@@ -126,7 +126,7 @@ class ByteBpe:
 
     def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units; only pieces that were not met before are merged."""
-        if len(self.pieces) > _MOST_PIECES:
+        if len(self.pieces) > self.keep:
             self.pieces.clear()
         split = [self.pattern.findall(u) for u in units]
         words = list({p for ps in split for p in ps}.difference(self.pieces))
@@ -170,13 +170,13 @@ class ByteBpe:
 
 
 @cache
-def _bpe(path: str, pattern: str) -> Kept:
-    return Kept(lambda: ByteBpe(path, pattern))
+def _bpe(path: str, pattern: str, keep: int) -> Kept:
+    return Kept(lambda: ByteBpe(path, pattern, keep))
 
 
-def _coder(path: str, pattern: str) -> Callable:
+def _coder(path: str, pattern: str, keep: int) -> Callable:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, ids, texts, size = _bpe(path, pattern), [], [], 0
+        kept, ids, texts, size = _bpe(path, pattern, keep), [], [], 0
 
         def coded() -> pa.RecordBatch:
             with kept as bpe:
@@ -200,13 +200,14 @@ def _coder(path: str, pattern: str) -> Callable:
     return code
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep: int = 600_000) -> DataFrame:
     """``doc_id, ids, decoded`` of every document: its ids as little-endian unsigned 32-bit integers, and the
     bytes that these ids decode to.
 
     A null text is an empty one, and an empty text has no ids. Special tokens in a text are ordinary text.
     Rows without doc_id and repeated rows return as they are. Other columns are not read. An empty table
-    gives no rows. There is no shuffle; a task works on a few megabytes of text at a time.
+    gives no rows. There is no shuffle; a task works on a few megabytes of text at a time. A worker
+    remembers the ids of up to ``keep`` units and pieces of text: more is faster and takes more memory.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_tasks(plain, _coder(path, pattern), "doc_id long, ids binary, decoded binary")
+    return in_tasks(plain, _coder(path, pattern, keep), "doc_id long, ids binary, decoded binary")
