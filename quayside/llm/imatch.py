@@ -1,13 +1,15 @@
 """I-Match document fingerprints from randomised lexicons.
 
-The lexicon holds the terms (words in lower case, as hashes) within a band of document frequencies relative
-to the number of documents, which is a band of inverse document frequencies. Random subsets of the lexicon,
-from all of it down to one term in 1,024, each give one token: the hash of the document's sorted distinct
-terms in the subset. A token counts if one to four terms are in it; an edit leaves such a token alone with a
-fair chance, whatever the document's length. The likeness of two fingerprints is the share of equal tokens.
-
-The lexicon's size has a bound that does not grow with the corpus: a term of the band is in at least
-``low`` of all documents, so there are at most (mean distinct terms per document) / ``low`` of them.
+The lexicon holds the terms (words in lower case, as hashes) that are not in too large a share of all documents,
+however rare they are. A text with fewer than ``LEAST`` such terms is described by all its distinct terms. Random
+subsets of the terms, in eight lanes of nested subsets from all of them down to one term in 2**24, each give one
+token: the hash of the document's distinct terms in the subset. A token counts if one to four terms are in it;
+an edit leaves such a token alone with a fair chance. As the subsets go on to one term in 16 million and each
+holds half of the one before, texts of up to some 60 million distinct terms have subsets of one to four.
+The likeness of two fingerprints is the share of equal tokens.
+
+Only the terms that are too common are listed. Their number has a bound that does not grow with the corpus: such
+a term is in more than ``high`` of all documents, so there are at most (mean distinct terms per document) / ``high``.
 """
 
 from __future__ import annotations
@@ -19,41 +21,63 @@ from quayside.llm.common import written
 from quayside.llm.decontaminate import words
 
 _NO_ID = -(2**63)  # stands for a null doc_id: before all others
-_MARK = 0  # a term that every document has; it is in no subset
-#: Subsets of the lexicon: one term in 2**scale, for one subset of scale 0 and five of each other scale.
-SCALES = (0, *(s for s in (2, 4, 6, 8, 10) for _ in range(5)))
+#: Lanes of nested subsets; in each, a subset of scale s holds one term in 2**s. All terms are one subset.
+LANES, SCALES = 8, tuple(range(1, 25))
 _FEW = 4
-#: The lexicon is broadcast up to so many terms, and joined by a shuffle beyond.
-MOST_BROADCAST = 500_000
+#: A text with fewer terms of the lexicon is described by all its terms.
+LEAST = 8
 
 
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
-    """``term, subsets`` of the terms in at least ``low`` and at most ``high`` of all documents; a bit for each subset."""
+def common_terms(docs: DataFrame, high: float) -> DataFrame:
+    """One row ``common``: the terms in more than ``high`` of all documents."""
     total = docs.count()
     counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    chosen = [F.when(F.pmod(F.xxhash64("term", F.lit(j)), F.lit(1 << scale)) == 0, F.lit(1 << j)).otherwise(F.lit(0)) for j, scale in enumerate(SCALES)]
-    bits = chosen[0]
-    for c in chosen[1:]:
-        bits = bits.bitwiseOR(c)
-    kept = counts.where((F.col("df") >= low * total) & (F.col("df") <= high * total) & (F.col("term") != _MARK))
-    mark = docs.sparkSession.range(1).select(F.lit(_MARK).cast("long").alias("term"), F.lit(0).cast("long").alias("subsets"))
-    return written(kept.select("term", bits.cast("long").alias("subsets")).union(mark), "lexicon")
+    listed = written(counts.where(F.col("df") > high * total).select("term"), "common-terms")
+    return listed.agg(F.collect_list("term").alias("common"))
 
 
-def _fingerprint(terms: Column, whole: Column) -> Column:
-    """Tokens of ``terms`` (sorted, with their subsets); a text without any token is known by its own hash."""
-    def chosen(j: int) -> Column:
-        return F.transform(F.filter(terms, lambda t: t["subsets"].bitwiseAND(F.lit(1 << j)) != 0), lambda t: t["term"])
+def _describing(text: Column, common: Column) -> Column:
+    """The terms that describe a text: those of the lexicon, or all if there are few."""
+    return F.transform(
+        F.array(_terms(text)),
+        lambda every: F.transform(F.array(F.array_except(every, common)), lambda rare: F.when(F.size(rare) >= LEAST, rare).otherwise(every))[0])[0]
 
-    parts = F.array(*map(chosen, range(len(SCALES))))
-    tokens = F.transform(parts, lambda p: F.when((F.size(p) > 0) & (F.size(p) <= _FEW), F.lower(F.lpad(F.hex(F.xxhash64(p)), 16, "0"))).otherwise(F.lit("-")))
-    joined = F.array_join(tokens, ".")
-    none = ".".join("-" * len(SCALES))
-    return F.when(joined == none, F.concat(F.lit("text:"), F.lower(F.lpad(F.hex(whole), 16, "0")))).otherwise(joined)
+
+def _fingerprint(terms: Column) -> Column:
+    """Tokens of distinct ``terms``.
+
+    A term is in the subset of scale s of a lane if its hash for the lane ends in s zeros. Of each lane only the
+    terms with the most zeros are kept, one more than a token may have.
+    """
+    def top(lane: int) -> Column:
+        def with_zeros(t: Column) -> Column:
+            h = F.xxhash64(t, F.lit(lane)).bitwiseOR(F.lit(1 << 40))
+            return F.struct(h.bitwiseAND(-h).alias("last"), t.alias("term"))
+
+        return F.slice(F.sort_array(F.transform(terms, with_zeros), asc=False), 1, _FEW + 1)
+
+    def token(kept: Column) -> Column:
+        hashed = F.lower(F.lpad(F.hex(F.xxhash64(F.array_sort(F.transform(kept, lambda x: x["term"])))), 16, "0"))
+        return F.when((F.size(kept) > 0) & (F.size(kept) <= _FEW), hashed).otherwise(F.lit("-"))
+
+    def of_lane(kept: Column) -> Column:
+        scales = F.array(*(F.lit(1 << s).cast("long") for s in SCALES))
+        subsets = F.transform(scales, lambda least: F.filter(kept, lambda x: x["last"] >= least))
+        return F.array_join(F.transform(subsets, token), ".")
+
+    lanes = F.transform(F.array(*map(top, range(LANES))), of_lane)
+    every = F.when((F.size(terms) > 0) & (F.size(terms) <= _FEW), F.lower(F.lpad(F.hex(F.xxhash64(F.array_sort(terms))), 16, "0"))).otherwise(F.lit("-"))
+    return F.concat_ws(".", every, F.array_join(lanes, "."))
+
+
+def _or_text(tokens: Column, whole: Column) -> Column:
+    """A text without any token is known by its own hash."""
+    none = ".".join("-" * (1 + LANES * len(SCALES)))
+    return F.when(tokens == none, F.concat(F.lit("text:"), F.lower(F.lpad(F.hex(whole), 16, "0")))).otherwise(tokens)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -82,7 +106,7 @@ def _in_order(keys: DataFrame) -> DataFrame:
     return joined.select("sid", "version", "n", F.coalesce("before", "gone").alias("before"), F.coalesce("after", "next").alias("after"))
 
 
-def imatch(docs: DataFrame, low: float = 0.002, high: float = 0.1) -> DataFrame:
+def imatch(docs: DataFrame, high: float = 0.1) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness; a row per document.
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. The edited
@@ -93,9 +117,7 @@ def imatch(docs: DataFrame, low: float = 0.002, high: float = 0.1) -> DataFrame:
     document is its own next. Other columns are not read. An empty table gives no rows.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    terms = lexicon(plain, low, high)
-    if terms.count() <= MOST_BROADCAST:
-        terms = F.broadcast(terms)
+    common = F.broadcast(common_terms(plain, high))
     keyed = plain.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("sid"), F.xxhash64("text").alias("version"), "text")
     keys = keyed.groupBy("sid", "version").agg(F.max(F.char_length("text")).cast("long").alias("n"))
     order = written(_in_order(keys), "document-order")
@@ -107,18 +129,17 @@ def imatch(docs: DataFrame, low: float = 0.002, high: float = 0.1) -> DataFrame:
     both = texts.join(given, (F.col("sid") == F.col("to_sid")) & (F.col("version") == F.col("to_version")))
     both = both.select("sid", "version", "n", "text", F.expr("concat(substring(text, 1, cast(n - n div 4 as int)), prefix)").alias("edited"))
     both = both.dropDuplicates(["sid", "version"])
-    either = both.select("sid", "version", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), "text", F.struct("n", F.lit("").alias("sha"), F.xxhash64("text").alias("whole")).alias("info")),
-        F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"), F.struct("n", F.sha2("edited", 256).alias("sha"), F.xxhash64("edited").alias("whole")).alias("info")),
-    )).alias("e")).select("sid", "version", "e.side", "e.text", "e.info")
-    cut = either.select("sid", "version", "side", "info", F.explode(F.concat(_terms(F.col("text")), F.array(F.lit(_MARK).cast("long")))).alias("term"))
-    cut = cut.select("sid", "version", "side", "term", F.when(F.col("term") == _MARK, F.col("info")).alias("info"))
-    met = cut.join(terms, "term").groupBy("sid", "version", "side").agg(
-        F.array_sort(F.collect_list(F.struct("term", "subsets"))).alias("terms"), F.max("info").alias("info"))
-    made = met.select("sid", "version", "side", "info", _fingerprint(F.col("terms"), F.col("info.whole")).alias("print"))
+    either = both.select("sid", "version", "n", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), "text", F.lit("").alias("sha")),
+        F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha")),
+    )).alias("e")).select("sid", "version", "n", "e.side", "e.text", "e.sha")
+    described = either.crossJoin(common).select(
+        "sid", "version", "n", "side", "sha", F.xxhash64("text").alias("whole"), _describing(F.col("text"), F.col("common")).alias("terms"))
+    made = described.select("sid", "version", "n", "side", "sha", "whole", _fingerprint(F.col("terms")).alias("tokens"))
+    made = made.select("sid", "version", "n", "side", "sha", _or_text(F.col("tokens"), F.col("whole")).alias("print"))
     sides = made.groupBy("sid", "version").agg(
         F.max(F.when(F.col("side") == 0, F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("print"))).alias("edited_fingerprint"),
-        F.max("info.n").alias("n_chars"), F.max("info.sha").alias("edited_sha256"))
+        F.max("n").alias("n_chars"), F.max("sha").alias("edited_sha256"))
     prints = written(sides, "imatch")
     after = order.select("sid", "version", F.col("after.sid").alias("next_sid"), F.col("after.version").alias("next_version"))
     following = prints.select(F.col("sid").alias("next_sid"), F.col("version").alias("next_version"), F.col("fingerprint").alias("next_fingerprint"))
