@@ -30,6 +30,7 @@ _NO_ID = -(2**63)  # stands for a null doc_id: before all others
 _GRAM = 32
 _PERIOD = 32
 _CHUNK = 2 << 20
+_RUN = 15 << 20  # below 2**24: anchors are chosen by hashes that carry their place in the run in 24 bits
 _BLOCK = 1 << 20
 _FULL = 4096  # surroundings of one anchor in a block; more of them are dealt to further blocks
 _TAG = (1 << 18) - 1  # tells texts apart that share a doc_id
@@ -104,13 +105,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _pieces(docs: list[tuple], length: int) -> Iterator[tuple[np.ndarray, list[tuple]]]:
-    """Documents side by side; one longer than 15 MB comes in overlapping parts: (sid, tag, bytes, place of the part)."""
-    most = 15 << 20
+    """Documents side by side in runs of up to ``_RUN`` bytes; a longer one comes in overlapping parts: (sid, tag, bytes, place of the part)."""
+    most, small, size = _RUN, [], 0
     for sid, tag, data in docs:
         if len(data) > most:
             for at in range(0, len(data) - length + 1, most - length + 1):
                 yield np.frombuffer(data[at: at + most], np.uint8), [(sid, tag, data[at: at + most], at)]
-    small = [(sid, tag, data, 0) for sid, tag, data in docs if length <= len(data) <= most]
+        elif len(data) >= length:
+            if size + len(data) > most:
+                yield np.frombuffer(b"".join(d[2] for d in small), np.uint8), small
+                small, size = [], 0
+            small.append((sid, tag, data, 0))
+            size += len(data)
     if small:
         yield np.frombuffer(b"".join(d[2] for d in small), np.uint8), small
 

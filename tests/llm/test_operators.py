@@ -236,6 +236,24 @@ def test_repeated_strings(make, awkward, monkeypatch, full):
     assert suffix_dedup.remove_repeats(make([])).collect() == []
 
 
+def test_a_long_text_after_small_ones(make):
+    rng = np.random.default_rng(12)
+    letters = rng.integers(97, 123, (17 << 20) + 5000, dtype=np.uint8).tobytes().decode()
+    small = [(i, letters[i << 17: (i + 1) << 17]) for i in range(15)]
+    text = letters[2 << 20:][: (15 << 20) - 1000]
+    passage = letters[-4000:-3500]
+    docs = [*small, (99, passage + text[500:-500] + passage)]
+    found = suffix_dedup.remove_repeats(make(docs, clashing=False).coalesce(1)).where("doc_id = 99").first()
+    assert (found.n_removed, found.n_spans) == (500, 1) and bytes(found.kept) == (passage + text[500:-500]).encode()
+
+
+def test_places_in_a_run_fit_their_bits():
+    docs = [(i, 0, b"x" * ((2 << 20) - 1)) for i in range(1)] + [(5, 0, b"y" * (15 << 20)), (6, 0, b"z" * (40 << 20))]
+    runs = list(suffix_dedup._pieces(docs, 100))
+    assert all(len(data) < 1 << 24 for data, _ in runs)
+    assert {p[0] for _, parts in runs for p in parts} == {0, 5, 6}
+
+
 def test_difference_cover():
     cover, shift = suffix_dedup.difference_cover(32)
     assert {(a - b) % 32 for a in cover for b in cover} == set(range(32)) and len(cover) == 7
