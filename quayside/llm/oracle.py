@@ -53,5 +53,26 @@ FROM p JOIN shards USING (depth, prefix)
 """
 
 
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+OP13 = f"""
+WITH dt AS (SELECT doc_id, row_number() OVER () AS nr, regexp_extract_all({_LOWERED.format("text")}, '{_TERM}') AS w FROM documents),
+d AS (SELECT doc_id, nr, w, len(w) AS n FROM dt WHERE len(w) > 0),
+c AS (SELECT count(*) AS texts, sum(n)::BIGINT AS total FROM d),
+it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED.format("text")}, '{_TERM}')) AS term FROM benchmark),
+v AS (SELECT DISTINCT term FROM it),
+o AS (SELECT nr, term, count(*) AS tf FROM (SELECT nr, unnest(w) AS term FROM d) SEMI JOIN v USING (term) GROUP BY nr, term),
+f AS (SELECT term, count(*) AS df FROM o GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * texts + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM f, c),
+m AS (SELECT nr, doc_id, 10 + (90 * n * texts) // total AS m FROM d, c),
+s AS (SELECT item_id, nr, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM it JOIN o USING (term) JOIN w USING (term) JOIN m USING (nr) GROUP BY item_id, nr, doc_id),
+r AS (SELECT item_id, doc_id, score,
+             row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op6_decontamination": OP6, "op9_sharding": OP9}
+    return {"op2_line_dedup": OP2, "op6_decontamination": OP6, "op9_sharding": OP9, "op13_mask_search": OP13}

@@ -14,6 +14,7 @@ from quayside.llm.decontaminate import contamination
 from quayside.llm.golay_simhash import near_duplicates
 from quayside.llm.imatch import imatch
 from quayside.llm.language_id import fit_model, held_out, identify
+from quayside.llm.lexical_search import search
 from quayside.llm.line_dedup import dedup_lines
 from quayside.llm.sharding import with_shards
 from quayside.llm.suffix_dedup import remove_repeats
@@ -85,7 +86,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
+def op13_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for every benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_language_id, op2_line_dedup, op3_imatch, op4_simhash_golay, op5_suffix_dedup, op6_decontamination, op7_byte_bpe, op8_warc, op9_sharding, op10_token_store,
+        op1_language_id, op2_line_dedup, op3_imatch, op4_simhash_golay, op5_suffix_dedup, op6_decontamination, op7_byte_bpe, op8_warc, op9_sharding, op10_token_store, op13_mask_search,
     )}
