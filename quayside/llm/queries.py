@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.llm import toxicity
 from quayside.llm.bpe import encode_and_decode
 from quayside.llm.common import table
 from quayside.llm.decontaminate import contamination
@@ -86,6 +87,15 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by weights learned on the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null and toxic is not null").select("doc_id", "toxic")
+    model = toxicity.fit_model(docs.where(~held_out(F.col("doc_id"))).join(labels, "doc_id"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of all for every benchmark item."""
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -93,5 +103,5 @@ def op13_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_language_id, op2_line_dedup, op3_imatch, op4_simhash_golay, op5_suffix_dedup, op6_decontamination, op7_byte_bpe, op8_warc, op9_sharding, op10_token_store, op13_mask_search,
+        op1_language_id, op2_line_dedup, op3_imatch, op4_simhash_golay, op5_suffix_dedup, op6_decontamination, op7_byte_bpe, op8_warc, op9_sharding, op10_token_store, op11_toxicity, op13_mask_search,
     )}
