@@ -21,6 +21,7 @@ from quayside.llm.sharding import with_shards
 from quayside.llm.suffix_dedup import remove_repeats
 from quayside.llm.token_store import read_tokens, write_tokens
 from quayside.llm.warc import archive_pages, read_archives
+from quayside.llm.whitening import whiten
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +97,11 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of all usable embeddings along up to 32 principal components, scaled to unit variance."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of all for every benchmark item."""
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -103,5 +109,5 @@ def op13_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_language_id, op2_line_dedup, op3_imatch, op4_simhash_golay, op5_suffix_dedup, op6_decontamination, op7_byte_bpe, op8_warc, op9_sharding, op10_token_store, op11_toxicity, op13_mask_search,
+        op1_language_id, op2_line_dedup, op3_imatch, op4_simhash_golay, op5_suffix_dedup, op6_decontamination, op7_byte_bpe, op8_warc, op9_sharding, op10_token_store, op11_toxicity, op12_whitening, op13_mask_search,
     )}
