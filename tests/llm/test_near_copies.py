@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from brute import survivors
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -12,18 +13,6 @@ import corpus_pipeline  # noqa: E402
 from quayside.llm import golay_simhash, near_copies  # noqa: E402
 
 
-def survivors(docs, similarity=0.8):
-    sets = {i: near_copies.shingles(t, 5) for i, t in docs}
-    root = {i: i for i in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            common = len(sets[a] & sets[b])
-            if root[a] != root[b] and common >= similarity * (len(sets[a]) + len(sets[b]) - common) - 1e-9:
-                old, new = max(root[a], root[b]), min(root[a], root[b])
-                root = {i: new if r == old else r for i, r in root.items()}
-    return set(root.values())
-
-
 def edited(rng, words, edits):
     out = list(words)
     for at in rng.choice(len(out), edits, replace=False):
