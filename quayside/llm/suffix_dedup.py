@@ -33,11 +33,10 @@ _CHUNK = 2 << 20
 _RUN = 15 << 20  # below 2**24: anchors are chosen by hashes that carry their place in the run in 24 bits
 _BLOCK = 1 << 20
 _FULL = 4096  # surroundings of one anchor in a block; more of them are dealt to further blocks
-_TAG = (1 << 18) - 1  # tells texts apart that share a doc_id
 
-ANCHORS = "route long, anchor long, around long, sid long, tag int, at int, left int, right int"
-FOUND = "kind int, anchor long, salt int, sid long, tag int, at int, left int, right int"
-SPANS = "sid long, tag int, start int, strings int, hi long, lo long"
+ANCHORS = "route long, anchor long, around long, sid long, tag long, at int, left int, right int"
+FOUND = "kind int, anchor long, salt int, sid long, tag long, at int, left int, right int"
+SPANS = "sid long, tag long, start int, strings int, hi long, lo long"
 
 
 @cache
@@ -144,17 +143,18 @@ def _anchor_rows(length: int) -> Callable:
                 route = np.where(later, _mix(sid.view(np.uint64)), anchor).view(np.int64)
                 yield pa.RecordBatch.from_pydict({
                     "route": route, "anchor": pa.array(anchor.view(np.int64), mask=later), "around": around.view(np.int64), "sid": sid,
-                    "tag": tag.astype(np.int32), "at": place.astype(np.int32), "left": (at - first).astype(np.int32), "right": (at - last).astype(np.int32)})
+                    "tag": tag, "at": place.astype(np.int32), "left": (at - first).astype(np.int32), "right": (at - last).astype(np.int32)})
 
     return find
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor, surroundings, document and place. Kind 0: all strings repeat earlier ones; kind 1: to be sorted.
+    """Rows come sorted by anchor, surroundings, document, place and tag. Kind 0: all strings repeat earlier ones; kind 1: to be sorted.
 
-    Of an anchor only the last row's key and the first surroundings are kept, however often it occurs.
+    Of an anchor only the last row's key and the first surroundings are kept, however often it occurs. Texts
+    that share a doc_id may have equal surroundings at one place; none of them is earlier, so each is sorted.
     """
-    key, leader, waiting, count = None, None, None, 0
+    key, leader, waiting, count, last_tag = None, None, None, 0, 0
     for batch in batches:
         names = ("anchor", "around", "sid", "tag", "at", "left", "right")
         settled = np.asarray(batch.column(1).is_null())
@@ -171,7 +171,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lead_sid, lead_at = np.where(lead >= 0, sid[lead], leader[0] if leader else 0), np.where(lead >= 0, at[lead], leader[1] if leader else 0)
             repeats = ~starts & ((sid != lead_sid) | (at > lead_at))
             out.append(np.stack([np.zeros(repeats.sum(), np.int64)] * 3 + [x[repeats] for x in (sid, tag, at, left, right)]))
-            firsts = np.flatnonzero(starts)
+            firsts = np.flatnonzero(starts | (~repeats & (tag != np.concatenate([[last_tag], tag[:-1]]))))
             fa = anchor[firsts]
             rows = np.stack([np.ones(len(firsts), np.int64), fa, np.zeros(len(firsts), np.int64), *(x[firsts] for x in (sid, tag, at, left, right))])
             carried = key is not None and len(firsts) and fa[0] == key[0]
@@ -186,12 +186,12 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(rows[:, many])
                 count = int(nth[-1]) + 1
                 waiting = None if many[-1] else rows[:, -1:]
-            key = (anchor[-1], around[-1])
+            key, last_tag = (anchor[-1], around[-1]), tag[-1]
             leader = (int(lead_sid[-1]), int(lead_at[-1]))
         made = np.concatenate(out, axis=1)
         if made.shape[1]:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(made[i], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 4))],
+                [pa.array(made[i], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 3))],
                 ["kind", "anchor", "salt", "sid", "tag", "at", "left", "right"])
 
 
@@ -215,11 +215,11 @@ def _surroundings(length: int) -> Callable:
     return cut
 
 
-_CUT = "anchor long, salt int, sid long, tag int, start int, strings int, data binary"
+_CUT = "anchor long, salt int, sid long, tag long, start int, strings int, data binary"
 
 
 def _cut_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     names = [x.split()[0] for x in _CUT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -342,7 +342,7 @@ def _sorted_block(rows: list[dict], length: int) -> pa.RecordBatch:
     for s, t, w, c, hi, lo in parts:
         none = pa.nulls(len(s), pa.int64())
         made.append(pa.RecordBatch.from_arrays(
-            [pa.array(s, pa.int64()), pa.array(t, pa.int32()), pa.array(w, pa.int32()), pa.array(c, pa.int32()),
+            [pa.array(s, pa.int64()), pa.array(t, pa.int64()), pa.array(w, pa.int32()), pa.array(c, pa.int32()),
              none if hi is None else pa.array(hi), none if lo is None else pa.array(lo)], ["sid", "tag", "start", "strings", "hi", "lo"]))
     return pa.Table.from_batches(made).combine_chunks().to_batches()[0] if sum(m.num_rows for m in made) else made[0]
 
@@ -408,9 +408,9 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         raise ValueError(f"length must be over {_GRAM + _PERIOD}")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     plain = plain.select(
-        "doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("sid"), F.xxhash64("text").bitwiseAND(F.lit(_TAG)).cast("int").alias("tag"), "text")
+        "doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("sid"), F.xxhash64("text").alias("tag"), "text")
     rows = in_tasks(plain.where(F.octet_length("text") >= length).select("sid", "tag", "text"), _anchor_rows(length), ANCHORS)
-    dealt = rows.repartition("route").sortWithinPartitions("anchor", "around", "sid", "at")
+    dealt = rows.repartition("route").sortWithinPartitions("anchor", "around", "sid", "at", "tag")
     found = written(in_tasks(dealt, _judge, FOUND), "anchors")
     wanted = found.where("kind = 1").groupBy("sid", "tag").agg(F.collect_list(F.struct("anchor", "salt", "at", "left", "right")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"sid": "s", "tag": "t"})

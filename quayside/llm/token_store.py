@@ -5,14 +5,16 @@ continuation bit says whether the id goes on, and the next level holds the next
 rank directory (ones before every block of 512 bits) turns an id's place in one level into its place in
 the next, so any token is read by one step per level, and no block is ever decoded.
 
-Files are written in ascending document order, one per task of a range partitioning, and carry their own
-document index. A manifest row per file gives the number of ids before it.
+Files are written in ascending document order by the tasks of a range partitioning, and carry their own
+document index. A task writes file after file, so their sizes are bounded and so is the number of tasks. A
+manifest row per file gives the number of ids before it.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -32,7 +34,10 @@ from quayside.llm.unit_ids import UnitIds
 _MAGIC = b"DACTOK1\n"
 _BLOCK = 512
 
-MANIFEST = "path string, part int, documents long, tokens long"
+MANIFEST = "path string, part int, seq int, documents long, tokens long"
+
+#: Tasks that write token files; beyond that many files a task writes several.
+MOST_PARTS = 4096
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -149,7 +154,7 @@ class _Library:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # the end mark's name within a text is ordinary text
+        self.tokenizer.encode_special_tokens = True  # units never hold an added token: see LibraryIds
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -175,10 +180,38 @@ class _Library:
         return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
 
-def library_ids(tokenizer_path: str, end_id: int | None) -> UnitIds:
-    """Ids of whole texts by the tokenizers library."""
-    library = _Library(tokenizer_path)
-    return UnitIds(library.inner, library.first, end_id)
+class LibraryIds:
+    """Ids of whole texts as the tokenizers library gives them with its defaults.
+
+    Texts that hold the name of an added token (of an end mark, say) are cut there before anything else, so
+    they are left to the library whole; all others are put together from their units.
+    """
+
+    def __init__(self, tokenizer_path: str, end_id: int | None):
+        from tokenizers import Tokenizer
+
+        library = _Library(tokenizer_path)
+        self.units = UnitIds(library.inner, library.first, end_id)
+        self.plain, self.after = Tokenizer.from_file(tokenizer_path), int(end_id is not None)
+        names = sorted({t.content for t in self.plain.get_added_tokens_decoder().values() if t.content}, key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, names))) if names else None
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each with the end id, and how many each text has."""
+        odd = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
+        if not odd:
+            return self.units.of(texts)
+        ids, sizes = self.units.of(["" if i in set(odd) else t for i, t in enumerate(texts)])
+        found = [np.array(self.plain.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in odd]
+        each = np.array([len(f) for f in found])
+        before = (np.cumsum(sizes) - sizes)[odd]
+        ids = np.insert(ids, np.repeat(before, each), np.concatenate(found))
+        sizes[odd] += each
+        return ids, sizes
+
+
+def library_ids(tokenizer_path: str, end_id: int | None) -> LibraryIds:
+    return LibraryIds(tokenizer_path, end_id)
 
 
 @cache
@@ -198,26 +231,35 @@ def _by_size(rows: Iterator[dict], most: int) -> Iterator[list[dict]]:
         yield held
 
 
-def _writer(folder: str, tokenizer_path: str, end_id: int, width: int) -> Callable:
+def _writer(folder: str, tokenizer_path: str, end_id: int, width: int, file_bytes: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, doc_ids, ids, lengths, part = _library_ids(tokenizer_path, end_id), [], [], [], 0
-        for rows in _by_size(rows_of(batches), 1 << 22):
+        kept = _library_ids(tokenizer_path, end_id)
+        doc_ids, ids, lengths, part, seq, size = [], [], [], 0, 0, 0
+
+        def file() -> pa.RecordBatch:
+            store, base = fs.FileSystem.from_uri(folder)
+            store.create_dir(base, recursive=True)
+            name = f"{part:06d}-{seq:06d}-{uuid.uuid4().hex}.dac"  # a repeated attempt writes a file of its own
+            codes = Codes.of(np.concatenate(ids), width)
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                write_file(out, doc_ids, np.concatenate(lengths), codes)
+            return pa.RecordBatch.from_pydict({
+                "path": [f"{folder}/{name}"], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "documents": [len(doc_ids)], "tokens": [codes.n],
+            })
+
+        for rows in _by_size(rows_of(batches), min(1 << 22, file_bytes)):
             part = rows[0]["part"]
             doc_ids += [r["doc_id"] for r in rows]
+            size += sum(len(r["text"]) for r in rows)
             with kept as units:
                 found, sizes = units.of([r["text"] for r in rows])
             ids.append(found)
             lengths.append(sizes)
+            if size >= file_bytes:
+                yield file()
+                doc_ids, ids, lengths, seq, size = [], [], [], seq + 1, 0
         if doc_ids:
-            store, base = fs.FileSystem.from_uri(folder)
-            store.create_dir(base, recursive=True)
-            name = f"{part:06d}-{uuid.uuid4().hex}.dac"  # a repeated attempt writes a file of its own
-            codes = Codes.of(np.concatenate(ids), width)
-            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
-                write_file(out, doc_ids, np.concatenate(lengths), codes)
-            yield pa.RecordBatch.from_pydict({
-                "path": [f"{folder}/{name}"], "part": pa.array([part], pa.int32()), "documents": [len(doc_ids)], "tokens": [codes.n],
-            })
+            yield file()
 
     return write
 
@@ -227,22 +269,29 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, width: i
 
     A null text is empty, and an empty text has just the end id. Documents without doc_id come first;
     repeated ids follow each other in the order of their texts' hashes. Other columns are not read. An empty table
-    writes no file. A task holds one part of about ``part_bytes`` bytes of text and its ids.
+    writes no file. A file holds about ``part_bytes`` bytes of text or one longer document, and a task one file's ids.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
+    parts = min(MOST_PARTS, max(1, -(-total // part_bytes)))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # keys of fixed size: samples of them reach the driver
     ranged = plain.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     folder = shared_folder(spark, "tokens")
-    return written(in_tasks(ranged, _writer(folder, tokenizer_path, end_id, width), MANIFEST), "token-files")
+    # ranges differ in size: a file may hold half as much again before another is begun
+    return written(in_tasks(ranged, _writer(folder, tokenizer_path, end_id, width, part_bytes * 3 // 2), MANIFEST), "token-files")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
-    """The manifest with ``start``: the ids in all files before. One row per file goes through the window."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    """The manifest with ``start``: the ids in all files before.
+
+    Sums of parts first (at most ``MOST_PARTS`` rows go through one window), then the files of each part.
+    """
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("of_part"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("of_part").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.join(parts, "part").withColumn("start", F.col("before") + F.coalesce(F.sum("tokens").over(within), F.lit(0))).drop("before")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quayside.llm.common import in_tasks, written
 
-BITS = 20
+BITS = 19
 BIAS = 1 << BITS
 
 _WORD = re.compile(r"\w+")
@@ -36,11 +36,11 @@ def features(text: str | None) -> np.ndarray:
     """The distinct cells of a whole text, the cell of the bias among them."""
     words = " ".join(_WORD.findall((text or "").lower())).encode().split()
     h = np.fromiter(map(crc32, words), np.uint64, len(words))
-    parts = [h * np.uint64(0x9E3779B97F4A7C15)]
+    half = np.uint64(65 - BITS)  # words have the upper half of the cells to themselves
+    parts = [(h * np.uint64(0x9E3779B97F4A7C15) >> half) + np.uint64(BIAS >> 1)]
     for skip in _SKIPS:
-        parts.append(((h[:-skip] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[skip:] + np.uint64(skip))) * np.uint64(0xD6E8FEB86659FD93))
-    cells = np.unique(np.concatenate(parts) >> np.uint64(64 - BITS))
-    return np.append(cells.astype(np.int32), np.int32(BIAS))
+        parts.append(((h[:-skip] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[skip:] + np.uint64(skip))) * np.uint64(0xD6E8FEB86659FD93) >> half)
+    return np.append(np.unique(np.concatenate(parts)).astype(np.int32), np.int32(BIAS))
 
 
 def chance(margin: float) -> float:

@@ -10,11 +10,6 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def by_id(docs):
-    """Documents in ascending id; a null id is one before all."""
-    return sorted(docs, key=lambda r: FIRST if r[0] is None else r[0])
-
-
 def line_key(line):
     return line.strip(" \t\n\v\f\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
@@ -56,13 +51,17 @@ def brute_components(prints):
 
 
 def brute_repeats(docs, length=100):
-    seen, out = {}, []
-    for i, t in by_id(docs):
-        own, data = FIRST if i is None else i, (t or "").encode()
+    """Rows of one id are one document: a string starts earlier in another of them only at a smaller offset."""
+    first, out = {}, []
+    cut = [(i, FIRST if i is None else i, (t or "").encode()) for i, t in docs]
+    for _, own, data in cut:
+        for p in range(len(data) - length + 1):
+            s = data[p: p + length]
+            first[s] = min(first.get(s, (own, p)), (own, p))
+    for i, own, data in cut:
         gone = bytearray(len(data))
         for p in range(len(data) - length + 1):
-            first = seen.setdefault(data[p: p + length], (own, p))
-            if first[0] < own or first[1] < p:
+            if first[data[p: p + length]] < (own, p):
                 gone[p: p + length] = b"\1" * length
         runs = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
         out.append((i, bytes(c for c, g in zip(data, gone, strict=True) if not g), len(data), sum(gone), runs))

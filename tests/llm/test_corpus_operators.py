@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from brute import FIRST, brute_components, brute_lines, brute_print, brute_repeats, rows, shingle_set
 from pyspark.sql import functions as F
 
@@ -183,6 +184,19 @@ def test_a_long_text_after_small_ones(make):
     assert (found.n_removed, found.n_spans) == (500, 1) and bytes(found.kept) == (passage + text[500:-500]).encode()
 
 
+def test_many_texts_without_an_id(make):
+    rng = np.random.default_rng(13)
+    letters = np.array(list("abcdefgh "))
+    passage = "".join(rng.choice(letters, 200))
+    docs = [(None if i % 2 else 7, "".join(rng.choice(letters, 220)) + (passage if i % 10 == 0 else "")) for i in range(4000)]
+    for own in (7, None):  # tags of 18 bits would not tell these texts apart
+        texts = [t for i, t in docs if i == own]
+        assert len({xxhash.xxh64_intdigest(t.encode(), 42) % 2**18 for t in texts}) < len(texts)
+    docs = [(1, passage), *docs]
+    found = suffix_dedup.remove_repeats(make(docs)).select("doc_id", "kept", "n_bytes", "n_removed", "n_spans")
+    assert rows(found) == sorted([(i, bytearray(k), n, r, s) for i, k, n, r, s in brute_repeats(docs)], key=repr)
+
+
 def test_places_in_a_run_fit_their_bits():
     docs = [(i, 0, b"x" * ((2 << 20) - 1)) for i in range(1)] + [(5, 0, b"y" * (15 << 20)), (6, 0, b"z" * (40 << 20))]
     runs = list(suffix_dedup._pieces(docs, 100))
@@ -267,8 +281,7 @@ def test_token_files(spark, make, awkward):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
-    docs = awkward + [(700, "<|endoftext|> a  b \n c"), (701, " lead")]
+    docs = awkward + [(700, "<|endoftext|> a  b \n c"), (701, " lead"), (702, "x <|endoftext|> y"), (703, "x \n <|endoftext|>  <|endoftext|>y" * 40), (704, "<|endoftext|")]
     manifest = token_store.write_tokens(make(docs), JSON, end_id=0, part_bytes=60_000)
     found = token_store.read_tokens(manifest).orderBy("start").collect()
     assert manifest.count() > 2 and len(found) == len(docs)
@@ -306,7 +319,7 @@ def test_directly_addressable_codes(width):
 
 
 def test_units_are_forgotten_without_harm():
-    units = token_store.library_ids(JSON, None)
+    units = token_store.library_ids(JSON, None).units
     small = unit_ids.UnitIds(units.inner, units.first, most=3)
     texts = ["a b c d", "a  b", "", "x y z w"]
     for _ in range(3):
