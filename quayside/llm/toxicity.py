@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quayside.llm.common import in_tasks, written
 
-BITS = 19
+BITS = 18
 BIAS = 1 << BITS
 
 _WORD = re.compile(r"\w+")
