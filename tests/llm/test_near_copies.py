@@ -34,17 +34,43 @@ def test_stage_drops_edited_copies(spark, make):
     assert len(want) < len(docs) - 25
 
 
-@pytest.mark.parametrize("most", (16, 2))
-def test_a_large_group_keeps_one(make, most):
+@pytest.mark.parametrize(("small", "block", "rounds"), ((8, 1000, 6), (2, 5, 6), (1, 7, 1), (0, 3, 0)))
+def test_a_large_group_keeps_one(make, monkeypatch, small, block, rounds):
+    for name, value in (("SMALL", small), ("BLOCK", block), ("ROUNDS", rounds)):
+        monkeypatch.setattr(near_copies, name, value)
     rng = np.random.default_rng(6)
     words = [f"v{x}" for x in range(300)]
     docs = [(i, edited(rng, words, 3)) for i in range(120)] + [(500 + i, edited(rng, [f"u{i}x{k}" for k in range(60)], 1) + " " + " ".join(words[:12])) for i in range(60)]
-    found = near_copies.groups_of_copies(make(docs), most=most).collect()
+    found = near_copies.groups_of_copies(make(docs)).collect()
     roots = {r.doc_id: r.root for r in found}
     assert len({roots[i] for i in range(120)}) == 1
     assert len(set(roots.values())) == 61
 
 
+def test_texts_made_of_common_blocks(make):
+    """600 pairs at a similarity of 0.8 or more among texts that all share their blocks with hundreds of others."""
+    rng = np.random.default_rng(7)
+    blocks = [" ".join(f"b{i}w{k}" for k in range(60)) for i in range(80)]
+    docs = []
+    for i in range(600):
+        own = list(rng.choice(80, 20, replace=False))
+        docs += [(2 * i, " ".join(blocks[b] for b in own)), (2 * i + 1, " ".join(blocks[b] for b in rng.permutation(own)))]
+    sets = {i: near_copies.shingles(t, 5) for i, t in docs}
+    alike = [i for i in range(600) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])]
+    assert len(alike) > 550
+    roots = {r.doc_id: r.root for r in near_copies.groups_of_copies(make(docs, clashing=False)).collect()}
+    assert sum(roots[2 * i] == roots[2 * i + 1] for i in alike) >= 0.99 * len(alike)
+    assert len(set(roots.values())) >= 600
+
+
+def test_hashes_stand_for_shingles():
+    for text in (None, "", "a", "a b c d", "a b c d e", "a b c d e f g", "x " * 3000, "a b c d e a b c d e"):
+        assert len(near_copies.shingle_hashes(text, 5)) == len(near_copies.shingles(text, 5))
+    assert near_copies.shingle_hashes("A b", 5).tolist() == near_copies.shingle_hashes("a  B", 5).tolist() != near_copies.shingle_hashes("b a", 5).tolist()
+    many = near_copies.shingle_hashes(" ".join(f"w{k}" for k in range(5000)), 5)
+    assert near_copies.band_keys(many).tolist() == near_copies.band_keys(many[::-1]).tolist()
+
+
 def test_rows_without_or_with_equal_ids(make):
     long = " ".join(f"w{k}" for k in range(100))
     other = " ".join(f"x{k}" for k in range(100))
