@@ -6,8 +6,8 @@ cell has a learning rate of its own, and L1 leaves the weights of most cells at
 a short list of cells.
 
 The fit is distributed. The features of at most about ``most_rows`` labelled rows, drawn by a hash, are
-written once, in files of about ``shard_rows`` rows. In each round every task goes on from the common state
-over the rows of its file, and the states are averaged by their numbers of rows. The driver sees these states
+written once. In each round every task goes on from the common state over its share of about ``shard_rows``
+rows, and the states are averaged by their numbers of rows. The driver sees these states
 only (``8 << BITS`` bytes each, ``most_rows / shard_rows`` of them).
 """
 
@@ -125,7 +125,7 @@ def fit_model(rows: DataFrame, most_rows: int = 24_576, shard_rows: int = 4096,
     state = State()
     for _ in range(rounds):
         step = _learner(state.z.astype(np.float32).tobytes(), state.n.astype(np.float32).tobytes())
-        found = in_tasks(sample, step, "rows long, z binary, n binary").collect()
+        found = in_tasks(sample.coalesce(shards), step, "rows long, z binary, n binary").collect()
         if not found:
             return Model()
         weight = np.array([r["rows"] for r in found], float) / sum(r["rows"] for r in found)
