@@ -1,13 +1,14 @@
 """Contract reports between layers, the enforced constraints, and the list of declared ones.
 
-Names and types are compared on the plans; only row counts run, all tables of a report in one job.
+Names and types are compared on the plans; only row counts run, all tables of a report in one job. A report
+takes counts that are known already, from the pass that wrote the tables, and then reads those tables no more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SOURCE_TABLES
@@ -16,18 +17,27 @@ from ..functions.frames import fold, per_key, row_counts, union_all
 from .layers import METADATA_COLUMNS
 
 _TABLE = ("table_name",)
+Rows = Mapping[str, int]
+
+
+def _rows(tables: Mapping[str, DataFrame], label: str, known: Rows | None) -> list[DataFrame]:
+    """Row counts under ``label``: the known ones, or counted."""
+    if known is None:
+        return row_counts(tables, label)
+    spark = next(iter(tables.values())).sparkSession
+    return [spark.createDataFrame([(t, known[t]) for t in tables], f"table_name string, {label} long")]
 
 
 class ContractError(AssertionError):
     """A layer does not have the columns, types or rows it must have."""
 
 
-def bronze_report(source: Mapping[str, DataFrame], bronze: Mapping[str, DataFrame]) -> DataFrame:
+def bronze_report(source: Mapping[str, DataFrame], bronze: Mapping[str, DataFrame], source_rows: Rows | None = None) -> DataFrame:
     """Bronze against the source: columns in name, order and type, load metadata, row counts."""
     own = {t: [c for c in bronze[t].dtypes if c[0] not in METADATA_COLUMNS] for t in SOURCE_TABLES}
     added = {t: tuple(c for c in bronze[t].columns if c in METADATA_COLUMNS) for t in SOURCE_TABLES}
     counts = fold(
-        row_counts({t: source[t] for t in SOURCE_TABLES}, "source_rows")
+        _rows({t: source[t] for t in SOURCE_TABLES}, "source_rows", source_rows)
         + row_counts({t: bronze[t] for t in SOURCE_TABLES}, "bronze_rows"),
         _TABLE,
     )
@@ -46,10 +56,10 @@ def bronze_report(source: Mapping[str, DataFrame], bronze: Mapping[str, DataFram
     )
 
 
-def staging_report(bronze: Mapping[str, DataFrame], staging: Mapping[str, DataFrame]) -> DataFrame:
+def staging_report(bronze: Mapping[str, DataFrame], staging: Mapping[str, DataFrame], bronze_rows: Rows | None = None) -> DataFrame:
     """Staging against the contract; tables split off another one have no row count to keep."""
     kept = {t: bronze[t] for t, contract in SILVER.items() if not contract.decomposed}
-    counts = fold(row_counts(kept, "bronze_rows") + row_counts({t: staging[t] for t in SILVER}, "staging_rows"), _TABLE)
+    counts = fold(_rows(kept, "bronze_rows", bronze_rows) + row_counts({t: staging[t] for t in SILVER}, "staging_rows"), _TABLE)
     matches = {t: tuple(staging[t].dtypes) == contract.columns for t, contract in SILVER.items()}
     return counts.withColumns({
         "columns_match_contract": per_key(matches, "table_name", "boolean"),
@@ -60,10 +70,10 @@ def staging_report(bronze: Mapping[str, DataFrame], staging: Mapping[str, DataFr
     )
 
 
-def silver_report(staging: Mapping[str, DataFrame], silver: Mapping[str, DataFrame]) -> DataFrame:
+def silver_report(staging: Mapping[str, DataFrame], silver: Mapping[str, DataFrame], staging_rows: Rows | None = None) -> DataFrame:
     """Silver has as many rows as the staging table it was published from."""
     counts = fold(
-        row_counts({t: staging[t] for t in SILVER}, "staging_rows")
+        _rows({t: staging[t] for t in SILVER}, "staging_rows", staging_rows)
         + row_counts({t: silver[t] for t in SILVER}, "silver_rows"),
         _TABLE,
     )
@@ -77,35 +87,51 @@ def gold_report(gold: Mapping[str, DataFrame]) -> DataFrame:
     return counts.withColumn("columns_match_contract", per_key(matches, "table_name", "boolean")).orderBy("table_name")
 
 
-def require_ok(report: DataFrame, ok: str = "ok") -> None:
-    """Raise with the names of the tables that do not match; a report has one row per table."""
-    failed = sorted(r.table_name for r in report.where(~F.col(ok)).select("table_name").collect())
+def require_ok(report: DataFrame, ok: str = "ok") -> dict[str, Row]:
+    """Raise with the names of the tables that do not match; else the report's rows, one per table."""
+    rows = {r.table_name: r for r in report.collect()}
+    failed = sorted(t for t, r in rows.items() if not r[ok])
     if failed:
         raise ContractError(f"contract not met by: {failed}")
+    return rows
+
+
+def enforced_measures(table: str) -> dict[str, Column]:
+    """The rows against each NOT NULL and CHECK constraint of a table, as aggregates to take while it is written."""
+    contract = SILVER[table]
+    broken = {f"{c} NOT NULL": F.col(c).isNull() for c in contract.required}
+    broken |= {check: ~F.coalesce(F.expr(rule), F.lit(False)) for check, rule in contract.checks}
+    return {label: F.count_if(rule) for label, rule in broken.items()}
 
 
 def enforced_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows against each NOT NULL and CHECK constraint, one scan per table."""
 
     def of_table(name: str) -> DataFrame:
-        contract = SILVER[name]
-        broken = {f"{c} NOT NULL": F.col(c).isNull() for c in contract.required}
-        broken |= {check: ~F.coalesce(F.expr(rule), F.lit(False)) for check, rule in contract.checks}
-        found = tables[name].agg(*[F.count_if(rule).alias(f"v{i}") for i, rule in enumerate(broken.values())])
+        measures = enforced_measures(name)
+        found = tables[name].agg(*[m.alias(f"v{i}") for i, m in enumerate(measures.values())])
         rows = F.array(*[
             F.struct(F.lit(name).alias("table_name"), F.lit(label).alias("constraint"), F.col(f"v{i}").alias("violations"))
-            for i, label in enumerate(broken)
+            for i, label in enumerate(measures)
         ])
         return found.select(F.inline(rows))
 
     return union_all(of_table(t) for t in tables)
 
 
-def assert_enforced(tables: Mapping[str, DataFrame]) -> None:
-    """Parquet tables take no constraints, so they are checked before anything is written."""
-    broken = enforced_violations(tables).where("violations > 0").collect()
+def raise_if_broken(measured: Mapping[str, Mapping[str, int]]) -> None:
+    """Parquet tables take no constraints: raise for violations that were counted while the tables were written."""
+    broken = [(t, label, own[label]) for t, own in measured.items() for label in enforced_measures(t) if own[label] > 0]
     if broken:
-        raise ContractError("; ".join(f"{r.table_name}: {r.constraint} broken by {r.violations} rows" for r in broken))
+        raise ContractError("; ".join(f"{t}: {label} broken by {n} rows" for t, label, n in broken))
+
+
+def assert_enforced(tables: Mapping[str, DataFrame]) -> None:
+    """``raise_if_broken`` for tables that are already there, in one scan each."""
+    found: dict[str, dict[str, int]] = {t: {} for t in tables}
+    for r in enforced_violations(tables).collect():
+        found[r.table_name][r.constraint] = r.violations
+    raise_if_broken(found)
 
 
 def constraint_listing(spark: SparkSession) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import LINE_STATUSES, RETURN_FLAGS, SHIP_MODES, SOURCE_TABLES
@@ -21,6 +21,7 @@ from ..functions.predicates import any_null, outside_allowed
 
 MAX_SAMPLE_KEYS = 10
 CHECKED_LAYERS = ("source", "bronze", "staging", "gold")
+COUNTED_LAYERS = ("source", "bronze", "staging")
 LINE_KEY = ("l_orderkey", "l_linenumber")
 REPORT_COLUMNS = ("rule_id", "layer", "table_name", "violation_count", "sample_keys")
 
@@ -241,7 +242,17 @@ def count_rules(
         part for layer, tables in layers.items()
         for part in row_counts({t: tables[t] for t in SOURCE_TABLES}, layer)
     ]
-    return _difference_rows(F.lit("DQ-G3"), "staging", fold(parts, ("table_name",)), tuple(layers))
+    return _lost_rows(fold(parts, ("table_name",)))
+
+
+def known_count_rules(spark: SparkSession, counts: Mapping[str, Mapping[str, int]]) -> DataFrame:
+    """DQ-G3 from counts per layer (``source, bronze, staging``) and table that the passes which wrote them took."""
+    rows = [(t, *(counts[layer][t] for layer in COUNTED_LAYERS)) for t in SOURCE_TABLES]
+    return _lost_rows(spark.createDataFrame(rows, "table_name string, source long, bronze long, staging long"))
+
+
+def _lost_rows(counts: DataFrame) -> DataFrame:
+    return _difference_rows(F.lit("DQ-G3"), "staging", counts, COUNTED_LAYERS)
 
 
 def gold_count_rules(

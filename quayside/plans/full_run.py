@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,18 +15,21 @@ from ..operators.gate import audit_rows, for_run, raise_if_failed
 from ..operators.layers import bronze, staged_tables
 from ..operators.ledger import ledger_event
 from ..operators.reports import (
-    assert_enforced,
     bronze_report,
     constraint_properties,
+    enforced_measures,
     gold_report,
+    raise_if_broken,
     require_ok,
     silver_report,
     staging_report,
 )
 from ..operators.rules import (
+    COUNTED_LAYERS,
     RuleFrame,
     count_rules,
     gold_count_rules,
+    known_count_rules,
     rule_counts,
     sampled_where_failing,
     staging_rules,
@@ -46,6 +49,7 @@ class Execution:
     store: Store
     source: object
     run_id: str
+    rows: dict[str, dict[str, int]] = field(default_factory=dict)  # per layer and table, as counted by the steps so far
 
     def source_tables(self) -> dict[str, DataFrame]:
         return {t: read_source(self.spark, self.source, t) for t in SOURCE_TABLES}
@@ -76,11 +80,20 @@ def record_event(run: Execution, event: str) -> None:
 
 
 def ingest(run: Execution) -> None:
-    """Copy the source into Bronze and compare the two."""
+    """Copy the source into Bronze and compare the two.
+
+    The rows of the source are counted as they pass by; those of Bronze come from its files' footers.
+    """
     ingested_at = datetime.now(timezone.utc)
     tables = run.source_tables()
     loaded = {t: bronze(df, f"{run.source.label}.{t}", ingested_at) for t, df in tables.items()}
-    run.store.replace_all(loaded, "bronze", lambda new: require_ok(bronze_report(tables, new)))
+
+    def check(new: dict[str, DataFrame], seen: dict[str, dict[str, int]]) -> None:
+        run.rows["source"] = {t: m["rows"] for t, m in seen.items()}
+        found = require_ok(bronze_report(tables, new, run.rows["source"]))
+        run.rows["bronze"] = {t: r.bronze_rows for t, r in found.items()}
+
+    run.store.replace_all(loaded, "bronze", check)
 
 
 def stage(run: Execution, amend: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
@@ -90,7 +103,13 @@ def stage(run: Execution, amend: Mapping[str, Callable[[DataFrame], DataFrame]]
     sources = run.store.read_all("bronze", SOURCE_TABLES)
     staged = staged_tables(sources)
     staged |= {name: change(staged[name]) for name, change in (amend or {}).items()}
-    run.store.replace_all(staged, "staging", lambda new: require_ok(staging_report(sources, new)))
+
+    def check(new: dict[str, DataFrame], seen: dict[str, dict[str, int]]) -> None:
+        projected = None if amend else {t: m["rows"] for t, m in seen.items()}
+        found = require_ok(staging_report(sources, new, projected))
+        run.rows["staging"] = {t: found[t].staging_rows for t in SOURCE_TABLES}
+
+    run.store.replace_all(staged, "staging", check)
 
 
 def report_in_two_steps(frames: list[RuleFrame], more_counts: DataFrame) -> DataFrame:
@@ -108,18 +127,29 @@ def report_in_two_steps(frames: list[RuleFrame], more_counts: DataFrame) -> Data
 def validate(run: Execution) -> None:
     """Record every rule, then stop the run if one failed or is missing."""
     staging = run.store.read_all("staging", SILVER)
-    lost = count_rules(run.source_tables(), run.store.read_all("bronze", SOURCE_TABLES), staging)
+    if run.rows.keys() >= set(COUNTED_LAYERS):
+        lost = known_count_rules(run.spark, run.rows)
+    else:
+        lost = count_rules(run.source_tables(), run.store.read_all("bronze", SOURCE_TABLES), staging)
     run.append_results(report_in_two_steps(staging_rules(staging), lost))
     raise_if_failed(run.audit(), run.run_id, VALIDATE_RULES)
 
 
 def publish(run: Execution) -> None:
-    """Publish staging as Silver, only behind a passed gate of the same run."""
+    """Publish staging as Silver, only behind a passed gate of the same run.
+
+    Every table is read once: row counts and broken constraints come from the tasks that write it, and a
+    version that breaks one is dropped before it is put in place.
+    """
     raise_if_failed(run.audit(), run.run_id, VALIDATE_RULES)
     staging = run.store.read_all("staging", SILVER)
-    assert_enforced(staging)
+
+    def check(new: dict[str, DataFrame], seen: dict[str, dict[str, int]]) -> None:
+        raise_if_broken(seen)
+        require_ok(silver_report(staging, new, {t: m["rows"] for t, m in seen.items()}))
+
     run.store.replace_all(
-        staging, "silver", lambda new: require_ok(silver_report(staging, new)), {t: constraint_properties(t) for t in SILVER}
+        staging, "silver", check, {t: constraint_properties(t) for t in SILVER}, {t: enforced_measures(t) for t in SILVER}
     )
 
 

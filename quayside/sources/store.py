@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT_PREFIX, Layout
 
@@ -33,6 +34,7 @@ class Store:
         self.layout = layout
         self.buckets = dict(buckets or {})
         self.writers = writers
+        self.observed: dict[str, dict[str, int]] = {}  # what was measured while a pending version was written
 
     def name(self, layer: str, table: str) -> str:
         return self.layout.table(layer, table)
@@ -54,25 +56,35 @@ class Store:
         self.ensure_layer(layer)
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(layer, table)} ({schema}) USING parquet")
 
-    def write_new(self, df: DataFrame, layer: str, table: str) -> str:
-        """Write the next version beside the current table and return its temporary name."""
+    def write_new(self, df: DataFrame, layer: str, table: str, measures: Mapping[str, Column] | None = None) -> str:
+        """Write the next version beside the current table and return its temporary name.
+
+        Its rows are counted, and the aggregates in ``measures`` are taken, by the tasks that write: nothing
+        is read for it. They are in ``observed`` under the temporary name until the version is put in place.
+        """
         self.ensure_layer(layer)
         pending = f"{self.name(layer, table)}__{uuid.uuid4().hex[:12]}"
+        bucketed = self.buckets.get(table)
+        if bucketed:
+            df = df.repartition(bucketed[0], *bucketed[1])
+        seen = Observation(pending)
+        # measured in the last stage: a lost shuffle file that is made again does not count twice
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(name) for name, m in (measures or {}).items()])
         writer = df.write.format("parquet")
-        if table in self.buckets:
-            number, columns = self.buckets[table]
-            writer = df.repartition(number, *columns).write.format("parquet").bucketBy(number, *columns)
+        if bucketed:
+            writer = writer.bucketBy(bucketed[0], *bucketed[1])
         writer.saveAsTable(pending)
+        self.observed[pending] = dict(seen.get)
         return pending
 
-    def write_all(self, frames: Mapping[str, DataFrame], layer: str) -> dict[str, str]:
+    def write_all(self, frames: Mapping[str, DataFrame], layer: str, measures: Mapping[str, Mapping[str, Column]] | None = None) -> dict[str, str]:
         """``write_new`` for independent tables, a few at a time, so small ones fill idle executors.
 
         If one fails, the versions already written are dropped and the error is raised.
         """
         self.ensure_layer(layer)
         with ThreadPoolExecutor(max_workers=self.writers) as pool:
-            started = {t: pool.submit(self.write_new, df, layer, t) for t, df in frames.items()}
+            started = {t: pool.submit(self.write_new, df, layer, t, (measures or {}).get(t)) for t, df in frames.items()}
         failed = [f.exception() for f in started.values() if f.exception()]
         if failed:
             self.discard(f.result() for f in started.values() if not f.exception())
@@ -83,14 +95,15 @@ class Store:
         self,
         frames: Mapping[str, DataFrame],
         layer: str,
-        check: Callable[[dict[str, DataFrame]], None] | None = None,
+        check: Callable[[dict[str, DataFrame], dict[str, dict[str, int]]], None] | None = None,
         properties: Mapping[str, Mapping[str, str]] | None = None,
+        measures: Mapping[str, Mapping[str, Column]] | None = None,
     ) -> None:
-        """Write new versions, let ``check`` look at them, and only then put them in place."""
-        pending = self.write_all(frames, layer)
+        """Write new versions, let ``check`` look at them and at what was measured, and only then put them in place."""
+        pending = self.write_all(frames, layer, measures)
         try:
             if check:
-                check({t: self.spark.table(name) for t, name in pending.items()})
+                check({t: self.spark.table(name) for t, name in pending.items()}, {t: self.observed[name] for t, name in pending.items()})
         except Exception:
             self.discard(pending.values())
             raise
@@ -116,6 +129,7 @@ class Store:
                     pairs = ", ".join(f"'{key}' = '{value}'" for key, value in declared.items())
                     self.spark.sql(f"ALTER TABLE {written} SET TBLPROPERTIES ({pairs})")
                 self._rename(written, full)
+                self.observed.pop(written, None)
                 placed.append(full)
         except Exception:
             self.discard(placed)
@@ -148,6 +162,7 @@ class Store:
 
     def discard(self, pending: Iterable[str]) -> None:
         for written in pending:
+            self.observed.pop(written, None)
             self.spark.sql(f"DROP TABLE IF EXISTS {written}")
 
     def replace(self, df: DataFrame, layer: str, table: str) -> None:

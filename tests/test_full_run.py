@@ -1,6 +1,9 @@
 """The whole run on the clean test tables: success, rerun, injected fault, guard, snapshot."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from quayside.config import DEFAULT_PREFIX, SOURCE_TABLES, Layout
 from quayside.contracts import GOLD, SILVER, VALIDATE_RULES
@@ -9,6 +12,7 @@ from quayside.operators.facts import order_fulfillment
 from quayside.operators.gate import DataQualityError, for_run
 from quayside.operators.layers import inject_receipt_before_ship
 from quayside.operators.ledger import StaleResultsError
+from quayside.operators.reports import ContractError
 from quayside.plans import full_run
 from quayside.plans.analysis import analyse
 from quayside.plans.full_run import CHECKS, RUNS, results_of, run_all, run_silver
@@ -147,7 +151,8 @@ def test_a_failed_check_or_rename_keeps_every_old_table(spark, monkeypatch):
         shown = {r.tableName for r in spark.sql(f"SHOW TABLES IN {store.layout.schema('gold')}").collect()}
         return shown == {"a", "b"} and all(store.read("gold", t).first() == (t, 1) for t in old)
 
-    def refuse(pending):
+    def refuse(pending, seen):
+        assert seen == {"a": {"rows": 1}, "b": {"rows": 1}}
         assert pending["b"].first().n == 2
         raise ValueError("no")
 
@@ -175,6 +180,50 @@ def test_a_failed_check_or_rename_keeps_every_old_table(spark, monkeypatch):
     assert store.read("gold", "a").first().n == 2
 
 
+def scans(spark, since, table):
+    """Scans of a table that read any of its columns, in all queries after the first ``since``."""
+    listed = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [listed.apply(i).physicalPlanDescription() for i in range(since, listed.size())]
+    found = [part for plan in plans for part in re.split(r"\n\n\n", plan) if re.search(rf"\) Scan parquet {re.escape(table)}\s", part)]
+    return sum("ReadSchema: struct<>" not in part for part in found)
+
+
+def test_publication_reads_each_table_once(spark, source):
+    store = Store(spark, Layout(prefix="counted"))
+    run = full_run.start(spark, store, source)
+    for step in (full_run.ingest, full_run.stage, full_run.validate):
+        step(run)
+    status = spark._jsparkSession.sharedState().statusStore()
+    before = status.executionsList().size()
+    full_run.publish(run)
+    assert {t: scans(spark, before, store.name("staging", t)) for t in SILVER} == dict.fromkeys(SILVER, 1)
+    assert not store.observed and set(run.rows) == {"source", "bronze", "staging"}
+
+
+def test_a_broken_constraint_is_seen_while_writing(spark, source, monkeypatch):
+    store = Store(spark, Layout(prefix="refused"))
+    run = full_run.start(spark, store, source)
+    full_run.ingest(run)
+    full_run.stage(run, {"orders": lambda df: df.withColumn("o_orderdate", F.expr("nullif(o_orderdate, date'1995-01-01')"))})
+    nulls = store.read("staging", "orders").where("o_orderdate is null").count()
+    monkeypatch.setattr(full_run, "raise_if_failed", lambda *_: None)
+    with pytest.raises(ContractError, match=f"orders: o_orderdate NOT NULL broken by {nulls} rows"):
+        full_run.publish(run)
+    assert nulls and not store.exists("silver", "orders") and not store.observed
+    assert spark.sql(f"SHOW TABLES IN {store.layout.schema('silver')}").count() == 0
+
+
+def test_rows_are_counted_while_writing(spark):
+    store = Store(spark, Layout(prefix="observed"), {"b": (3, ("n",))})
+    rows = spark.range(1000).selectExpr("id AS n", "if(id % 4 = 0, null, id) AS m")
+    for table, df, want in (("a", rows, (1000, 250)), ("b", rows, (1000, 250)), ("c", rows.where("n < 0"), (0, 0)), ("d", rows.limit(0), (0, 0)),
+                            ("e", rows.groupBy("m").count().withColumnRenamed("count", "n"), (751, 1))):
+        name = store.write_new(df, "gold", table, {"empty": F.count_if(F.col("m").isNull())})
+        assert store.observed[name] == {"rows": want[0], "empty": want[1]}, table
+        store.swap("gold", {table: name})
+        assert store.read("gold", table).count() == want[0]
+
+
 def test_default_prefix_is_protected(spark, source):
     store = Store(spark, Layout())
     assert store.layout.prefix == DEFAULT_PREFIX
