@@ -1,4 +1,4 @@
-"""The six Gold aggregates; percentiles are exact and taken at the grain that is reported."""
+"""The six Gold aggregates, derived from the histograms of the facts; percentiles are exact."""
 
 from __future__ import annotations
 
@@ -11,22 +11,16 @@ from ..contracts import GOLD
 from ..functions.frames import fold
 from ..functions.measures import percentiles, share, weighted_mean, weighted_stddev_pop
 from .facts import line_delivery, order_fulfillment
+from .histograms import of_measure
 
 
-def _with_lines(order_fact: DataFrame) -> DataFrame:
-    return order_fact.where(F.col("line_count") >= 1)
-
-
-def ship_mode_performance(line_fact: DataFrame) -> DataFrame:
+def ship_mode_performance(histogram: DataFrame) -> DataFrame:
     """Speed, spread and lateness of each ship mode."""
-    per_day = line_fact.groupBy("ship_mode", "transit_days").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_late").alias("late")
-    )
-    modes = per_day.groupBy("ship_mode").agg(
+    modes = of_measure(histogram, "ship_transit").groupBy("ship_mode").agg(
         F.sum("n").alias("line_count"),
-        percentiles("transit_days", (0.25, 0.5, 0.75, 0.9), "n").alias("p"),
-        weighted_mean("transit_days", "n").alias("transit_mean_days"),
-        weighted_stddev_pop("transit_days", "n").alias("transit_stddev_days"),
+        percentiles("value", (0.25, 0.5, 0.75, 0.9), "n").alias("p"),
+        weighted_mean("value", "n").alias("transit_mean_days"),
+        weighted_stddev_pop("value", "n").alias("transit_stddev_days"),
         F.sum("late").alias("late_line_count"),
     )
     p25, p50, p75, p90 = (F.col("p")[i] for i in range(4))
@@ -39,21 +33,18 @@ def ship_mode_performance(line_fact: DataFrame) -> DataFrame:
     }).select(*GOLD["agg_ship_mode_performance"])
 
 
-def on_time_summary(order_fact: DataFrame, line_fact: DataFrame) -> DataFrame:
+def on_time_summary(histogram: DataFrame) -> DataFrame:
     """One row: order shares and order sizes beside line shares."""
-    per_size = _with_lines(order_fact).groupBy("line_count").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_fully_on_time").alias("on_time")
-    )
-    of_orders = per_size.agg(
+    of_orders = of_measure(histogram, "order_size").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("order_count"),
         F.sum("on_time").alias("fully_on_time_order_count"),
-        F.min("line_count").alias("lines_per_order_min"),
-        percentiles("line_count", (0.5,), "n")[0].alias("lines_per_order_p50"),
-        weighted_mean("line_count", "n").alias("lines_per_order_mean"),
-        F.max("line_count").alias("lines_per_order_max"),
+        F.min("value").alias("lines_per_order_min"),
+        percentiles("value", (0.5,), "n")[0].alias("lines_per_order_p50"),
+        weighted_mean("value", "n").alias("lines_per_order_mean"),
+        F.max("value").alias("lines_per_order_max"),
     )
-    of_lines = line_fact.agg(
-        F.count(F.lit(1)).alias("line_count"), F.count_if(~F.col("is_late")).alias("on_time_line_count")
+    of_lines = of_measure(histogram, "commit").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("line_count"), F.coalesce(F.sum("on_time"), F.lit(0)).alias("on_time_line_count")
     )
     return fold([of_orders, of_lines]).withColumns({
         "order_on_time_share": share(F.col("fully_on_time_order_count"), F.col("order_count")),
@@ -61,40 +52,34 @@ def on_time_summary(order_fact: DataFrame, line_fact: DataFrame) -> DataFrame:
     }).select(*GOLD["agg_on_time_summary"])
 
 
-def on_time_by_line_count(order_fact: DataFrame) -> DataFrame:
+def on_time_by_line_count(histogram: DataFrame) -> DataFrame:
     """On-time shares by order size."""
-    sizes = _with_lines(order_fact).groupBy(F.col("line_count").alias("lines_in_order")).agg(
-        F.count(F.lit(1)).alias("order_count"),
-        F.count_if("is_fully_on_time").alias("fully_on_time_order_count"),
-        F.sum("late_line_count").alias("late"),
+    sizes = of_measure(histogram, "order_size").groupBy(F.col("value").alias("lines_in_order")).agg(
+        F.sum("n").alias("order_count"),
+        F.sum("on_time").alias("fully_on_time_order_count"),
+        F.sum("late").alias("late_lines"),
     )
     lines = F.col("lines_in_order") * F.col("order_count")
     return sizes.withColumns({
         "order_on_time_share": share(F.col("fully_on_time_order_count"), F.col("order_count")),
-        "line_on_time_share": share(lines - F.col("late"), lines),
+        "line_on_time_share": share(lines - F.col("late_lines"), lines),
     }).select(*GOLD["agg_on_time_by_line_count"])
 
 
-def _fulfillment(order_fact: DataFrame, line_fact: DataFrame, groups: Sequence[str]) -> DataFrame:
+def _fulfillment(histogram: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Completion from orders, transit and order-to-ship from lines, joined per group."""
-    completion = _with_lines(order_fact).groupBy(*groups, "order_to_complete_days").agg(F.count(F.lit(1)).alias("n"))
-    of_orders = completion.groupBy(*groups).agg(
+    of_orders = of_measure(histogram, "priority_complete").groupBy(*groups).agg(
         F.sum("n").alias("order_count"),
-        percentiles("order_to_complete_days", (0.5, 0.9), "n").alias("complete"),
-        weighted_mean("order_to_complete_days", "n").alias("complete_mean_days"),
-    )
-    # two histograms side by side: their values add up, those of a joint one would multiply
-    measured = F.array(
-        F.struct(F.lit(True).alias("moving"), F.col("transit_days").alias("days")),
-        F.struct(F.lit(False).alias("moving"), F.col("order_to_ship_days").alias("days")),
+        percentiles("value", (0.5, 0.9), "n").alias("complete"),
+        weighted_mean("value", "n").alias("complete_mean_days"),
     )
-    movement = line_fact.select(*groups, F.inline(measured)).groupBy(*groups, "moving", "days").agg(F.count(F.lit(1)).alias("n"))
-    movement = movement.withColumns({
-        "transit_days": F.when(F.col("moving"), F.col("days")),
-        "order_to_ship_days": F.when(~F.col("moving"), F.col("days")),
+    moving = F.col("measure") == "priority_transit"
+    movement = histogram.where(F.col("measure").isin("priority_transit", "priority_wait")).withColumns({
+        "transit_days": F.when(moving, F.col("value")),
+        "order_to_ship_days": F.when(~moving, F.col("value")),
     })
     of_lines = movement.groupBy(*groups).agg(
-        F.sum(F.when(F.col("moving"), F.col("n"))).alias("line_count"),
+        F.sum(F.when(moving, F.col("n"))).alias("line_count"),
         percentiles("transit_days", (0.5, 0.9), "n").alias("transit"),
         weighted_mean("transit_days", "n").alias("transit_mean_days"),
         percentiles("order_to_ship_days", (0.5, 0.9), "n").alias("order_to_ship"),
@@ -107,26 +92,24 @@ def _fulfillment(order_fact: DataFrame, line_fact: DataFrame, groups: Sequence[s
     })
 
 
-def priority_fulfillment(order_fact: DataFrame, line_fact: DataFrame) -> DataFrame:
+def priority_fulfillment(histogram: DataFrame) -> DataFrame:
     """By order priority. The groups meet by plain equality, so a NULL priority has no row."""
-    return _fulfillment(order_fact, line_fact, ("order_priority", "is_urgent")).select(
-        *GOLD["agg_priority_fulfillment"]
-    )
+    return _fulfillment(histogram, ("order_priority", "is_urgent")).select(*GOLD["agg_priority_fulfillment"])
 
 
-def urgency_fulfillment(order_fact: DataFrame, line_fact: DataFrame) -> DataFrame:
-    """Urgent against all others, with percentiles of its own rather than averaged ones."""
-    return _fulfillment(order_fact, line_fact, ("is_urgent",)).select(*GOLD["agg_urgency_fulfillment"])
+def urgency_fulfillment(histogram: DataFrame) -> DataFrame:
+    """Urgent against all others: the priorities' histograms added up, so percentiles are not averaged."""
+    return _fulfillment(histogram, ("is_urgent",)).select(*GOLD["agg_urgency_fulfillment"])
 
 
-def delay_rate_monthly(line_fact: DataFrame) -> DataFrame:
+def delay_rate_monthly(histogram: DataFrame) -> DataFrame:
     """Delay rate by commit month; the first and last month of the series are flagged.
 
     The window sees one row per calendar month, after the aggregation, and spares a second pass
     over the lines for the two bounds.
     """
-    monthly = line_fact.groupBy("commit_month").agg(
-        F.count(F.lit(1)).alias("line_count"), F.count_if("is_late").alias("late_line_count")
+    monthly = of_measure(histogram, "commit").groupBy("commit_month").agg(
+        F.sum("n").alias("line_count"), F.sum("late").alias("late_line_count")
     )
     series = Window.partitionBy()
     month = F.col("commit_month")
@@ -136,13 +119,22 @@ def delay_rate_monthly(line_fact: DataFrame) -> DataFrame:
     }).select(*GOLD["agg_delay_rate_monthly"])
 
 
-# What each Gold table is built from: facts from (lineitem, orders), aggregates from the two facts.
+# What each Gold table is built from: facts from (lineitem, orders), aggregates from the histograms named.
 FACT_BUILDERS = {"fct_lineitem_delivery": line_delivery, "fct_order_fulfillment": order_fulfillment}
 AGGREGATE_BUILDERS = {
-    "agg_ship_mode_performance": lambda line_fact, order_fact: ship_mode_performance(line_fact),
-    "agg_on_time_summary": lambda line_fact, order_fact: on_time_summary(order_fact, line_fact),
-    "agg_on_time_by_line_count": lambda line_fact, order_fact: on_time_by_line_count(order_fact),
-    "agg_priority_fulfillment": lambda line_fact, order_fact: priority_fulfillment(order_fact, line_fact),
-    "agg_urgency_fulfillment": lambda line_fact, order_fact: urgency_fulfillment(order_fact, line_fact),
-    "agg_delay_rate_monthly": lambda line_fact, order_fact: delay_rate_monthly(line_fact),
+    "agg_ship_mode_performance": ship_mode_performance,
+    "agg_on_time_summary": on_time_summary,
+    "agg_on_time_by_line_count": on_time_by_line_count,
+    "agg_priority_fulfillment": priority_fulfillment,
+    "agg_urgency_fulfillment": urgency_fulfillment,
+    "agg_delay_rate_monthly": delay_rate_monthly,
+}
+_FULFILLMENT = ("priority_transit", "priority_wait", "priority_complete")
+AGGREGATE_MEASURES = {
+    "agg_ship_mode_performance": ("ship_transit",),
+    "agg_on_time_summary": ("commit", "order_size"),
+    "agg_on_time_by_line_count": ("order_size",),
+    "agg_priority_fulfillment": _FULFILLMENT,
+    "agg_urgency_fulfillment": _FULFILLMENT,
+    "agg_delay_rate_monthly": ("commit",),
 }
