@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from .config import SOURCE_TABLES
+
+
 @dataclass(frozen=True)
 class ForeignKey:
     name: str
@@ -241,6 +244,16 @@ FACTS = ("fct_lineitem_delivery", "fct_order_fulfillment")
 VALIDATE_RULES = tuple(f"DQ-L{i}" for i in range(1, 10)) + ("DQ-G1", "DQ-G2", "DQ-G3")
 GOLD_RULES = ("DQ-GOLD1", "DQ-GOLD2")
 
+# The results, as (rule, table), that a complete validation leaves; a reference is named after its child table.
+VALIDATE_RESULTS = (
+    *((f"DQ-L{i}", "lineitem") for i in (1, 2, 3, 4, 5, 6, 8)),
+    ("DQ-L4", "orders"), ("DQ-L7", "ship_date_status"), ("DQ-L9", "orders"),
+    *(("DQ-G1", table) for table in SILVER),
+    *(("DQ-G2", f"{fk.child}.{fk.name}") for fk in FOREIGN_KEYS),
+    *(("DQ-G3", table) for table in SOURCE_TABLES),
+)
+GOLD_RESULTS = tuple(zip(GOLD_RULES, FACTS))
+
 DQ_RESULTS_SCHEMA = (
     "run_id string, run_ts timestamp, rule_id string, layer string, table_name string, "
     "violation_count bigint, sample_keys string, severity string, passed boolean"

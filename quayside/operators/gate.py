@@ -70,20 +70,27 @@ def run_ids(audit: DataFrame) -> DataFrame:
     return audit.select("run_id").distinct()
 
 
-def gate_verdict(audit: DataFrame, run_id: str, rule_ids: Iterable[str]) -> DataFrame:
-    """``passed``, ``failed`` or ``missing`` for every requested rule."""
-    rule_ids = list(rule_ids)
-    expected = audit.sparkSession.createDataFrame([(r,) for r in rule_ids], "rule_id string")
-    seen = for_run(audit, run_id, rule_ids).groupBy("rule_id").agg(
+def gate_verdict(audit: DataFrame, run_id: str, expected: Iterable[str | tuple[str, str]]) -> DataFrame:
+    """``rule_id, table_name, verdict, violations`` of every result that is there or expected: ``passed``, ``failed`` or ``missing``.
+
+    ``expected`` are pairs of rule and table, or rules alone, which need a result for any table. A rule's
+    results for tables that are not expected count too.
+    """
+    expected = [e if isinstance(e, tuple) else (e, None) for e in expected]
+    wanted = audit.sparkSession.createDataFrame(expected, "rule_id string, table_name string")
+    seen = for_run(audit, run_id, {rule for rule, _ in expected}).groupBy("rule_id", "table_name").agg(
         F.bool_and("passed").alias("passed"), F.sum("violation_count").alias("violations")
     )
-    verdict = F.when(F.col("passed").isNull(), "missing").when(F.col("passed"), "passed").otherwise("failed")
-    return expected.join(seen, "rule_id", "left").select("rule_id", verdict.alias("verdict"), "violations")
+    found = seen.select("rule_id", "table_name", F.when(F.col("passed"), "passed").otherwise("failed").alias("verdict"), "violations")
+    met = seen.select(F.col("rule_id").alias("rule"), F.col("table_name").alias("table"))
+    lacking = wanted.join(met, (F.col("rule_id") == F.col("rule")) & F.coalesce(F.col("table_name") == F.col("table"), F.lit(True)), "left_anti")
+    return found.unionByName(lacking.select("rule_id", "table_name", F.lit("missing").alias("verdict"), F.lit(None).cast("long").alias("violations")))
 
 
-def raise_if_failed(audit: DataFrame, run_id: str, rule_ids: Iterable[str]) -> None:
-    """Stop the run unless every requested rule has only passing results in it."""
-    bad = gate_verdict(audit, run_id, rule_ids).where("verdict <> 'passed'").orderBy("rule_id").collect()
+def raise_if_failed(audit: DataFrame, run_id: str, expected: Iterable[str | tuple[str, str]]) -> None:
+    """Stop the run unless every expected result is there and all results of these rules pass."""
+    bad = gate_verdict(audit, run_id, expected).where("verdict <> 'passed'").orderBy("rule_id", "table_name").collect()
     if bad:
-        told = "; ".join(f"{r.rule_id} {r.verdict}" + (f" ({r.violations} rows)" if r.violations else "") for r in bad)
+        told = "; ".join(
+            f"{r.rule_id} {r.verdict}" + (f" for {r.table_name}" if r.table_name else "") + (f" ({r.violations} rows)" if r.violations else "") for r in bad)
         raise DataQualityError(f"run {run_id} is stopped: {told}")

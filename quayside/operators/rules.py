@@ -221,6 +221,18 @@ def sampled_where_failing(frames: Iterable[RuleFrame], counts: DataFrame, failin
     return report.withColumn("sample_keys", F.coalesce("sample_keys", F.lit("[]"))).select(*REPORT_COLUMNS)
 
 
+def report_in_two_steps(frames: list[RuleFrame], more_counts: DataFrame | None = None) -> DataFrame:
+    """``dq_report`` that counts at once and then samples what failed only, so clean data is read once.
+
+    The counts are brought to the driver, one small row per rule of the contract.
+    """
+    counts = rule_counts(frames)
+    counted = counts.collect()
+    failing = {(r.rule_id, r.table_name) for r in counted if r.violation_count > 0}
+    known = counts.sparkSession.createDataFrame(counted, counts.schema)
+    return with_counts(sampled_where_failing(frames, known, failing), more_counts)
+
+
 def _difference_rows(rule_id: Column, layer: str, counts: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Row-count differences along ``names``; the counts themselves are the sample."""
     steps = [F.abs(F.col(a) - F.col(b)) for a, b in zip(names, names[1:])]

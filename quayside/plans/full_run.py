@@ -9,9 +9,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT_PREFIX, SOURCE_TABLES, new_run_id
-from ..contracts import DQ_RESULTS_SCHEMA, FACTS, GOLD, GOLD_RULES, RUNS_SCHEMA, SILVER, VALIDATE_RULES
+from ..contracts import DQ_RESULTS_SCHEMA, FACTS, GOLD, GOLD_RESULTS, RUNS_SCHEMA, SILVER, VALIDATE_RESULTS
 from ..operators.aggregates import AGGREGATE_BUILDERS, FACT_BUILDERS
 from ..operators.gate import audit_rows, for_run, raise_if_failed
+from ..operators.histograms import histograms
 from ..operators.layers import bronze, staged_tables
 from ..operators.ledger import ledger_event
 from ..operators.reports import (
@@ -26,19 +27,17 @@ from ..operators.reports import (
 )
 from ..operators.rules import (
     COUNTED_LAYERS,
-    RuleFrame,
     count_rules,
     gold_count_rules,
     known_count_rules,
-    rule_counts,
-    sampled_where_failing,
+    report_in_two_steps,
     staging_rules,
-    with_counts,
 )
 from ..sources.readers import read_source
 from ..sources.store import Store
 
 CHECKS, RUNS = "dq_check_results", "pipeline_runs"
+HISTOGRAMS = "delivery_histograms"
 
 
 @dataclass(frozen=True)
@@ -112,18 +111,6 @@ def stage(run: Execution, amend: Mapping[str, Callable[[DataFrame], DataFrame]]
     run.store.replace_all(staged, "staging", check)
 
 
-def report_in_two_steps(frames: list[RuleFrame], more_counts: DataFrame) -> DataFrame:
-    """The report over written tables: counts first, then samples of what failed, so clean data is read once.
-
-    The counts are brought to the driver, one small row per rule of the contract.
-    """
-    counts = rule_counts(frames)
-    counted = counts.collect()
-    failing = {(r.rule_id, r.table_name) for r in counted if r.violation_count > 0}
-    known = counts.sparkSession.createDataFrame(counted, counts.schema)
-    return with_counts(sampled_where_failing(frames, known, failing), more_counts)
-
-
 def validate(run: Execution) -> None:
     """Record every rule, then stop the run if one failed or is missing."""
     staging = run.store.read_all("staging", SILVER)
@@ -132,7 +119,7 @@ def validate(run: Execution) -> None:
     else:
         lost = count_rules(run.source_tables(), run.store.read_all("bronze", SOURCE_TABLES), staging)
     run.append_results(report_in_two_steps(staging_rules(staging), lost))
-    raise_if_failed(run.audit(), run.run_id, VALIDATE_RULES)
+    raise_if_failed(run.audit(), run.run_id, VALIDATE_RESULTS)
 
 
 def publish(run: Execution) -> None:
@@ -141,7 +128,7 @@ def publish(run: Execution) -> None:
     Every table is read once: row counts and broken constraints come from the tasks that write it, and a
     version that breaks one is dropped before it is put in place.
     """
-    raise_if_failed(run.audit(), run.run_id, VALIDATE_RULES)
+    raise_if_failed(run.audit(), run.run_id, VALIDATE_RESULTS)
     staging = run.store.read_all("staging", SILVER)
 
     def check(new: dict[str, DataFrame], seen: dict[str, dict[str, int]]) -> None:
@@ -156,8 +143,8 @@ def publish(run: Execution) -> None:
 def build_gold(run: Execution) -> None:
     """Write facts and aggregates, reconcile them, and only then show them.
 
-    Aggregates read the written facts, so the join is done once. A failed check discards the new
-    versions and leaves the tables of the last good run in place.
+    The written facts are read once, for the histograms; all aggregates are derived from these. A failed
+    check discards the new versions and leaves the tables of the last good run in place.
     """
     store, spark = run.store, run.spark
     lineitem, orders = store.read("silver", "lineitem"), store.read("silver", "orders")
@@ -165,10 +152,12 @@ def build_gold(run: Execution) -> None:
     try:
         written |= store.write_all({t: build(lineitem, orders) for t, build in FACT_BUILDERS.items()}, "gold")
         line_fact, order_fact = (spark.table(written[f]) for f in FACTS)
-        written |= store.write_all({t: build(line_fact, order_fact) for t, build in AGGREGATE_BUILDERS.items()}, "gold")
+        written[HISTOGRAMS] = store.write_new(histograms(line_fact, order_fact).coalesce(1), "gold", HISTOGRAMS)  # one row per value
+        counted = spark.table(written[HISTOGRAMS])
+        written |= store.write_all({t: build(counted) for t, build in AGGREGATE_BUILDERS.items()}, "gold")
         require_ok(gold_report({t: spark.table(written[t]) for t in GOLD}), "columns_match_contract")
         run.append_results(gold_count_rules(lineitem, orders, line_fact, order_fact))
-        raise_if_failed(run.audit(), run.run_id, GOLD_RULES)
+        raise_if_failed(run.audit(), run.run_id, GOLD_RESULTS)
     except Exception:
         store.discard(written.values())
         raise

@@ -458,7 +458,6 @@ def _layer_counts(names: tuple[str, ...], per_table: dict[str, tuple[str, ...]],
     )
 
 
-RULE_IDS = [f"DQ-L{i}" for i in range(1, 10)] + ["DQ-G1", "DQ-G2", "DQ-G3"]
 
 _LOADED = "TIMESTAMP '2026-10-07 16:43:01' AS _ingested_at, 'samples.{t}' AS _source_table"
 RELATIONS |= {f"{p}_bronze_{t}": f"SELECT *, {_LOADED.format(t=t)} FROM {p}_{t}" for p in "cd" for t in _SOURCES}
@@ -554,11 +553,13 @@ def _audited(report: str) -> str:
 
 
 def _gate(counts: str) -> str:
-    expected = ", ".join(f"('{r}')" for r in RULE_IDS)
+    expected = [(rule, table) for rule, table in _rule_rows("c")] + [("DQ-G3", t) for t in _SOURCES]
+    values = ", ".join(f"('{rule}', '{table}')" for rule, table in expected)
     return (
-        "SELECT rule_id, CASE WHEN n IS NULL THEN 'missing' WHEN n = 0 THEN 'passed' ELSE 'failed' END AS verdict, "
-        f"n AS violations FROM (VALUES {expected}) AS e(rule_id) LEFT JOIN "
-        f"(SELECT rule_id, CAST(sum(violation_count) AS BIGINT) AS n FROM {counts} GROUP BY rule_id) USING (rule_id)"
+        "SELECT rule_id, table_name, CASE WHEN n IS NULL THEN 'missing' WHEN n = 0 THEN 'passed' ELSE 'failed' END AS verdict, "
+        f"n AS violations FROM (VALUES {values}) AS e(rule_id, table_name) FULL JOIN "
+        f"(SELECT rule_id, table_name, CAST(sum(violation_count) AS BIGINT) AS n FROM {counts} GROUP BY rule_id, table_name) "
+        "USING (rule_id, table_name)"
     )
 
 
@@ -682,14 +683,45 @@ def _stage(table: str, p: str = "c") -> str:
     return f"SELECT {_STAGED[table]} FROM {p}_{table}"
 
 
-_FIRST = "(SELECT {0} FROM c_lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1)"
-_INJECTED = "SELECT {columns} FROM c_lineitem".format(
+RELATIONS["first_line"] = "SELECT l_orderkey AS k, l_linenumber AS n FROM c_lineitem ORDER BY 1, 2 LIMIT 1"
+_INJECTED = "SELECT {columns} FROM c_lineitem, first_line f".format(
     columns=_STAGED["lineitem"].replace(
         "l_receiptdate",
-        f"CASE WHEN l_orderkey = {_FIRST.format('l_orderkey')} AND l_linenumber = {_FIRST.format('l_linenumber')} "
-        "THEN l_shipdate - 1 ELSE l_receiptdate END AS l_receiptdate",
+        "CASE WHEN l_orderkey = f.k AND l_linenumber = f.n THEN l_shipdate - 1 ELSE l_receiptdate END AS l_receiptdate",
     )
 )
+def _histogram(measure: str, fact: str, value: str, late: str, on_time: str, *groups: str) -> str:
+    """Rows per value of one measure; columns of other measures are NULL."""
+    kinds = {"ship_mode": "VARCHAR", "order_priority": "VARCHAR", "is_urgent": "BOOLEAN", "commit_month": "DATE"}
+    columns = ", ".join(f"{c if c in groups else f'CAST(NULL AS {kind})'} AS {c}" for c, kind in kinds.items())
+    return (
+        f"SELECT '{measure}' AS measure, {columns}, CAST({value} AS BIGINT) AS value, {_COUNT} AS n, "
+        f"CAST({late} AS BIGINT) AS late, CAST({on_time} AS BIGINT) AS on_time FROM {fact} GROUP BY ALL"
+    )
+
+
+def _histograms() -> str:
+    lines = ("count(*) FILTER (WHERE is_late)", "count(*) FILTER (WHERE NOT is_late)")
+    orders = ("sum(late_line_count)", "count(*) FILTER (WHERE is_fully_on_time)")
+    some = "(SELECT * FROM fct_order WHERE line_count >= 1)"
+    return " UNION ALL ".join((
+        _histogram("ship_transit", "fct_line", "transit_days", *lines, "ship_mode"),
+        _histogram("priority_transit", "fct_line", "transit_days", *lines, "order_priority", "is_urgent"),
+        _histogram("priority_wait", "fct_line", "order_to_ship_days", *lines, "order_priority", "is_urgent"),
+        _histogram("commit", "fct_line", "NULL", *lines, "commit_month"),
+        _histogram("order_size", some, "line_count", *orders),
+        _histogram("priority_complete", some, "order_to_complete_days", *orders, "order_priority", "is_urgent"),
+    ))
+
+
+def _price_percentiles(p: str) -> str:
+    rows = f"(SELECT l_shipmode, CAST(l_extendedprice AS DOUBLE) AS v FROM {p}_lineitem)"
+    return " UNION ALL ".join(
+        f"SELECT l_shipmode, CAST({share} AS DOUBLE) AS share, {_COUNT} AS n, quantile_cont(v, {share}) AS value FROM {rows} WHERE v IS NOT NULL GROUP BY l_shipmode"
+        for share in (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
+    )
+
+
 RELATIONS["ledger"] = (
     "SELECT 'run-' || user_id AS run_id, CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'succeeded' "
     "ELSE event_type END AS event, ts AS event_ts FROM events"
@@ -711,6 +743,9 @@ def _body() -> dict[str, str]:
     modes = "agg_ship_mode_performance"
     bodies = {name: f"SELECT * FROM {rel}" for name, rel in _GOLD_NAMES.items()}
     dirty_names = {name: _dirty(f"FROM {rel}").removeprefix("FROM ") for name, rel in _GOLD_NAMES.items()}
+    bodies["delivery_histograms"] = _histograms()
+    bodies["delivery_histograms_dirty"] = _dirty(_histograms())
+    bodies["price_percentiles"], bodies["price_percentiles_dirty"] = _price_percentiles("c"), _price_percentiles("d")
     bodies["gold_report"] = _gold_report(_GOLD_NAMES, _GOLD_NAMES)
     bodies["gold_report_dirty"] = _gold_report(dirty_names | {"agg_ship_mode_performance": "a_modes"}, dirty_names)
     bodies |= {
@@ -763,7 +798,7 @@ def _body() -> dict[str, str]:
         "dq_gate": _gate("dirty_counts"),
         "dq_gate_clean": _gate("clean_counts"),
         "audit_for_run": _audited(_records("d", *(r for r in _rule_rows("d") if r[0] in ("DQ-L2", "DQ-G1")))),
-        "audit_latest": _audited(_g3("d", "d")),
+        "audit_latest": _audited(f"{_records('d')} UNION ALL {_g3('d', 'd')}"),
         "audit_run_ids": (
             "SELECT DISTINCT run_id FROM (SELECT 'dirty' AS run_id FROM dirty_counts UNION ALL SELECT 'clean' FROM clean_counts)"
         ),
@@ -843,6 +878,7 @@ _DOUBLE_COLUMNS = {
     **{f"bronze_ingest_{t}": columns for t, columns in _MONEY.items() if t in _SOURCES and t not in ("orders", "lineitem")},
     "bronze_ingest_lineitem": "l_quantity l_extendedprice l_discount l_tax",
     "inject_bad_row": _MONEY["lineitem"],
+    "price_percentiles": "value",
     "profile_lines_per_order": "lines_median lines_mean",
     "profile_lines_per_order_dirty": "lines_median lines_mean",
 }

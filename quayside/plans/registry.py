@@ -9,20 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SOURCE_TABLES
-from ..contracts import FACTS, GOLD, SILVER, VALIDATE_RULES
+from ..contracts import FACTS, GOLD, SILVER, VALIDATE_RESULTS
 from ..functions.frames import union_all
 from ..operators import profiling, rules
-from ..operators.aggregates import AGGREGATE_BUILDERS, FACT_BUILDERS
+from ..operators.aggregates import AGGREGATE_BUILDERS, AGGREGATE_MEASURES, FACT_BUILDERS
 from ..operators.diff import bag_diff, layer_diff
 from ..operators.gate import audit_rows, for_run, gate_verdict, latest_results, run_ids
+from ..operators.histograms import histograms, merged
 from ..operators.layers import bronze, inject_receipt_before_ship, staged, staged_tables
 from ..operators.ledger import last_events, newest_run, run_states
+from ..operators.quantiles import exact_percentiles
 from ..operators.reports import bronze_report, enforced_violations, gold_report, silver_report, staging_report
 from ..sources.fixtures import raw, source_table, source_tables
 from .analysis import ANSWERS
 
 Query = Callable[[SparkSession, str], DataFrame]
 RUN_TS = datetime(2026, 10, 7, tzinfo=timezone.utc)
+PRICE_SHARES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
 LOADED_AT = "2026-10-07 16:43:01"
 
 
@@ -48,7 +51,7 @@ class Gold(dict):
         if name in FACT_BUILDERS:
             self[name] = FACT_BUILDERS[name](*self.silver)
         else:
-            self[name] = AGGREGATE_BUILDERS[name](*(self[f] for f in FACTS))
+            self[name] = AGGREGATE_BUILDERS[name](histograms(*(self[f] for f in FACTS), AGGREGATE_MEASURES[name]))
         return self[name]
 
 
@@ -103,18 +106,19 @@ class Inputs:
         """All rules, the row counts between source, Bronze and staging included."""
         staging = self.staging(dirty)
         lost = rules.count_rules(self.sources(dirty), self.bronze(dirty), staging)
-        return rules.dq_report(rules.staging_rules(staging), lost)
+        return rules.report_in_two_steps(rules.staging_rules(staging), lost)
 
     def audit(self, run: str) -> DataFrame:
         """Audit rows of the run ``clean``, which passed, or of ``dirty``, which failed."""
         return audit_rows(self.report(run == "dirty"), run, RUN_TS)
 
-    def count_audit(self) -> DataFrame:
-        """The results of one rule, the row counts between layers, of both runs; the dirty one came later."""
-        def counted(dirty: bool) -> DataFrame:
-            return rules.count_rules(self.sources(dirty), self.bronze(dirty), self.staging(dirty))
+    def both_audits(self) -> DataFrame:
+        """The complete audits of both runs; the dirty one came later. A run's audit is a handful of rows, noted as such."""
+        def noted(run: str, at: datetime) -> DataFrame:
+            report = self.report(run == "dirty")
+            return audit_rows(self.spark.createDataFrame(report.collect(), report.schema), run, at)
 
-        return audit_rows(counted(False), "clean", RUN_TS).unionByName(audit_rows(counted(True), "dirty", RUN_TS + timedelta(hours=1)))
+        return noted("clean", RUN_TS).unionByName(noted("dirty", RUN_TS + timedelta(hours=1)))
 
 
 def _relation(make: Callable[[Inputs], DataFrame]) -> Query:
@@ -197,18 +201,27 @@ def _validation() -> dict[str, Query]:
         "dq_samples_dirty": samples,
         "dq_report_dirty": lambda x: x.report(True),
         "dq_report_clean": lambda x: x.report(False),
-        "dq_gate": lambda x: gate_verdict(x.audit("dirty"), "dirty", VALIDATE_RULES),
-        "dq_gate_clean": lambda x: gate_verdict(x.audit("clean"), "clean", VALIDATE_RULES),
+        "dq_gate": lambda x: gate_verdict(x.audit("dirty"), "dirty", VALIDATE_RESULTS),
+        "dq_gate_clean": lambda x: gate_verdict(x.audit("clean"), "clean", VALIDATE_RESULTS),
         "audit_for_run": lambda x: for_run(x.audit("dirty"), "dirty", ("DQ-L2", "DQ-G1")).drop("run_ts"),
-        "audit_latest": lambda x: latest_results(x.count_audit()).drop("run_ts"),
-        "audit_run_ids": lambda x: run_ids(x.count_audit()),
+        "audit_latest": lambda x: latest_results(x.both_audits()).drop("run_ts"),
+        "audit_run_ids": lambda x: run_ids(x.both_audits()),
     }
     return {name: _relation(f) for name, f in made.items()}
 
 
 def _gold() -> dict[str, Query]:
+    def in_batches(gold: Gold) -> DataFrame:
+        """The histograms of two batches of orders, put together."""
+        facts = [gold[f] for f in FACTS]
+        return merged(*(histograms(*(f.where(F.pmod("order_key", F.lit(2)) == part) for f in facts)) for part in (0, 1)))
+
     made = {name: lambda x, name=name: x.gold()[name] for name in GOLD}
     made |= {f"{name}_dirty": lambda x, name=name: x.gold(True)[name] for name in GOLD}
+    for suffix, dirty in (("", False), ("_dirty", True)):
+        made[f"delivery_histograms{suffix}"] = lambda x, d=dirty: in_batches(x.gold(d))
+        made[f"price_percentiles{suffix}"] = lambda x, d=dirty: exact_percentiles(
+            x.source("lineitem", d), "l_extendedprice", PRICE_SHARES, "l_shipmode")
     made["gold_report"] = lambda x: gold_report(x.gold())
     return {name: _relation(f) for name, f in made.items()}
 

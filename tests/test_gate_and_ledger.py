@@ -3,8 +3,9 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 from quayside.config import Layout, new_run_id, require_run_id
-from quayside.contracts import DQ_RESULTS_SCHEMA, RUNS_SCHEMA
-from quayside.operators import gate, ledger
+from quayside.contracts import DQ_RESULTS_SCHEMA, RUNS_SCHEMA, VALIDATE_RESULTS
+from quayside.operators import gate, ledger, rules
+from quayside.plans.registry import Inputs
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -55,6 +56,26 @@ def test_gate(audit):
     assert {r.run_id for r in gate.run_ids(audit).collect()} == {"a", "b"}
 
 
+def test_gate_wants_every_table(spark):
+    def audit(*results):
+        return gate.audit_rows(gate.own_results(spark, [gate.OwnResult(r, "staging", t, n) for r, t, n in results]), "a", T0)
+
+    complete = [(rule, table, 0) for rule, table in VALIDATE_RESULTS]
+    assert len(complete) == len(set(complete)) == 41
+    gate.raise_if_failed(audit(*complete), "a", VALIDATE_RESULTS)
+    for lost in (("DQ-G2", "nation.nation_region_fk", 0), ("DQ-G1", "brand", 0), ("DQ-G3", "part", 0)):
+        assert lost in complete
+        with pytest.raises(gate.DataQualityError, match=f"{lost[0]} missing for {lost[1]}"):
+            gate.raise_if_failed(audit(*[r for r in complete if r != lost]), "a", VALIDATE_RESULTS)
+    verdicts = gate.gate_verdict(audit(*complete, ("DQ-G1", "elsewhere", 2)), "a", VALIDATE_RESULTS).collect()
+    assert len(verdicts) == 42 and [(r.table_name, r.violations) for r in verdicts if r.verdict == "failed"] == [("elsewhere", 2)]
+
+
+def test_expected_results_are_those_of_the_rules(spark, small):
+    report = rules.rule_counts(rules.staging_rules(Inputs(spark, small).staging())).select("rule_id", "table_name").collect()
+    assert {tuple(r) for r in report} == {e for e in VALIDATE_RESULTS if e[0] != "DQ-G3"}
+
+
 def test_run_ids():
     assert new_run_id() != new_run_id()
     for missing in (None, ""):

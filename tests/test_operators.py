@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.contracts import GOLD, SILVER
-from quayside.operators import aggregates, answers, diff, facts, layers, monitor, profiling, reports
+from quayside.operators import aggregates, answers, diff, facts, histograms, layers, monitor, profiling, reports
+from quayside.plans.registry import Inputs
 
 D = dt.date.fromisoformat
 LINES = "l_orderkey bigint, l_linenumber int, l_shipdate date, l_commitdate date, l_receiptdate date, l_shipmode string"
@@ -45,7 +46,8 @@ def test_facts(silver):
 
 def test_aggregates_leave_out_empty_orders_and_null_priorities(silver):
     line_fact, order_fact = facts.line_delivery(*silver), facts.order_fulfillment(*silver)
-    built = {name: f(line_fact, order_fact) for name, f in aggregates.AGGREGATE_BUILDERS.items()}
+    counted = histograms.histograms(line_fact, order_fact)
+    built = {name: f(counted) for name, f in aggregates.AGGREGATE_BUILDERS.items()}
     for name, df in built.items():
         assert tuple(df.columns) == GOLD[name]
     summary = built["agg_on_time_summary"].first()
@@ -57,10 +59,24 @@ def test_aggregates_leave_out_empty_orders_and_null_priorities(silver):
     }
 
 
+def test_histograms_of_batches_add_up(spark, small):
+    gold = Inputs(spark, small).gold(True)
+    line_fact, order_fact = gold["fct_lineitem_delivery"].cache(), gold["fct_order_fulfillment"].cache()
+    whole = histograms.histograms(line_fact, order_fact).cache()
+    halves = [histograms.histograms(*(f.where(f"order_key % 2 {sign} 0") for f in (line_fact, order_fact))) for sign in ("=", "<>")]
+    assert histograms.merged(*halves).exceptAll(whole).isEmpty() and whole.exceptAll(histograms.merged(*halves)).isEmpty()
+    assert {r.measure: r.n for r in whole.groupBy("measure").agg(F.sum("n").alias("n")).collect()} == {
+        m: (line_fact if m in histograms.LINE_MEASURES else order_fact.where("line_count >= 1")).count() for m in histograms.MEASURES}
+    for name, build in aggregates.AGGREGATE_BUILDERS.items():  # measures wanted alone are those of the grouping sets
+        assert diff.bag_diff(build(whole), gold[name]).first().unchanged, name
+    for df in (line_fact, order_fact, whole):
+        df.unpersist()
+
+
 def test_ship_mode_statistics_equal_row_level_ones(spark):
     days = [1, 1, 2, 5, 9, 30, 30, 31, 40, None]
     fact = spark.createDataFrame([("AIR", d, (d or 0) > 20) for d in days], "ship_mode string, transit_days int, is_late boolean")
-    row = aggregates.ship_mode_performance(fact).first()
+    row = aggregates.ship_mode_performance(histograms.line_histograms(fact, ["ship_transit"])).first()
     known = [d for d in days if d is not None]
     direct = fact.agg(F.percentile("transit_days", [0.5, 0.9]).alias("p")).first().p
     assert row.line_count == 10 and row.late_line_count == 4
@@ -72,7 +88,7 @@ def test_ship_mode_statistics_equal_row_level_ones(spark):
 def test_deviation_keeps_precision_far_from_zero(spark):
     base = 1_000_000
     fact = spark.createDataFrame([("AIR", base + d, False) for d in (0, 1, 2, 3)], "ship_mode string, transit_days int, is_late boolean")
-    assert aggregates.ship_mode_performance(fact).first().transit_stddev_days == pytest.approx(statistics.pstdev([0, 1, 2, 3]))
+    assert aggregates.ship_mode_performance(histograms.line_histograms(fact, ["ship_transit"])).first().transit_stddev_days == pytest.approx(statistics.pstdev([0, 1, 2, 3]))
 
 
 def test_answers_keep_ties_and_break_them_by_rule(spark):
@@ -90,7 +106,7 @@ def test_answers_keep_ties_and_break_them_by_rule(spark):
 
 
 def test_verdict_with_a_missing_side(spark, silver):
-    urgency = aggregates.urgency_fulfillment(facts.order_fulfillment(*silver), facts.line_delivery(*silver))
+    urgency = aggregates.urgency_fulfillment(histograms.histograms(facts.line_delivery(*silver), facts.order_fulfillment(*silver)))
     both = answers.q4_verdict(urgency).first()
     assert both.verdict == "faster" and both.urgent_order_count == 1
     alone = answers.q4_verdict(urgency.where("is_urgent")).first()
