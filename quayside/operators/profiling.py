@@ -13,6 +13,7 @@ from ..config import SOURCE_TABLES
 from ..functions.frames import union_all
 from ..functions.measures import percentiles, weighted_mean
 from ..functions.predicates import any_null
+from .keysets import is_integral, is_missing, words_of
 
 # Columns tested as keys besides the primary keys, and dependencies worth a test.
 ALTERNATIVE_KEYS = {
@@ -82,12 +83,17 @@ def lines_per_order(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 
 def key_check(table: str, df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
-    """Do the columns identify a row? Distinct keys leave out those with a NULL part."""
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    missing = any_null(columns)
+    """Do the columns identify a row? Distinct keys leave out those with a NULL part.
+
+    Keys whose last column is a whole number are counted as bits of words, others one by one.
+    """
+    if is_integral(df, columns[-1:]):
+        groups, missing, keys = words_of(df, columns), is_missing(columns), F.bit_count("bits").cast("long")
+    else:
+        groups, missing, keys = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")), any_null(columns), F.lit(1)
     totals = groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
-        F.count_if(~missing).alias("distinct_keys"),
+        F.coalesce(F.sum(F.when(~missing, keys)), F.lit(0)).cast("long").alias("distinct_keys"),
         F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("rows_with_null_key"),
     )
     return totals.select(

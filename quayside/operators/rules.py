@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import LINE_STATUSES, RETURN_FLAGS, SHIP_MODES, SOURCE_TABLES
-from ..contracts import FOREIGN_KEYS, SILVER
+from ..contracts import FOREIGN_KEYS, SILVER, ForeignKey
 from ..functions.frames import fold, row_counts, union_all
 from ..functions.predicates import any_null, outside_allowed
+from .keysets import MOST_WORDS, is_integral, rows_of_words, suspect_words
 
 MAX_SAMPLE_KEYS = 10
 CHECKED_LAYERS = ("source", "bronze", "staging", "gold")
@@ -95,7 +96,45 @@ def status_rules(ship_date_status: DataFrame) -> RuleFrame:
     return RuleFrame(ship_date_status, (Rule("DQ-L7", "ship_date_status", allowed, ("l_shipdate",)),))
 
 
-def key_rules(table: str, tables: Mapping[str, DataFrame]) -> RuleFrame:
+def _references(table: str, tables: Mapping[str, DataFrame]) -> list[ForeignKey]:
+    return [fk for fk in FOREIGN_KEYS if fk.parent == table and fk.child in tables]
+
+
+def _named_by_lines(fk: ForeignKey) -> bool:
+    return (fk.child, fk.parent) == ("lineitem", "orders")
+
+
+def _stacked_keys(table: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The primary key's columns of a table and of all rows that refer to it; one more column each says whose row it is."""
+    keys = SILVER[table].primary_key
+    parts = [tables[table].select(*keys, F.lit(1).alias("owned"))]
+    parts += [
+        tables[fk.child].select(*[F.col(c).alias(k) for c, k in zip(fk.child_columns, keys)], F.lit(1).alias(fk.name))
+        for fk in _references(table, tables)
+    ]
+    return union_all(parts, fill=True)
+
+
+def suspect_keys(tables: Mapping[str, DataFrame]) -> dict[str, list[list[int | None]] | None]:
+    """For every table with a key of whole numbers the words of keys that a rule may count, None for very many.
+
+    Runs at once, in one job: words of 64 keys are all that is shuffled.
+    """
+    found: dict[str, list[list[int | None]] | None] = {}
+    parts = []
+    for table in SILVER:
+        keys, stacked = SILVER[table].primary_key, _stacked_keys(table, tables)
+        if is_integral(stacked, keys):
+            found[table] = []
+            references = _references(table, tables)
+            words = suspect_words(stacked, keys, "owned", [fk.name for fk in references], [fk.name for fk in references if _named_by_lines(fk)])
+            parts.append(words.limit(MOST_WORDS + 1).select(F.lit(table).alias("table_name"), "words"))
+    for row in union_all(parts).collect() if parts else ():
+        found[row["table_name"]].append(row["words"])
+    return {table: words if len(words) <= MOST_WORDS else None for table, words in found.items()}
+
+
+def key_rules(table: str, tables: Mapping[str, DataFrame], suspects: Mapping[str, list[list[int | None]] | None] | None = None) -> RuleFrame:
     """Everything asked of one primary key: DQ-G1, each DQ-G2 reference to it, and DQ-L9 on orders.
 
     DQ-G1: a NULL key counts per row, a repeated key (NULL ones too) counts once more per value.
@@ -104,17 +143,14 @@ def key_rules(table: str, tables: Mapping[str, DataFrame]) -> RuleFrame:
 
     Parent keys and the children's references are stacked and counted per value. That is one hash
     aggregation that sums up in the tasks first: each table's key goes through one shuffle for all
-    these rules, nothing is sorted or joined, and a hot value arrives as one row per task.
+    these rules, nothing is sorted or joined, and a hot value arrives as one row per task. With
+    ``suspects`` (from ``suspect_keys``) only the keys in suspect words are counted so.
     """
     keys = SILVER[table].primary_key
-    references = [fk for fk in FOREIGN_KEYS if fk.parent == table and fk.child in tables]
-    parts = [tables[table].select(*keys, F.lit(1).alias("owned"))]
-    parts += [
-        tables[fk.child].select(*[F.col(c).alias(k) for c, k in zip(fk.child_columns, keys)], F.lit(1).alias(fk.name))
-        for fk in references
-    ]
+    references = _references(table, tables)
     origins = ["owned", *[fk.name for fk in references]]
-    values = union_all(parts, fill=True).groupBy(*keys).agg(*[F.count(o).alias(o) for o in origins])
+    rows = rows_of_words(_stacked_keys(table, tables), keys, (suspects or {}).get(table))
+    values = rows.groupBy(*keys).agg(*[F.count(o).alias(o) for o in origins])
 
     missing, owned = any_null(keys), F.col("owned")
     repeated = owned > 1
@@ -124,19 +160,20 @@ def key_rules(table: str, tables: Mapping[str, DataFrame]) -> RuleFrame:
         used = F.col(fk.name)
         orphan = (used > 0) & (missing | (owned == 0))
         found.append(Rule("DQ-G2", f"{fk.child}.{fk.name}", orphan, keys, used))
-        if (fk.child, table) == ("lineitem", "orders"):
+        if _named_by_lines(fk):
             found.append(Rule("DQ-L9", "orders", (owned > 0) & (missing | (used == 0)), keys, owned))
     return RuleFrame(values, tuple(found))
 
 
 def staging_rules(tables: Mapping[str, DataFrame]) -> list[RuleFrame]:
-    """DQ-L1 to L9, G1 for every table and G2 for every foreign key."""
+    """DQ-L1 to L9, G1 for every table and G2 for every foreign key; looks for suspect keys at once."""
+    suspects = suspect_keys(tables)
     return [
         line_rules(tables["lineitem"]),
         line_order_rules(tables["lineitem"], tables["orders"]),
         order_rules(tables["orders"]),
         status_rules(tables["ship_date_status"]),
-        *[key_rules(name, tables) for name in SILVER],
+        *[key_rules(name, tables, suspects) for name in SILVER],
     ]
 
 

@@ -160,7 +160,8 @@ def _validation() -> dict[str, Query]:
 
     def keys(x, rule_id):
         tables = x.staging(True)
-        found = [rules.only(rules.key_rules(t, tables), rule_id) for t in SILVER]
+        suspects = rules.suspect_keys(tables)
+        found = [rules.only(rules.key_rules(t, tables, suspects), rule_id) for t in SILVER]
         return union_all(rules.record(f) for f in found if f.rules)
 
     def l4(x):
