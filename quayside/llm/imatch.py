@@ -1,12 +1,13 @@
 """I-Match document fingerprints from randomised lexicons.
 
 The lexicon holds the terms (words in lower case, as hashes) that are not in too large a share of all documents,
-however rare they are. A text with fewer than ``LEAST`` such terms is described by all its distinct terms. Random
-subsets of the terms, in eight lanes of nested subsets from all of them down to one term in 2**24, each give one
-token: the hash of the document's distinct terms in the subset. A token counts if one to four terms are in it;
-an edit leaves such a token alone with a fair chance. As the subsets go on to one term in 16 million and each
-holds half of the one before, texts of up to some 60 million distinct terms have subsets of one to four.
-The likeness of two fingerprints is the share of equal tokens.
+however rare they are. Random subsets of a document's terms give its tokens: in a lane, a term is in the subset of
+scale s if its hash for the lane begins with s zeros, so subsets are nested, each half of the one before, from all
+terms down to one in 2**24. A token is the hash of the document's distinct terms in the subset and counts if
+these are one to four; an edit leaves such a token alone with a fair chance. Texts of up to some 60 million
+distinct terms have subsets of one to four. Four lanes take the terms of the lexicon; six take all terms, so
+that texts of few or no rare words are described too, by the same rule as all others. The likeness of two
+fingerprints is the share of equal tokens.
 
 Only the terms that are too common are listed. Their number has a bound that does not grow with the corpus: such
 a term is in more than ``high`` of all documents, so there are at most (mean distinct terms per document) / ``high``.
@@ -21,11 +22,11 @@ from quayside.llm.common import written
 from quayside.llm.decontaminate import words
 
 _NO_ID = -(2**63)  # stands for a null doc_id: before all others
-#: Lanes of nested subsets; in each, a subset of scale s holds one term in 2**s. All terms are one subset.
-LANES, SCALES = 8, tuple(range(1, 25))
+#: Lanes of the lexicon's terms and lanes of all terms; the scales of a lane's subsets.
+RARE_LANES, ALL_LANES, SCALES = 4, 6, 24
+LANES = RARE_LANES + ALL_LANES
 _FEW = 4
-#: A text with fewer terms of the lexicon is described by all its terms.
-LEAST = 8
+_LEAST_LONG = -(2**63)
 
 
 def _terms(text: Column) -> Column:
@@ -40,44 +41,52 @@ def common_terms(docs: DataFrame, high: float) -> DataFrame:
     return listed.agg(F.collect_list("term").alias("common"))
 
 
-def _describing(text: Column, common: Column) -> Column:
-    """The terms that describe a text: those of the lexicon, or all if there are few."""
-    return F.transform(
-        F.array(_terms(text)),
-        lambda every: F.transform(F.array(F.array_except(every, common)), lambda rare: F.when(F.size(rare) >= LEAST, rare).otherwise(every))[0])[0]
+def _lowest(terms: Column, lane: int) -> Column:
+    """The ``_FEW + 1`` lowest hashes of ``terms`` for a lane, ascending.
 
+    Hashes under a bound that some 32 terms pass are enough, but for the rare text that has too few of them; so
+    mostly a handful of hashes is sorted and not all.
+    """
+    hashes = F.transform(terms, lambda t: F.xxhash64(t, F.lit(lane)))
+    width = F.lit(2.0**63) / F.greatest(F.size(terms) / 64, F.lit(1.0))  # half the range of hashes for each 64 terms
+    bound = F.when(F.size(terms) <= 64, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + width).cast("long"))
 
-def _fingerprint(terms: Column) -> Column:
-    """Tokens of distinct ``terms``.
+    def enough(every: Column) -> Column:
+        under = F.filter(every, lambda h: h <= bound)
+        return F.when(F.size(under) > _FEW, under).otherwise(every)
+
+    return F.slice(F.sort_array(F.transform(F.array(hashes), enough)[0]), 1, _FEW + 1)
 
-    A term is in the subset of scale s of a lane if its hash for the lane ends in s zeros. Of each lane only the
-    terms with the most zeros are kept, one more than a token may have.
-    """
-    def top(lane: int) -> Column:
-        def with_zeros(t: Column) -> Column:
-            h = F.xxhash64(t, F.lit(lane)).bitwiseOR(F.lit(1 << 40))
-            return F.struct(h.bitwiseAND(-h).alias("last"), t.alias("term"))
 
-        return F.slice(F.sort_array(F.transform(terms, with_zeros), asc=False), 1, _FEW + 1)
+def _hex(hashed: Column) -> Column:
+    return F.lower(F.lpad(F.hex(hashed), 16, "0"))
 
-    def token(kept: Column) -> Column:
-        hashed = F.lower(F.lpad(F.hex(F.xxhash64(F.array_sort(F.transform(kept, lambda x: x["term"])))), 16, "0"))
-        return F.when((F.size(kept) > 0) & (F.size(kept) <= _FEW), hashed).otherwise(F.lit("-"))
 
-    def of_lane(kept: Column) -> Column:
-        scales = F.array(*(F.lit(1 << s).cast("long") for s in SCALES))
-        subsets = F.transform(scales, lambda least: F.filter(kept, lambda x: x["last"] >= least))
-        return F.array_join(F.transform(subsets, token), ".")
+def _lane(kept: Column) -> Column:
+    """The tokens of a lane's subsets, one for each scale and a dot after each, from the lowest hashes.
+
+    The subset of scale s holds the hashes that begin with s zeros. So the token of the first k hashes stands
+    at the scales that the k-th reaches and the next one does not.
+    """
+    zeros = []  # leading zeros of each of the lowest hashes, SCALES at most
+    for i in range(_FEW + 1):
+        top = F.shiftrightunsigned(F.get(kept, F.lit(i)).bitwiseXOR(F.lit(_LEAST_LONG)), 63 - SCALES)
+        bits = F.when(top > 0, F.floor(F.log2(top) + 1e-9) + 1).otherwise(0)
+        zeros.append(F.when(top.isNull(), 0).otherwise(F.least(F.lit(SCALES), SCALES + 1 - bits)).cast("int"))
+    parts = [F.repeat(F.lit("-."), zeros[_FEW])]
+    for k in range(_FEW, 0, -1):
+        parts.append(F.repeat(F.concat(_hex(F.xxhash64(F.slice(kept, 1, k))), F.lit(".")), zeros[k - 1] - zeros[k]))
+    return F.concat(*parts, F.repeat(F.lit("-."), F.lit(SCALES) - zeros[0]))
+
 
-    lanes = F.transform(F.array(*map(top, range(LANES))), of_lane)
-    every = F.when((F.size(terms) > 0) & (F.size(terms) <= _FEW), F.lower(F.lpad(F.hex(F.xxhash64(F.array_sort(terms))), 16, "0"))).otherwise(F.lit("-"))
-    return F.concat_ws(".", every, F.array_join(lanes, "."))
+def _whole_set(terms: Column) -> Column:
+    return F.when((F.size(terms) > 0) & (F.size(terms) <= _FEW), _hex(F.xxhash64(F.array_sort(terms)))).otherwise(F.lit("-"))
 
 
 def _or_text(tokens: Column, whole: Column) -> Column:
     """A text without any token is known by its own hash."""
-    none = ".".join("-" * (1 + LANES * len(SCALES)))
-    return F.when(tokens == none, F.concat(F.lit("text:"), F.lower(F.lpad(F.hex(whole), 16, "0")))).otherwise(tokens)
+    none = "-" + ".-" * (LANES * SCALES)
+    return F.when(tokens == none, F.concat(F.lit("text:"), _hex(whole))).otherwise(tokens)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -133,9 +142,13 @@ def imatch(docs: DataFrame, high: float = 0.1) -> DataFrame:
         F.struct(F.lit(0).alias("side"), "text", F.lit("").alias("sha")),
         F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha")),
     )).alias("e")).select("sid", "version", "n", "e.side", "e.text", "e.sha")
-    described = either.crossJoin(common).select(
-        "sid", "version", "n", "side", "sha", F.xxhash64("text").alias("whole"), _describing(F.col("text"), F.col("common")).alias("terms"))
-    made = described.select("sid", "version", "n", "side", "sha", "whole", _fingerprint(F.col("terms")).alias("tokens"))
+    keys = ("sid", "version", "n", "side", "sha")
+    described = either.crossJoin(common).select(*keys, F.xxhash64("text").alias("whole"), "common", _terms(F.col("text")).alias("terms"))
+    described = described.select(*keys, "whole", "terms", F.array_except("terms", "common").alias("rare"))
+    lowest = [_lowest(F.col("rare" if i < RARE_LANES else "terms"), i).alias(f"lane{i}") for i in range(LANES)]
+    described = described.select(*keys, "whole", _whole_set(F.col("rare")).alias("every"), *lowest)
+    tokens = F.concat("every", F.lit("."), *[_lane(F.col(f"lane{i}")) for i in range(LANES)])
+    made = described.select(*keys, "whole", F.rtrim(tokens, F.lit(".")).alias("tokens"))
     made = made.select("sid", "version", "n", "side", "sha", _or_text(F.col("tokens"), F.col("whole")).alias("print"))
     sides = made.groupBy("sid", "version").agg(
         F.max(F.when(F.col("side") == 0, F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("print"))).alias("edited_fingerprint"),
