@@ -57,8 +57,9 @@ def first_of_month(date: Column) -> Column:
 
 
 def percent_text(value: Column) -> Column:
-    return F.format_string("%.2f%%", 100 * value.cast("double"))
+    """NULL for a NULL value, which ``format_string`` would print."""
+    return F.when(value.isNotNull(), F.format_string("%.2f%%", 100 * value.cast("double")))
 
 
 def days_text(value: Column) -> Column:
-    return F.format_string("%.2f days", value.cast("double"))
+    return F.when(value.isNotNull(), F.format_string("%.2f days", value.cast("double")))

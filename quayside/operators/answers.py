@@ -6,7 +6,7 @@ unpartitioned windows and the sorts see a handful of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import fold, union_all
@@ -80,10 +80,17 @@ def q4_verdict(urgency: DataFrame) -> DataFrame:
     return sides.withColumn("verdict", verdict)
 
 
+def _month(name: str) -> Column:
+    return F.coalesce(F.date_format(name, "yyyy-MM"), F.lit("no month"))
+
+
 def answers_text(
     modes: DataFrame, summary: DataFrame, urgency: DataFrame, months: DataFrame, monitoring: DataFrame
 ) -> DataFrame:
-    """One readable sentence per question; ``months`` are the marked months, ``monitoring`` their summary."""
+    """Readable sentences per question; ``months`` are the marked months, ``monitoring`` their summary.
+
+    A figure that does not exist (of a side without orders, of a series without a stable month) is called "none".
+    """
     fastest = q1_fastest(modes).agg(
         F.array_join(F.array_sort(F.collect_list("ship_mode")), ", ").alias("names"),
         F.max("transit_p50_days").alias("p50"),
@@ -92,7 +99,7 @@ def answers_text(
         F.min("transit_mean_days").alias("lowest_mean"),
     )
     told = F.concat(
-        F.coalesce(F.col("commit_month").cast("string"), F.lit("no month")), F.lit(" ("), F.col("incomplete_reason"), F.lit(", "),
+        _month("commit_month"), F.lit(" ("), F.col("incomplete_reason"), F.lit(", "),
         F.col("line_count").cast("string"), F.lit(" lines, "), percent_text(F.col("delay_rate")), F.lit(")"),
     )
     listed = months.where("is_incomplete").agg(F.array_sort(F.collect_list(F.struct("commit_month", told.alias("told")))).alias("m"))
@@ -103,7 +110,7 @@ def answers_text(
     verdict = q4_verdict(urgency)
 
     def said(topic: str, frame: DataFrame, *parts) -> DataFrame:
-        texts = [p if not isinstance(p, str) else F.lit(p) for p in parts]
+        texts = [F.coalesce(p, F.lit("none")) if not isinstance(p, str) else F.lit(p) for p in parts]
         return frame.select(F.lit(topic).alias("topic"), F.concat(*texts).alias("answer"))
 
     def whole(name: str):
@@ -111,7 +118,7 @@ def answers_text(
 
     def figures(side: str):
         return [F.lit(f"{side} n="), whole(f"{side}_order_count")] + [
-            x for c in _MEASURES for x in (F.lit(f", {c[:-5]}="), days_text(F.col(f"{side}_{c}")))
+            x for c in _MEASURES for x in (F.lit(f", {c.removesuffix('_days')}="), days_text(F.col(f"{side}_{c}")))
         ]
 
     return union_all([
@@ -135,12 +142,13 @@ def answers_text(
         ),
         said("q4", verdict, "urgent orders: ", F.col("verdict"), "; ", *figures("urgent"), "; ", *figures("other")),
         said(
-            "monitoring", monitoring, whole("month_count"), " commit months, overall delay rate ",
-            percent_text(F.col("overall_delay_rate")), "; stable from ", whole("stable_first_month"), " to ",
-            whole("stable_last_month"), " between ", percent_text(F.col("lowest_rate")), " (",
-            whole("lowest_rate_month"), ") and ", percent_text(F.col("highest_rate")), " (",
-            whole("highest_rate_month"), "), ", whole("stable_months"), " months with a mean rate of ",
+            "monitoring", monitoring, whole("month_count"), " commit months from ", _month("first_month"), " to ", _month("last_month"),
+            ", overall delay rate ", percent_text(F.col("overall_delay_rate")), "; stable from ", _month("stable_first_month"), " to ",
+            _month("stable_last_month"), " between ", percent_text(F.col("lowest_rate")), " (",
+            _month("lowest_rate_month"), ") and ", percent_text(F.col("highest_rate")), " (",
+            _month("highest_rate_month"), "), ", whole("stable_months"), " months with a mean rate of ",
             percent_text(F.col("mean_monthly_rate")), " and ", whole("min_lines"), " to ", whole("max_lines"), " lines each; median of all months: ",
             F.format_string("%.2f", "median_line_count"), " lines; incomplete: ", F.col("incomplete"),
+            ". The rates of incomplete months cover a part of their lines and are no change of performance.",
         ),
     ])

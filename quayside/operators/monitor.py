@@ -15,12 +15,12 @@ def edge_months(monthly: DataFrame, edge_share: float = EDGE_LINE_SHARE) -> Data
 
     From either end inward, months below ``edge_share`` of the median month are edge months until
     one reaches it, i.e. those before the first or after the last month that does; without any such
-    month all are. Lines without a commit month stand before all months and are never a full month.
+    month all are. Lines without a commit month stand before all months and are a month like any other.
     The windows run over one row per calendar month.
     """
     series = Window.partitionBy()
     lines, at = F.col("line_count"), F.col("place")
-    full = F.when(F.col("commit_month").isNotNull() & (lines >= edge_share * F.col("median_line_count")), at)
+    full = F.when(lines >= edge_share * F.col("median_line_count"), at)
     marked = (
         monthly.withColumn("median_line_count", F.percentile("line_count", 0.5).over(series))
         .withColumn("place", F.row_number().over(Window.orderBy(F.col("commit_month").asc_nulls_first())))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT_PREFIX, SOURCE_TABLES, new_run_id
 from ..contracts import DQ_RESULTS_SCHEMA, FACTS, GOLD, GOLD_RESULTS, RUNS_SCHEMA, SILVER, VALIDATE_RESULTS
@@ -14,7 +15,7 @@ from ..operators.aggregates import AGGREGATE_BUILDERS, FACT_BUILDERS
 from ..operators.gate import audit_rows, for_run, raise_if_failed
 from ..operators.histograms import histograms
 from ..operators.layers import bronze, staged_tables
-from ..operators.ledger import ledger_event
+from ..operators.ledger import STEPS, ResumeError, ledger_event, steps_to_do
 from ..operators.reports import (
     bronze_report,
     constraint_properties,
@@ -37,6 +38,7 @@ from ..sources.readers import read_source
 from ..sources.store import Store
 
 CHECKS, RUNS = "dq_check_results", "pipeline_runs"
+RESULT_KEYS, EVENT_KEYS = ("run_id", "rule_id", "layer", "table_name"), ("run_id", "event")
 HISTOGRAMS = "delivery_histograms"
 
 
@@ -57,8 +59,8 @@ class Execution:
         return self.store.read("audit", CHECKS)
 
     def append_results(self, report: DataFrame) -> None:
-        # a report has one row per rule and table: one file per append is right
-        self.store.append(audit_rows(report, self.run_id).coalesce(1), "audit", CHECKS)
+        """One row per rule and table; results of this run that are there already stay as they are."""
+        self.store.append(audit_rows(report, self.run_id), "audit", CHECKS, RESULT_KEYS)
 
 
 def start(spark: SparkSession, store: Store, source, run_id: str | None = None) -> Execution:
@@ -75,7 +77,7 @@ def start(spark: SparkSession, store: Store, source, run_id: str | None = None)
 
 def record_event(run: Execution, event: str) -> None:
     row = ledger_event(run.spark, run.run_id, event, run.store.layout, run.source.label)
-    run.store.append(row.coalesce(1), "audit", RUNS)
+    run.store.append(row, "audit", RUNS, EVENT_KEYS)
 
 
 def ingest(run: Execution) -> None:
@@ -164,22 +166,49 @@ def build_gold(run: Execution) -> None:
     store.swap("gold", written)
 
 
+def _go_on(run: Execution, steps: Sequence[str], amend: Mapping[str, Callable[[DataFrame], DataFrame]] | None) -> Execution:
+    """The steps in order, each recorded when it is finished. The first exception ends the run."""
+    actions = {"ingested": ingest, "staged": lambda r: stage(r, amend), "validated": validate, "published": publish, "built": build_gold}
+    for step in steps:
+        actions[step](run)
+        record_event(run, step)
+    record_event(run, "succeeded")
+    return run
+
+
 def run_all(
     spark: SparkSession,
     store: Store,
     source,
     amend: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> Execution:
-    """The whole run in order. The first exception ends it, leaving ``started`` without ``succeeded``."""
+    """The whole run in order. An exception leaves ``started`` and the finished steps without ``succeeded``."""
     run = start(spark, store, source)
     record_event(run, "started")
-    ingest(run)
-    stage(run, amend)
-    validate(run)
-    publish(run)
-    build_gold(run)
-    record_event(run, "succeeded")
-    return run
+    return _go_on(run, STEPS, amend)
+
+
+def resume(
+    spark: SparkSession,
+    store: Store,
+    source,
+    run_id: str,
+    amend: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
+) -> Execution:
+    """Go on with a run that was lost, after its last finished step: finished layers are neither read from the source nor written again.
+
+    A rule that failed is recorded; the same data would fail again, so such a run is begun anew instead.
+    """
+    if not store.exists("audit", RUNS):
+        raise ResumeError(f"run {run_id} cannot go on: the run ledger does not exist")
+    steps = steps_to_do(store.read("audit", RUNS), run_id)
+    return _go_on(start(spark, store, source, run_id), steps, amend)
+
+
+def compact_audit(store: Store) -> None:
+    """One file per month for results and events."""
+    store.compact("audit", CHECKS, F.trunc("run_ts", "month"))
+    store.compact("audit", RUNS, F.trunc("event_ts", "month"))
 
 
 def run_silver(

@@ -243,15 +243,16 @@ RELATIONS |= {
     ),
     # a month is an edge month when no month on its outer side, itself included, is full
     "marked": (
-        "WITH t AS (SELECT quantile_cont(CAST(line_count AS DOUBLE), 0.5) AS med FROM monthly) "
-        "SELECT m.*, med AS median_line_count, "
-        "NOT EXISTS (SELECT 1 FROM monthly x WHERE x.commit_month <= m.commit_month AND x.line_count >= 0.9 * med) OR "
-        "NOT EXISTS (SELECT 1 FROM monthly x WHERE x.commit_month >= m.commit_month AND x.line_count >= 0.9 * med) "
-        "AS is_edge_month FROM agg_delay_rate_monthly m, t"
+        "WITH t AS (SELECT quantile_cont(CAST(line_count AS DOUBLE), 0.5) AS med FROM monthly), "
+        "n AS (SELECT *, row_number() OVER (ORDER BY commit_month NULLS FIRST) AS place FROM agg_delay_rate_monthly) "
+        "SELECT m.* EXCLUDE (place), med AS median_line_count, "
+        "NOT EXISTS (SELECT 1 FROM n x WHERE x.place <= m.place AND x.line_count >= 0.9 * med) OR "
+        "NOT EXISTS (SELECT 1 FROM n x WHERE x.place >= m.place AND x.line_count >= 0.9 * med) "
+        "AS is_edge_month FROM n m, t"
     ),
     "monitor_months": (
         "SELECT commit_month, line_count, late_line_count, delay_rate, is_boundary_month, median_line_count, "
-        "is_edge_month, is_boundary_month OR is_edge_month AS is_incomplete, CASE WHEN is_boundary_month THEN 'boundary' "
+        "is_edge_month, coalesce(is_boundary_month, false) OR is_edge_month AS is_incomplete, CASE WHEN is_boundary_month THEN 'boundary' "
         "WHEN is_edge_month THEN 'low count' END AS incomplete_reason FROM marked"
     ),
     "monitor_summary": (
@@ -263,8 +264,8 @@ RELATIONS |= {
         f"(SELECT {_COUNT} AS stable_months, min(commit_month) AS stable_first_month, max(commit_month) AS "
         "stable_last_month, avg(delay_rate) AS mean_monthly_rate, min(line_count) AS min_lines, max(line_count) AS "
         "max_lines FROM monitor_months WHERE NOT is_incomplete) s, "
-        "(SELECT * FROM monitor_months WHERE NOT is_incomplete ORDER BY delay_rate, commit_month LIMIT 1) lo, "
-        "(SELECT * FROM monitor_months WHERE NOT is_incomplete ORDER BY delay_rate DESC, commit_month LIMIT 1) hi"
+        "(SELECT * FROM monitor_months WHERE NOT is_incomplete ORDER BY delay_rate, commit_month NULLS FIRST LIMIT 1) lo, "
+        "(SELECT * FROM monitor_months WHERE NOT is_incomplete ORDER BY delay_rate DESC, commit_month NULLS FIRST LIMIT 1) hi"
     ),
     "fastest": (
         "SELECT ship_mode, transit_p50_days, transit_mean_days, count(*) OVER () > 1 AS is_tied, "
@@ -297,6 +298,10 @@ def _pc(x: str) -> str:
     return f"printf('%.2f%%', 100 * {x})"
 
 
+def _mo(x: str) -> str:
+    return f"coalesce(strftime({x}, '%Y-%m'), 'no month')"
+
+
 def _dy(x: str) -> str:
     return f"printf('%.2f days', {x})"
 
@@ -319,13 +324,14 @@ RELATIONS["said"] = " UNION ALL ".join([
     f"SELECT 'q3', ship_mode || ' is late most often: ' || {_pc('delay_rate')} || ', ' || late_line_count || ' of ' || "
     "line_count || ' lines' FROM worst",
     f"SELECT 'q4', 'urgent orders: ' || verdict || '; ' || {_figures('urgent')} || '; ' || {_figures('other')} FROM verdict",
-    f"SELECT 'monitoring', month_count || ' commit months, overall delay rate ' || {_pc('overall_delay_rate')} || "
-    "'; stable from ' || stable_first_month || ' to ' || stable_last_month || ' between ' || "
-    f"{_pc('lowest_rate')} || ' (' || lowest_rate_month || ') and ' || {_pc('highest_rate')} || ' (' || "
-    f"highest_rate_month || '), ' || stable_months || ' months with a mean rate of ' || {_pc('mean_monthly_rate')} || ' and ' || "
-    "min_lines || ' to ' || max_lines || ' lines each; median of all months: ' || printf('%.2f', median_line_count) || "
-    "' lines; incomplete: ' || incomplete FROM monitor_summary, "
-    "(SELECT coalesce(string_agg(coalesce(CAST(commit_month AS VARCHAR), 'no month') || ' (' || incomplete_reason || ', ' || line_count || ' lines, ' || "
+    f"SELECT 'monitoring', month_count || ' commit months from ' || {_mo('first_month')} || ' to ' || {_mo('last_month')} || "
+    f"', overall delay rate ' || {_pc('overall_delay_rate')} || '; stable from ' || {_mo('stable_first_month')} || ' to ' || "
+    f"{_mo('stable_last_month')} || ' between ' || {_pc('lowest_rate')} || ' (' || {_mo('lowest_rate_month')} || ') and ' || "
+    f"{_pc('highest_rate')} || ' (' || {_mo('highest_rate_month')} || '), ' || stable_months || ' months with a mean rate of ' || "
+    f"{_pc('mean_monthly_rate')} || ' and ' || min_lines || ' to ' || max_lines || ' lines each; median of all months: ' || "
+    "printf('%.2f', median_line_count) || ' lines; incomplete: ' || incomplete || "
+    "'. The rates of incomplete months cover a part of their lines and are no change of performance.' FROM monitor_summary, "
+    f"(SELECT coalesce(string_agg({_mo('commit_month')} || ' (' || incomplete_reason || ', ' || line_count || ' lines, ' || "
     f"{_pc('delay_rate')} || ')', ', ' ORDER BY commit_month NULLS FIRST), '') AS incomplete FROM monitor_months WHERE is_incomplete) AS i",
 ])
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -169,9 +170,20 @@ class Store:
         """Full refresh of one table; the source may be the table itself."""
         self.swap(layer, {table: self.write_new(df, layer, table)})
 
-    def append(self, df: DataFrame, layer: str, table: str) -> None:
+    def append(self, df: DataFrame, layer: str, table: str, keys: Sequence[str] = ()) -> None:
+        """Add rows. With ``keys``, rows whose keys are there already are left out, so a repeated append adds nothing."""
+        if keys:
+            there = self.read(layer, table).select(*[F.col(k).alias(f"__{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+            df = df.dropDuplicates(list(keys)).join(there, reduce(lambda a, b: a & b, same), "left_anti").coalesce(1)
         df.write.format("parquet").mode("append").saveAsTable(self.name(layer, table))
 
+    def compact(self, layer: str, table: str, period: Column) -> None:
+        """Rewrite a table of many small files so that the rows of a period are in one file; only while no run appends."""
+        rows = self.read(layer, table)
+        periods = rows.agg(F.count_distinct(F.coalesce(period.cast("string"), F.lit("")))).first()[0]
+        self.replace(rows.repartition(max(1, periods), period).sortWithinPartitions(period), layer, table)
+
     def snapshot(self, layer: str, tables: Iterable[str]) -> None:
         """Copy a whole layer into the snapshot layer."""
         self._scratch_only("snapshots are taken")

@@ -11,7 +11,7 @@ from quayside.operators.diff import layer_diff
 from quayside.operators.facts import order_fulfillment
 from quayside.operators.gate import DataQualityError, for_run
 from quayside.operators.layers import inject_receipt_before_ship
-from quayside.operators.ledger import StaleResultsError
+from quayside.operators.ledger import STEPS, ResumeError, StaleResultsError
 from quayside.operators.reports import ContractError
 from quayside.plans import full_run
 from quayside.plans.analysis import analyse
@@ -42,7 +42,8 @@ def test_success(done):
     results = results_of(run).collect()
     assert len(results) == 43 and all(r.passed for r in results)
     assert {r.rule_id for r in results} >= set(VALIDATE_RULES)
-    assert sorted(r.event for r in for_run(store.read("audit", RUNS), run.run_id).collect()) == ["started", "succeeded"]
+    events = for_run(store.read("audit", RUNS), run.run_id).orderBy("event_ts").collect()
+    assert [r.event for r in events] == ["started", *STEPS, "succeeded"]
     assert all(store.exists("silver", t) for t in SILVER) and all(store.exists("gold", t) for t in GOLD)
     answers = analyse(store)
     assert answers["q4_verdict"].first().verdict in ("faster", "slower", "tie")
@@ -61,7 +62,7 @@ def test_second_run_is_retained_and_equal(spark, done, source):
     before = {t: store.read("gold", t).collect() for t in GOLD}
     second = run_all(spark, store, source)
     assert second.run_id != first.run_id
-    for table, rows in ((CHECKS, 43), (RUNS, 2)):
+    for table, rows in ((CHECKS, 43), (RUNS, 2 + len(STEPS))):
         audit = store.read("audit", table)
         assert for_run(audit, first.run_id).count() == for_run(audit, second.run_id).count() == rows
     after = {t: spark.createDataFrame(rows, store.read("gold", t).schema) for t, rows in before.items()}
@@ -83,7 +84,7 @@ def test_injected_fault_stops_the_run(spark, done, source):
     with pytest.raises(DataQualityError, match="DQ-L2 failed"):
         run_all(spark, store, source, FAULT)
     newest = store.read("audit", RUNS).orderBy("event_ts", ascending=False).first()
-    assert newest.event == "started"
+    assert newest.event == "staged"
     failed = for_run(store.read("audit", CHECKS), newest.run_id).where("NOT passed").collect()
     first = store.read("silver", "lineitem").orderBy("l_orderkey", "l_linenumber").first()
     assert [(r.rule_id, r.violation_count, r.sample_keys) for r in failed] == [
@@ -180,6 +181,45 @@ def test_a_failed_check_or_rename_keeps_every_old_table(spark, monkeypatch):
     assert store.read("gold", "a").first().n == 2
 
 
+def test_a_lost_run_goes_on(spark, done, source, monkeypatch):
+    store, _ = done
+    lost = Store(spark, Layout(prefix="lost"))
+    with monkeypatch.context() as m:
+        m.setattr(full_run, "validate", lambda run: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            run_all(spark, lost, source)
+    run_id = lost.read("audit", RUNS).first().run_id
+    with pytest.raises(StaleResultsError):
+        analyse(lost)
+    for name in ("ingest", "stage"):
+        monkeypatch.setattr(full_run, name, lambda *_: pytest.fail("done already"))
+    run = full_run.resume(spark, lost, source, run_id)
+    assert run.run_id == run_id and len(results_of(run).collect()) == 43
+    assert all(r.unchanged for r in layer_diff(lost.read_all("gold", GOLD), store.read_all("gold", GOLD)).collect())
+    assert sorted(r.event for r in lost.read("audit", RUNS).collect()) == sorted(["started", *STEPS, "succeeded"])
+    for known in (run_id, "another"):  # finished, and never begun
+        with pytest.raises(ResumeError):
+            full_run.resume(spark, lost, source, known)
+    with pytest.raises(ResumeError):
+        full_run.resume(spark, Store(spark, Layout(prefix="nowhere")), source, run_id)
+
+
+def test_the_audit_log_is_safe_to_repeat_and_compact(spark, done, source):
+    store, run = done
+    before = {t: sorted(store.read("audit", t).collect()) for t in (CHECKS, RUNS)}
+    full_run.record_event(run, "started")
+    run.append_results(store.read("audit", CHECKS).where(F.col("run_id") == run.run_id).withColumn("violation_count", F.lit(7).cast("long")))
+    assert {t: sorted(store.read("audit", t).collect()) for t in (CHECKS, RUNS)} == before
+    assert len(store.read("audit", CHECKS).inputFiles()) > 1
+    full_run.compact_audit(store)
+    assert {t: sorted(store.read("audit", t).collect()) for t in (CHECKS, RUNS)} == before
+    assert len(store.read("audit", CHECKS).inputFiles()) == 1 == len(store.read("audit", RUNS).inputFiles())
+    for at in ("2020-01-01", "2020-02-01", "2020-02-02"):
+        store.append(spark.sql(f"SELECT 'r' AS run_id, timestamp'{at}' AS run_ts"), "audit", "log")
+    store.compact("audit", "log", F.trunc("run_ts", "month"))
+    assert store.read("audit", "log").count() == 3 and len(store.read("audit", "log").inputFiles()) <= 2
+
+
 def scans(spark, since, table):
     """Scans of a table that read any of its columns, in all queries after the first ``since``."""
     listed = spark._jsparkSession.sharedState().statusStore().executionsList()

@@ -1,6 +1,7 @@
 """Facts, aggregates, answers, monitoring, profile and difference on hand-made rows."""
 
 import datetime as dt
+import re
 import statistics
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quayside.contracts import GOLD, SILVER
 from quayside.operators import aggregates, answers, diff, facts, histograms, layers, monitor, profiling, reports
+from quayside.plans.analysis import ANSWERS
 from quayside.plans.registry import Inputs
 
 D = dt.date.fromisoformat
@@ -113,6 +115,21 @@ def test_verdict_with_a_missing_side(spark, silver):
     assert alone.verdict is None and alone.other_order_count is None and alone.urgent_complete_p50_days == 5.0
 
 
+def test_the_sentence_about_one_side(spark, small):
+    gold = dict(Inputs(spark, small).gold()) | {t: Inputs(spark, small).gold()[t] for t in aggregates.AGGREGATE_BUILDERS}
+    gold["agg_urgency_fulfillment"] = gold["agg_urgency_fulfillment"].where("is_urgent")
+    told = {r.topic: r.answer for r in ANSWERS["answers_text"](gold).collect()}
+    assert told["q4"].startswith("urgent orders: none; urgent n=") and "other n=none, complete_p50=none" in told["q4"]
+    assert re.search(r"commit months from \d{4}-\d\d to \d{4}-\d\d, overall", told["monitoring"]) and told["monitoring"].endswith("no change of performance.")
+
+
+def test_lines_without_a_month_are_a_month_like_any_other(spark):
+    monthly = spark.createDataFrame(
+        [(None, 100, 1, 0.01, None), (D("2020-01-01"), 10, 1, 0.1, True), (D("2020-02-01"), 100, 1, 0.01, False), (D("2020-03-01"), 100, 1, 0.01, True)],
+        "commit_month date, line_count bigint, late_line_count bigint, delay_rate double, is_boundary_month boolean")
+    assert [(r.is_edge_month, r.is_incomplete) for r in monitor.edge_months(monthly).collect()] == [(False, False), (False, True), (False, False), (False, True)]
+
+
 def _walk(counts, threshold):
     """Edge positions found by walking inward from both ends."""
     edge = set()
