@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from quayside.llm import toxicity
 from quayside.llm.bpe import encode_and_decode
-from quayside.llm.common import table
+from quayside.llm.common import shared_folder, table
 from quayside.llm.decontaminate import contamination
 from quayside.llm.golay_simhash import near_duplicates
 from quayside.llm.imatch import imatch
 from quayside.llm.language_id import fit_model, held_out, identify
 from quayside.llm.lexical_search import search
 from quayside.llm.line_dedup import dedup_lines
-from quayside.llm.sharding import with_shards
+from quayside.llm.sharding import read_shards, write_shards
 from quayside.llm.suffix_dedup import remove_repeats
 from quayside.llm.token_store import read_tokens, write_tokens
 from quayside.llm.warc import archive_pages, read_archives
@@ -77,9 +77,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document; a shard holds up to 1 MiB of text, what a loader fetches at once."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_shards(docs, 1 << 20).drop("text")
+    """All documents written as shards of up to 1 MiB of text, what a loader fetches at once; sizes are those read back."""
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark, "shards")
+    write_shards(docs, folder, 1 << 20)
+    return read_shards(docs, folder)
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

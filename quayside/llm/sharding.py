@@ -78,5 +78,21 @@ def with_shards(rows: DataFrame, max_bytes: int, key: str = "doc_id", text: str
 
 
 def write_shards(rows: DataFrame, folder: str, max_bytes: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write ``rows`` as Parquet, a folder ``shard=<prefix>`` for each shard; rows of a shard come from one task."""
-    with_shards(rows, max_bytes, key, text).repartition("shard").write.partitionBy("shard").parquet(folder)
+    """Write ``rows`` as Parquet, a folder ``shard=<prefix>`` for each shard; rows of a shard come from few tasks.
+
+    A shard over the limit (the rows of one hash) is dealt, by hashes of its texts, to as many tasks as it holds
+    limits, so a hot key is not one task. Null keys, null texts and empty tables are as for ``with_shards``.
+    """
+    parts = F.greatest(F.ceil(F.col("shard_bytes") / max_bytes), F.lit(1))
+    placed = with_shards(rows, max_bytes, key, text)
+    placed.repartition("shard", F.pmod(F.xxhash64(text), parts)).write.partitionBy("shard").parquet(folder)
+
+
+def read_shards(rows: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, shard, depth, shard_bytes, shard_rows`` of every row in the folder, with sizes measured on what is read."""
+    kinds = dict(rows.dtypes)
+    found = rows.sparkSession.read.schema(f"`{key}` {kinds[key]}, `{text}` {kinds[text]}, shard string").parquet(folder)
+    found = found.withColumn("shard", F.coalesce("shard", F.lit("")))  # an empty prefix is written as no value
+    sized = found.select(key, "shard", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
+    sizes = sized.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    return sized.drop("bytes").join(sizes, "shard").select(key, "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_rows")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -24,12 +25,13 @@ from quayside.llm.common import in_tasks, rows_of, shared_folder, written
 
 _PIECE = 1 << 18
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_PAGE = "urn:page:"
+# Header fields of our own, as the standard allows: the page of a record, and that of the response it revisits.
+_PAGE, _SAME_AS = "Page-ID", "Page-Refers-To"
 
 MANIFEST = "path string, records long, bytes long"
 RECORDS = (
     "page_id long, url string, record_type string, refers_to long, payload_bytes long, "
-    "payload_digest string, digests_hold boolean, path string, offset long"
+    "payload_digest string, digests_hold boolean, path string, offset long, record_id string"
 )
 
 
@@ -38,8 +40,8 @@ def base32_sha1(data: bytes) -> str:
 
 
 def record_member(headers: list[tuple[str, str]], block: bytes, level: int = 6) -> bytes:
-    """One record as one gzip member. Header values are kept on one line."""
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {' '.join(v.splitlines())}\r\n" for k, v in headers)
+    """One record, under an id of its own, as one gzip member. Header values are kept on one line."""
+    head = f"WARC/1.1\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\n" + "".join(f"{k}: {' '.join(v.splitlines())}\r\n" for k, v in headers)
     head += f"WARC-Block-Digest: sha1:{base32_sha1(block)}\r\nContent-Length: {len(block)}\r\n\r\n"
     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     return packer.compress(head.encode()) + packer.compress(block) + packer.compress(b"\r\n\r\n") + packer.flush()
@@ -57,19 +59,25 @@ class Record:
         return self.block.partition(b"\r\n\r\n")[2]
 
     def http_header(self, name: str) -> str | None:
-        for line in self.block.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:]:
+        for line in self.block.partition(b"\r\n\r\n")[0].decode(errors="replace").split("\r\n")[1:]:
             key, _, value = line.partition(":")
             if key.strip().lower() == name:
                 return value.strip()
         return None
 
+    def number(self, name: str) -> int | None:
+        """A header that is a whole number, if it is there and is one."""
+        text = (self.headers.get(name) or "").strip()
+        return int(text) if text.removeprefix("-").isdecimal() and text.isascii() else None
+
     def digests_hold(self) -> bool:
-        """Whether block and payload have the digests that the headers state; a revisit has no payload to check."""
-        stated = self.headers.get("warc-block-digest")
-        if stated is not None and stated != f"sha1:{base32_sha1(self.block)}":
-            return False
-        stated = self.headers.get("warc-payload-digest")
-        return stated is None or self.headers.get("warc-type") == "revisit" or stated == f"sha1:{base32_sha1(self.payload())}"
+        """Whether block and payload have the SHA-1 digests that the headers state, if any; a revisit has no payload to check."""
+        def differs(name: str, data: bytes) -> bool:
+            stated = self.headers.get(name, "")
+            return stated.lower().startswith("sha1:") and stated[5:].upper() != base32_sha1(data)
+
+        return not differs("warc-block-digest", self.block) and (
+            self.headers.get("warc-type") == "revisit" or not differs("warc-payload-digest", self.payload()))
 
 
 class _Member:
@@ -124,7 +132,7 @@ def read_records(source: BinaryIO) -> Iterator[Record]:
     spare, offset = b"", 0
     while spare or (spare := source.read(_PIECE)):
         member = _Member(source, spare)
-        version, *lines = member.until(b"\r\n\r\n").decode().split("\r\n")
+        version, *lines = member.until(b"\r\n\r\n").decode(errors="replace").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {version[:40]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
@@ -142,19 +150,17 @@ def _page_record(row: dict, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Date", date)]
     if row["page_id"] is not None:
-        headers.append(("WARC-Record-ID", f"<{_PAGE}{row['page_id']}>"))
+        headers.append((_PAGE, str(row["page_id"])))
     if row["url"] is not None:
         headers.append(("WARC-Target-URI", row["url"]))
     if revisit:
-        headers += [("WARC-Refers-To", f"<{_PAGE}{row['refers_to']}>"), ("WARC-Profile", _PROFILE)]
+        headers += [(_SAME_AS, str(row["refers_to"])), ("WARC-Profile", _PROFILE)]
     headers += [("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("Content-Type", "application/http; msgtype=response")]
     return record_member(headers, http if revisit else http + payload)
 
 
 def _writer(folder: str, file_bytes: int, date: str) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         out, path, done = None, "", (0, 0)
@@ -209,9 +215,6 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, file_bytes: int = 64 <<
 
 
 def _reader(with_payload: bool) -> Callable:
-    def page(uri: str | None) -> int | None:
-        return int(uri.strip("<>").removeprefix(_PAGE)) if uri else None
-
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             store, path = fs.FileSystem.from_uri(row["path"])
@@ -222,12 +225,12 @@ def _reader(with_payload: bool) -> Callable:
                         continue
                     payload = r.payload()
                     held.append({
-                        "page_id": page(r.headers.get("warc-record-id")), "url": r.headers.get("warc-target-uri"),
-                        "record_type": kind, "refers_to": page(r.headers.get("warc-refers-to")),
-                        "payload_bytes": len(payload) if kind == "response" else int(r.http_header("content-length")),
-                        "payload_digest": r.headers["warc-payload-digest"].removeprefix("sha1:"),
-                        "digests_hold": r.digests_hold(), "path": row["path"], "offset": r.offset,
-                    } | ({"html": payload.decode() if kind == "response" else None} if with_payload else {}))
+                        "page_id": r.number(_PAGE.lower()), "url": r.headers.get("warc-target-uri"),
+                        "record_type": kind, "refers_to": r.number(_SAME_AS.lower()),
+                        "payload_bytes": len(payload) if kind == "response" else _stated_length(r),
+                        "payload_digest": r.headers.get("warc-payload-digest", "").rpartition(":")[2] or (base32_sha1(payload) if kind == "response" else None),
+                        "digests_hold": r.digests_hold(), "path": row["path"], "offset": r.offset, "record_id": r.headers.get("warc-record-id", "").strip("<>"),
+                    } | ({"html": payload.decode(errors="replace") if kind == "response" else None} if with_payload else {}))
                     size += len(payload) if with_payload else 100
                     if size > 8 << 20:
                         yield _batch(held, with_payload)
@@ -238,10 +241,16 @@ def _reader(with_payload: bool) -> Callable:
     return flat
 
 
+def _stated_length(record: Record) -> int | None:
+    """The length that the HTTP header of a revisit states, if it has one."""
+    text = record.http_header("content-length") or ""
+    return int(text) if text.isdecimal() and text.isascii() else None
+
+
 def _batch(rows: list[dict], with_payload: bool) -> pa.RecordBatch:
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
              ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digests_hold", pa.bool_()),
-             ("path", pa.string()), ("offset", pa.int64())]
+             ("path", pa.string()), ("offset", pa.int64()), ("record_id", pa.string())]
     return pa.RecordBatch.from_pylist(rows, pa.schema(kinds + [("html", pa.string())] * with_payload))
 
 
@@ -249,7 +258,9 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """A row per response or revisit record of the files in ``manifest`` (column path), html last if asked for.
 
     ``payload_bytes`` and ``payload_digest`` are those of the full payload for revisits too. ``digests_hold``
-    tells whether the recomputed digests agree; a file whose framing is broken ends the job.
+    tells whether the recomputed digests agree; a file whose framing is broken ends the job. Archives of other
+    writers can be read too: ``page_id`` and ``refers_to`` are header fields of our own and null without them, as
+    are length and digest of a revisit that does not state them. A manifest without files gives no rows.
     """
     files = manifest.count()
     dealt = manifest.select("path").repartition(max(1, min(files, 20_000)), "path")

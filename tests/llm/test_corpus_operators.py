@@ -334,6 +334,7 @@ def test_warc(spark):
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "'x' AS payload")
     found = warc.read_archives(warc.archive_pages(frame, file_bytes=2000)).collect()
     assert len(found) == len(pages) and all(r.digests_hold for r in found)
+    assert len({r.record_id for r in found}) == len(pages) and all(r.record_id.startswith("urn:uuid:") for r in found)
     first = {"same": 2, "": 8}
     want = sorted(((
         i, "revisit" if (h or "") in first and first[h or ""] != i else "response", first[h or ""] if (h or "") in first and first[h or ""] != i else None,
@@ -345,6 +346,25 @@ def test_warc(spark):
     assert warc.read_archives(warc.archive_pages(frame.limit(0))).collect() == []
 
 
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+
+    def record(kind, block, *headers):
+        head = "".join(f"{h}\r\n" for h in ("WARC/1.0", f"WARC-Type: {kind}", *headers, f"Content-Length: {len(block)}"))
+        return gzip.compress(head.encode() + b"\r\n" + block + b"\r\n\r\n")
+
+    response = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    (tmp_path / "a.warc.gz").write_bytes(
+        record("warcinfo", b"software: other", "WARC-Record-ID: <urn:uuid:1>") + record("response", response, "WARC-Record-ID: <urn:uuid:2>", "WARC-Target-URI: http://x")
+        + record("revisit", b"", "WARC-Record-ID: <urn:uuid:3>", "WARC-Refers-To: <urn:uuid:2>") + record("response", response, "WARC-Payload-Digest: sha1:AAAA"))
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")
+    found = warc.read_archives(manifest).orderBy("offset").collect()
+    digest = warc.base32_sha1(b"body")
+    assert [(r.record_id, r.page_id, r.url, r.record_type, r.payload_bytes, r.payload_digest, r.digests_hold, r.html) for r in found] == [
+        ("urn:uuid:2", None, "http://x", "response", 4, digest, True, "body"), ("urn:uuid:3", None, None, "revisit", None, None, True, None),
+        ("", None, None, "response", 4, "AAAA", False, "body")]
+
+
 def test_broken_archives_are_refused():
     member = warc.record_member([("WARC-Type", "response"), ("WARC-Payload-Digest", "sha1:" + warc.base32_sha1(b"body"))], b"HTTP/1.1 200 OK\r\n\r\nbody")
     good = list(warc.read_records(io.BytesIO(member * 3)))
@@ -381,6 +401,12 @@ def test_sharding(make, awkward, limit):
 
 
 def test_written_shards(spark, make, tmp_path):
-    docs = make([(i, "y" * 50) for i in range(100)])
+    docs = make([(i, "y" * 50) for i in range(100)] + [(7, "z" * 900), (7, "z" * 900), (None, "n" * 3000), (200, None)])
     sharding.write_shards(docs, str(tmp_path / "s"), 1000)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 100
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 104
+    columns = ["doc_id", "shard", "depth", "shard_bytes", "shard_rows"]
+    assert rows(sharding.read_shards(docs, str(tmp_path / "s"))) == rows(sharding.with_shards(docs.select("doc_id", "text"), 1000).select(columns))
+    sharding.write_shards(docs, str(tmp_path / "one"), 10**9)
+    assert {(r.shard, r.depth, r.shard_rows) for r in sharding.read_shards(docs, str(tmp_path / "one")).collect()} == {("", 0, 104)}
+    sharding.write_shards(make([]), str(tmp_path / "none"), 1000)
+    assert sharding.read_shards(docs, str(tmp_path / "none")).collect() == []
