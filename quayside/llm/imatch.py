@@ -62,6 +62,11 @@ def _hex(hashed: Column) -> Column:
     return F.lower(F.lpad(F.hex(hashed), 16, "0"))
 
 
+def _token(terms: Column) -> Column:
+    """32 bits of the hash of sorted terms."""
+    return F.substring(_hex(F.xxhash64(terms)), 1, 8)
+
+
 def _lane(kept: Column) -> Column:
     """The tokens of a lane's subsets, one for each scale and a dot after each, from the lowest hashes.
 
@@ -75,12 +80,12 @@ def _lane(kept: Column) -> Column:
         zeros.append(F.when(top.isNull(), 0).otherwise(F.least(F.lit(SCALES), SCALES + 1 - bits)).cast("int"))
     parts = [F.repeat(F.lit("-."), zeros[_FEW])]
     for k in range(_FEW, 0, -1):
-        parts.append(F.repeat(F.concat(_hex(F.xxhash64(F.slice(kept, 1, k))), F.lit(".")), zeros[k - 1] - zeros[k]))
+        parts.append(F.repeat(F.concat(_token(F.slice(kept, 1, k)), F.lit(".")), zeros[k - 1] - zeros[k]))
     return F.concat(*parts, F.repeat(F.lit("-."), F.lit(SCALES) - zeros[0]))
 
 
 def _whole_set(terms: Column) -> Column:
-    return F.when((F.size(terms) > 0) & (F.size(terms) <= _FEW), _hex(F.xxhash64(F.array_sort(terms)))).otherwise(F.lit("-"))
+    return F.when((F.size(terms) > 0) & (F.size(terms) <= _FEW), _token(F.array_sort(terms))).otherwise(F.lit("-"))
 
 
 def _or_text(tokens: Column, whole: Column) -> Column:
@@ -138,27 +143,23 @@ def imatch(docs: DataFrame, high: float = 0.1) -> DataFrame:
     both = texts.join(given, (F.col("sid") == F.col("to_sid")) & (F.col("version") == F.col("to_version")))
     both = both.select("sid", "version", "n", "text", F.expr("concat(substring(text, 1, cast(n - n div 4 as int)), prefix)").alias("edited"))
     both = both.dropDuplicates(["sid", "version"])
-    either = both.select("sid", "version", "n", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), "text", F.lit("").alias("sha")),
-        F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha")),
-    )).alias("e")).select("sid", "version", "n", "e.side", "e.text", "e.sha")
-    keys = ("sid", "version", "n", "side", "sha")
-    described = either.crossJoin(common).select(*keys, F.xxhash64("text").alias("whole"), "common", _terms(F.col("text")).alias("terms"))
-    described = described.select(*keys, "whole", "terms", F.array_except("terms", "common").alias("rare"))
-    lowest = [_lowest(F.col("rare" if i < RARE_LANES else "terms"), i).alias(f"lane{i}") for i in range(LANES)]
-    described = described.select(*keys, "whole", _whole_set(F.col("rare")).alias("every"), *lowest)
-    tokens = F.concat("every", F.lit("."), *[_lane(F.col(f"lane{i}")) for i in range(LANES)])
-    made = described.select(*keys, "whole", F.rtrim(tokens, F.lit(".")).alias("tokens"))
-    made = made.select("sid", "version", "n", "side", "sha", _or_text(F.col("tokens"), F.col("whole")).alias("print"))
-    sides = made.groupBy("sid", "version").agg(
-        F.max(F.when(F.col("side") == 0, F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("print"))).alias("edited_fingerprint"),
-        F.max("n").alias("n_chars"), F.max("sha").alias("edited_sha256"))
-    prints = written(sides, "imatch")
+    # both texts of a document stay in its row, so fingerprints are not shuffled to meet
+    sides = {"text": "fingerprint", "edited": "edited_fingerprint"}
+    keys = ("sid", "version", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    made = both.crossJoin(common).select(
+        *keys, "common", *[F.xxhash64(t).alias(f"whole_{t}") for t in sides], *[_terms(F.col(t)).alias(f"all_{t}") for t in sides])
+    made = made.select("*", *[F.array_except(f"all_{t}", "common").alias(f"rare_{t}") for t in sides])
+    lanes = [(t, i, f"{'rare' if i < RARE_LANES else 'all'}_{t}") for t in sides for i in range(LANES)]
+    named = ("sid", "version", "n_chars", "edited_sha256", *[f"whole_{t}" for t in sides])
+    made = made.select(*named, *[_whole_set(F.col(f"rare_{t}")).alias(f"every_{t}") for t in sides], *[_lowest(F.col(c), i).alias(f"lane_{t}_{i}") for t, i, c in lanes])
+    tokens = {t: F.concat(f"every_{t}", F.lit("."), *[_lane(F.col(f"lane_{t}_{i}")) for i in range(LANES)]) for t in sides}
+    made = made.select(*named, *[F.rtrim(tokens[t], F.lit(".")).alias(f"tokens_{t}") for t in sides])
+    made = made.select(*named[:4], *[_or_text(F.col(f"tokens_{t}"), F.col(f"whole_{t}")).alias(name) for t, name in sides.items()])
+    prints = written(made.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))), "imatch")
     after = order.select("sid", "version", F.col("after.sid").alias("next_sid"), F.col("after.version").alias("next_version"))
     following = prints.select(F.col("sid").alias("next_sid"), F.col("version").alias("next_version"), F.col("fingerprint").alias("next_fingerprint"))
     whole = prints.join(after, ["sid", "version"]).join(following, ["next_sid", "next_version"])
     whole = whole.select(
-        "sid", "version", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        "sid", "version", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
     return keyed.select("doc_id", "sid", "version").join(whole, ["sid", "version"]).drop("sid", "version")

@@ -59,15 +59,19 @@ def lane_hash(term, lane):
     return signed(xxhash.xxh64_intdigest(lane.to_bytes(4, "little"), chained(term)))
 
 
+def token(terms):
+    return f"{chained(*terms):016x}"[:8]
+
+
 def brute_fingerprint(text, common):
     terms = [term_hash(w) for w in words_of(text)]
     rare = [t for t in terms if t not in common]
-    tokens = [f"{chained(*sorted(rare)):016x}" if 0 < len(rare) <= 4 else "-"]
+    tokens = [token(sorted(rare)) if 0 < len(rare) <= 4 else "-"]
     for lane in range(imatch.LANES):
         hashes = sorted(lane_hash(t, lane) for t in (rare if lane < imatch.RARE_LANES else terms))
         for scale in range(1, imatch.SCALES + 1):
             inside = [h for h in hashes if h + 2**63 < 2 ** (64 - scale)]
-            tokens.append(f"{chained(*inside):016x}" if 0 < len(inside) <= 4 else "-")
+            tokens.append(token(inside) if 0 < len(inside) <= 4 else "-")
     if set(tokens) == {"-"}:
         return f"text:{xxhash.xxh64_intdigest(text.encode(), 42):016x}"
     return ".".join(tokens)
