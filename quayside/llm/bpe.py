@@ -29,19 +29,21 @@ _WORDS = 50_000
 _IDS = 2_000_000
 _BYTES = 4 << 20
 
+# A row's key is its word's number above 32 bits of its position, so one order over one number holds all words.
 _ONE_MERGE = """
-WITH RECURSIVE step(done, w, p, t) AS (
-  SELECT false, w, p, t FROM start
+WITH RECURSIVE step(done, k, t) AS (
+  SELECT false, (w::BIGINT << 32) | p, t FROM start
   UNION ALL
   (WITH pairs AS (
-     SELECT w, p, t, lead(t) OVER x AS n, lag(p) OVER x AS before
-     FROM step WHERE NOT done WINDOW x AS (PARTITION BY w ORDER BY p)),
+     SELECT k, k >> 32 AS w, t, lead(t) OVER x AS n, lead(k) OVER x AS after, lag(k) OVER x AS before
+     FROM step WHERE NOT done WINDOW x AS (ORDER BY k)),
    best AS (
-     SELECT w, min((c::BIGINT << 32) | p) AS b
-     FROM pairs JOIN merges ON ab = (t::BIGINT << 32) | n GROUP BY w)
-   SELECT b IS NULL, w, p, CASE WHEN p = b & 4294967295 THEN (b >> 32)::INTEGER ELSE t END
-   FROM pairs LEFT JOIN best USING (w) WHERE before IS NULL OR b IS NULL OR before <> b & 4294967295))
-SELECT w, list(t ORDER BY p) AS ids FROM step WHERE done GROUP BY w
+     SELECT w, min((c::BIGINT << 32) | (k & 4294967295)) AS b
+     FROM pairs JOIN merges ON ab = (t::BIGINT << 32) | n WHERE after >> 32 = w GROUP BY w)
+   SELECT b IS NULL, k, CASE WHEN k & 4294967295 = b & 4294967295 THEN (b >> 32)::INTEGER ELSE t END
+   FROM pairs LEFT JOIN best USING (w)
+   WHERE before IS NULL OR b IS NULL OR before <> (w << 32) | (b & 4294967295)))
+SELECT k >> 32 AS w, list(t ORDER BY k) AS ids FROM step WHERE done GROUP BY ALL
 """
 
 # All non-overlapping places of a word's lowest pair, every second one of a run, are merged in a round. That
@@ -67,7 +69,7 @@ FROM (SELECT *, max(i) OVER (PARTITION BY w) AS last FROM step) WHERE i = last G
 """
 
 _DECODE = """
-SELECT d, unhex(string_agg(bytes, '' ORDER BY p)) AS text FROM ids JOIN vocabulary USING (t) GROUP BY d
+SELECT d, string_agg(bytes, '' ORDER BY p) AS text FROM ids JOIN vocabulary USING (t) GROUP BY d
 """
 
 
@@ -90,7 +92,7 @@ class ByteBpe:
         self.con.execute(
             "CREATE TABLE merges AS WITH low AS (SELECT DISTINCT unnest([a, b]) AS t FROM made WHERE c < a OR c < b) "
             "SELECT (a::BIGINT << 32) | b AS ab, c, c IN (SELECT t FROM low) AS early FROM made")
-        tokens = pa.table({"t": pa.array(self.ranks.values(), pa.int32()), "bytes": [x.hex() for x in self.ranks]})
+        tokens = pa.table({"t": pa.array(self.ranks.values(), pa.int32()), "bytes": [x.decode("latin-1") for x in self.ranks]})  # a character a byte
         self.con.register("tokens", tokens)
         self.con.execute("CREATE TABLE vocabulary AS FROM tokens")
 
@@ -166,7 +168,7 @@ class ByteBpe:
         self.con.register("ids", pa.table({"d": part, "p": np.arange(len(flat), dtype=np.int32), "t": flat}))
         texts = dict(zip(*(c.to_pylist() for c in self.con.sql(_DECODE).to_arrow_table().columns), strict=True))
         for i, (d, _) in enumerate(block):
-            found[d] += texts[i]
+            found[d] += texts[i].encode("latin-1")
 
 
 @cache
