@@ -85,7 +85,7 @@ def write_shards(rows: DataFrame, folder: str, max_bytes: int, key: str = "doc_i
     """
     parts = F.greatest(F.ceil(F.col("shard_bytes") / max_bytes), F.lit(1))
     placed = with_shards(rows, max_bytes, key, text)
-    placed.repartition("shard", F.pmod(F.xxhash64(text), parts)).write.partitionBy("shard").parquet(folder)
+    placed.repartition("shard", F.pmod(F.xxhash64(text), parts)).write.partitionBy("shard").parquet(folder, compression="zstd")
 
 
 def read_shards(rows: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
