@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +35,21 @@ def per_key(values: Mapping[str, object], key: str, type_name: str) -> Column:
     return F.create_map(*pairs)[F.col(key)].cast(type_name)
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in a new folder that driver and executors share: computed once, however often it is read.
+
+    The folder is below ``spark.checkpoint.dir``; without the setting a local master gets a temporary folder, any
+    other one below the warehouse.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local["):
+        base = "file://" + tempfile.mkdtemp(prefix="run-")
+    path = f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def row_counts(tables: Mapping[str, DataFrame], counted_as: str) -> list[DataFrame]:
     """One ``(table_name, <counted_as>)`` row per table; a parquet count reads footers, not columns."""
     return [df.selectExpr(f"'{name}' AS table_name", f"count(*) AS {counted_as}") for name, df in tables.items()]

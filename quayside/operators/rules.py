@@ -7,7 +7,7 @@ need a second look at the rows and are taken only for rules that failed.
 from __future__ import annotations
 
 from collections.abc import Collection, Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import or_
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import LINE_STATUSES, RETURN_FLAGS, SHIP_MODES, SOURCE_TABLES
 from ..contracts import FOREIGN_KEYS, SILVER, ForeignKey
-from ..functions.frames import fold, row_counts, union_all
+from ..functions.frames import fold, row_counts, union_all, written
 from ..functions.predicates import any_null, outside_allowed
 from .keysets import MOST_WORDS, is_integral, rows_of_words, suspect_words
 
@@ -49,10 +49,14 @@ class Rule:
 
 @dataclass(frozen=True)
 class RuleFrame:
-    """Rows and the rules that read them; the rules of a frame share their key columns."""
+    """Rows and the rules that read them; the rules of a frame share their key columns.
+
+    ``derived`` rows take a join or a grouping of whole tables to make.
+    """
 
     rows: DataFrame
     rules: tuple[Rule, ...]
+    derived: bool = False
 
 
 # --- the rules ---------------------------------------------------------------------------------
@@ -82,7 +86,7 @@ def line_order_rules(lineitem: DataFrame, orders: DataFrame) -> RuleFrame:
         Rule("DQ-L1", "lineitem", F.col("l_shipdate") < F.col("o_orderdate"), LINE_KEY, F.col("copies")),
         Rule("DQ-L3", "lineitem", F.col("l_commitdate") < F.col("o_orderdate"), LINE_KEY, F.col("copies")),
         Rule("DQ-L8", "lineitem", F.col("o_orderkey").isNull(), LINE_KEY),
-    ))
+    ), derived=True)
 
 
 def order_rules(orders: DataFrame) -> RuleFrame:
@@ -118,20 +122,24 @@ def _stacked_keys(table: str, tables: Mapping[str, DataFrame]) -> DataFrame:
 def suspect_keys(tables: Mapping[str, DataFrame]) -> dict[str, list[list[int | None]] | None]:
     """For every table with a key of whole numbers the words of keys that a rule may count, None for very many.
 
-    Runs at once, in one job: words of 64 keys are all that is shuffled.
+    Runs at once, in one job: words of 64 keys are all that is shuffled. Keys of several columns are None at once:
+    only values of their last column share a word, so words are about as many as keys, and a first pass would
+    shuffle as much as the counting does.
     """
     found: dict[str, list[list[int | None]] | None] = {}
     parts = []
     for table in SILVER:
         keys, stacked = SILVER[table].primary_key, _stacked_keys(table, tables)
-        if is_integral(stacked, keys):
+        if is_integral(stacked, keys) and len(keys) > 1:
+            found[table] = None
+        elif is_integral(stacked, keys):
             found[table] = []
             references = _references(table, tables)
             words = suspect_words(stacked, keys, "owned", [fk.name for fk in references], [fk.name for fk in references if _named_by_lines(fk)])
             parts.append(words.limit(MOST_WORDS + 1).select(F.lit(table).alias("table_name"), "words"))
     for row in union_all(parts).collect() if parts else ():
         found[row["table_name"]].append(row["words"])
-    return {table: words if len(words) <= MOST_WORDS else None for table, words in found.items()}
+    return {table: words if words is not None and len(words) <= MOST_WORDS else None for table, words in found.items()}
 
 
 def key_rules(table: str, tables: Mapping[str, DataFrame], suspects: Mapping[str, list[list[int | None]] | None] | None = None) -> RuleFrame:
@@ -162,7 +170,7 @@ def key_rules(table: str, tables: Mapping[str, DataFrame], suspects: Mapping[str
         found.append(Rule("DQ-G2", f"{fk.child}.{fk.name}", orphan, keys, used))
         if _named_by_lines(fk):
             found.append(Rule("DQ-L9", "orders", (owned > 0) & (missing | (used == 0)), keys, owned))
-    return RuleFrame(values, tuple(found))
+    return RuleFrame(values, tuple(found), derived=True)
 
 
 def staging_rules(tables: Mapping[str, DataFrame]) -> list[RuleFrame]:
@@ -228,7 +236,7 @@ def rule_counts(frames: Iterable[RuleFrame]) -> DataFrame:
 
 def only(frame: RuleFrame, *names: str) -> RuleFrame:
     """The frame's rules of these ids or tables."""
-    return RuleFrame(frame.rows, tuple(r for r in frame.rules if set(r.name) & set(names)))
+    return RuleFrame(frame.rows, tuple(r for r in frame.rules if set(r.name) & set(names)), frame.derived)
 
 
 def record(frame: RuleFrame, *names: str) -> DataFrame:
@@ -258,11 +266,22 @@ def sampled_where_failing(frames: Iterable[RuleFrame], counts: DataFrame, failin
     return report.withColumn("sample_keys", F.coalesce("sample_keys", F.lit("[]"))).select(*REPORT_COLUMNS)
 
 
+def violations(frame: RuleFrame) -> RuleFrame:
+    """The frame over its violating rows alone, written with their keys and weights, so its rows are made once."""
+    keys = frame.rules[0].keys
+    weights = [F.when(r.violated, r.weight).cast("bigint").alias(f"w{i}") for i, r in enumerate(frame.rules)]
+    rows = frame.rows.where(reduce(or_, (r.violated for r in frame.rules))).select(*keys, *weights)
+    found = [replace(r, violated=F.col(f"w{i}").isNotNull(), weight=F.col(f"w{i}")) for i, r in enumerate(frame.rules)]
+    return RuleFrame(written(rows, "violations"), tuple(found))
+
+
 def report_in_two_steps(frames: list[RuleFrame], more_counts: DataFrame | None = None) -> DataFrame:
     """``dq_report`` that counts at once and then samples what failed only, so clean data is read once.
 
-    The counts are brought to the driver, one small row per rule of the contract.
+    The violating rows of joined and grouped frames are written, and both steps read these. The counts are brought
+    to the driver, one small row per rule of the contract.
     """
+    frames = [violations(f) if f.derived else f for f in frames]
     counts = rule_counts(frames)
     counted = counts.collect()
     failing = {(r.rule_id, r.table_name) for r in counted if r.violation_count > 0}
