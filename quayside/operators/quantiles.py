@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import written
+
 SPLITS = 512
 #: So many rows between two values, all wanted ranks together, are read by value instead of being split again.
 FEW = 20_000
@@ -72,9 +74,10 @@ def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], by: st
 
     NULL and NaN values do not count; NULL is a group like any other, and a group without a value has none. The
     groups times the shares should be some thousands at most. Runs at once: one pass for the groups, then one
-    for each narrowing, which reads ``by`` and ``value`` only.
+    for each narrowing. All read ``by`` and ``value``, written once, however costly ``df`` is to make.
     """
     numbers = df.select(F.col(by).alias("by"), F.col(value).cast("double").alias("value")).where("value is not null and not isnan(value)")
+    numbers = written(numbers, "numbers")
     groups = numbers.groupBy("by").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
     groups.sort(key=lambda g: (g["by"] is not None, g["by"]))
     named = df.sparkSession.createDataFrame([(g["by"], i) for i, g in enumerate(groups)], f"name {df.select(by).dtypes[0][1]}, nr int")

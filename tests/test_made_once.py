@@ -2,6 +2,7 @@
 
 import pytest
 
+from quayside.operators.quantiles import exact_percentiles
 from quayside.plans.registry import Inputs
 from quayside.sources import fixtures
 
@@ -45,3 +46,10 @@ def test_a_report_makes_clean_lines_once(spark, small, counted_lines):
     report = Inputs(spark, small).report(False).collect()
     assert len(report) == 41 and not any(r.violation_count for r in report)
     assert counted_lines() == lines_of(spark, small)
+
+
+def test_percentiles_make_their_rows_once(spark, made):
+    rows, computed = made(spark.range(60_000).selectExpr("cast(id % 3 as string) AS g", "cast(id * id AS double) AS v"), "numbers")
+    found = {(r.g, r.share): r.v for r in exact_percentiles(rows, "v", (0.0, 0.5, 1.0), "g").withColumnRenamed("value", "v").collect()}
+    assert len(found) == 9 and found["0", 1.0] == 59_997.0**2
+    assert computed() == 60_000
