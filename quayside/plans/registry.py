@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +42,25 @@ def comparable(df: DataFrame) -> DataFrame:
 
 
 class Gold(dict):
-    """Gold tables, each planned when it is first asked for."""
+    """Gold tables, each planned when it is first asked for.
 
-    def __init__(self, lineitem: DataFrame, orders: DataFrame):
+    Aggregates read the measures they need from the facts or, if ``shared``, all from one written histogram.
+    """
+
+    def __init__(self, lineitem: DataFrame, orders: DataFrame, shared: bool = False):
         super().__init__()
-        self.silver = (lineitem, orders)
+        self.silver, self.shared = (lineitem, orders), shared
+
+    @cached_property
+    def histogram(self) -> DataFrame:
+        return written(histograms(*(self[f] for f in FACTS)), "histogram")
 
     def __missing__(self, name: str) -> DataFrame:
         if name in FACT_BUILDERS:
             self[name] = FACT_BUILDERS[name](*self.silver)
         else:
-            self[name] = AGGREGATE_BUILDERS[name](histograms(*(self[f] for f in FACTS), AGGREGATE_MEASURES[name]))
+            read = self.histogram if self.shared else histograms(*(self[f] for f in FACTS), AGGREGATE_MEASURES[name])
+            self[name] = AGGREGATE_BUILDERS[name](read)
         return self[name]
 
 
@@ -84,8 +93,8 @@ class Inputs:
         tables = staged_tables(sources)
         return tables | {t: written(df, f"staging-{t}") for t, df in tables.items() if SILVER[t].decomposed}
 
-    def gold(self, dirty: bool = False) -> Gold:
-        return Gold(self.staged("lineitem", dirty), self.staged("orders", dirty))
+    def gold(self, dirty: bool = False, shared: bool = False) -> Gold:
+        return Gold(self.staged("lineitem", dirty), self.staged("orders", dirty), shared)
 
     def ledger(self) -> DataFrame:
         """The event stream read as a ledger: one run per user, signup starts it, purchase ends it."""
@@ -139,7 +148,8 @@ def _relation(make: Callable[[Inputs], DataFrame]) -> Query:
 
 def _layers() -> dict[str, Query]:
     def short_gold(x: Inputs) -> dict[str, DataFrame]:
-        gold = {t: x.gold(True)[t] for t in GOLD}
+        made = x.gold(True, shared=True)
+        gold = {t: made[t] for t in GOLD}
         gold["agg_ship_mode_performance"] = gold["agg_ship_mode_performance"].drop("delay_rate")
         return gold
 
@@ -235,13 +245,17 @@ def _gold() -> dict[str, Query]:
         made[f"delivery_histograms{suffix}"] = lambda x, d=dirty: in_batches(x.gold(d))
         made[f"price_percentiles{suffix}"] = lambda x, d=dirty: exact_percentiles(
             x.source("lineitem", d), "l_extendedprice", PRICE_SHARES, "l_shipmode")
-    made["gold_report"] = lambda x: gold_report(x.gold())
+    made["gold_report"] = lambda x: gold_report(x.gold(shared=True))
     return {name: _relation(f) for name, f in made.items()}
 
 
 def _answers() -> dict[str, Query]:
     made = {name: lambda x, answer=answer: answer(x.gold()) for name, answer in ANSWERS.items()}
     made |= {f"{name}_dirty": lambda x, answer=answer: answer(x.gold(True)) for name, answer in ANSWERS.items()}
+    made |= {
+        "answers_text": lambda x: ANSWERS["answers_text"](x.gold(shared=True)),
+        "answers_text_dirty": lambda x: ANSWERS["answers_text"](x.gold(True, shared=True)),
+    }
     return {name: _relation(f) for name, f in made.items()}
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 from quayside.operators.quantiles import exact_percentiles
+from quayside.plans import registry
 from quayside.plans.registry import Inputs
 from quayside.sources import fixtures
 
@@ -53,3 +54,11 @@ def test_percentiles_make_their_rows_once(spark, made):
     found = {(r.g, r.share): r.v for r in exact_percentiles(rows, "v", (0.0, 0.5, 1.0), "g").withColumnRenamed("value", "v").collect()}
     assert len(found) == 9 and found["0", 1.0] == 59_997.0**2
     assert computed() == 60_000
+
+
+@pytest.mark.parametrize("name", ("answers_text", "answers_text_dirty"))
+def test_answers_read_one_histogram(spark, small, name, monkeypatch):
+    plain, made = registry.histograms, []
+    monkeypatch.setattr(registry, "histograms", lambda *args: made.append(args) or plain(*args))
+    assert len(registry.queries()[name](spark, small).collect()) == 6
+    assert len(made) == 1
