@@ -288,7 +288,7 @@ def _changes() -> dict[str, Query]:
     made = {
         "bag_diff": lambda x: bag_diff(x.staged("lineitem"), injected(x)),
         "bag_diff_fixtures": lambda x: bag_diff(x.staged("part", True), x.staged("part")),
-        "layer_diff": lambda x: layer_diff(x.staging(), x.staging(True)),
+        "layer_diff": lambda x: layer_diff(*(x.stored_staging(x.stored(dirty)) for dirty in (False, True))),
         "ledger_states": lambda x: listed(run_states(x.ledger())),
         "ledger_latest": lambda x: newest_run(x.ledger()),
         "ledger_last_events": lambda x: last_events(x.ledger()),

@@ -2,6 +2,7 @@
 
 import pytest
 
+from quayside.operators import diff
 from quayside.operators.quantiles import exact_percentiles
 from quayside.plans import registry
 from quayside.plans.registry import Inputs
@@ -31,7 +32,7 @@ def counted_lines(made, monkeypatch):
     found = []
 
     def lines(spark, sf_dir, dirty=False, plain=fixtures._BUILDERS["lineitem"]):
-        df, n = made(plain(spark, sf_dir, dirty), "lines")
+        df, n = made(plain(spark, sf_dir, dirty), f"lines-{dirty}")
         found.append(n)
         return df
 
@@ -62,3 +63,14 @@ def test_answers_read_one_histogram(spark, small, name, monkeypatch):
     monkeypatch.setattr(registry, "histograms", lambda *args: made.append(args) or plain(*args))
     assert len(registry.queries()[name](spark, small).collect()) == 6
     assert len(made) == 1
+
+
+def test_a_layer_diff_makes_clean_lines_once(spark, small, counted_lines):
+    assert len(registry.queries()["layer_diff"](spark, small).collect()) == 11
+    assert counted_lines() == lines_of(spark, small)
+
+
+def test_equal_rows_of_two_tables_are_netted_apart(spark):
+    rows = [spark.range(n).selectExpr("id % 40 AS k") for n in (100, 130, 0)]
+    found = diff.layer_diff({"a": rows[0], "b": rows[1], "c": rows[2]}, {"a": rows[1], "b": rows[0], "c": rows[2]})
+    assert [tuple(r) for r in found.collect()] == [("a", 0, 30, False), ("b", 30, 0, False), ("c", 0, 0, True)]
