@@ -47,7 +47,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near copies: 5-word shingles with a Jaccard similarity of 0.8."""
+    """One document, the smallest doc_id, of each group of near copies: 5-word shingles with a Jaccard similarity of 0.8.
+
+    Candidates are found by SimHash and Golay keys, and by minimum hashes where fingerprints differ more.
+    """
     return without_near_copies(docs)
 
 

@@ -1,8 +1,9 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least a threshold.
 
-Candidates are texts that share one of ``BANDS`` keys, each made of ``ROWS`` minimum hashes of the shingles;
-at a similarity of 0.8 a pair shares none with a chance of 0.00035, and less above. Candidates are compared
-shingle by shingle. What is wanted are the groups that links connect, so of a key with many texts not every
+Candidates come from SimHash fingerprints of the shingles first: texts with equal ones, and those that meet
+under a Golay key with two or fewer differing bits. As texts at 0.8 mostly differ in some ten bits, candidates are
+also texts that share one of ``BANDS`` keys, each made of ``ROWS`` minimum hashes of the shingles; at a similarity
+of 0.8 a pair shares none with a chance of 0.00035, and less above. Candidates are compared shingle by shingle. What is wanted are the groups that links connect, so of a key with many texts not every
 pair is compared: texts that are linked already are one group, and only pairs between groups are open. In
 each round the groups of a key are put into a random order and neighbours are compared (a chain has no hot
 row, and long ones are cut into blocks), which joins dense groups quickly. When a round finds nothing new,
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import in_tasks, written
-from quayside.llm.golay_simhash import connected
+from quayside.llm.golay_simhash import connected, links, simhash
 
 BANDS, ROWS = 20, 5
 #: Keys with up to so many texts give all their pairs at once.
@@ -69,18 +70,21 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(size: int) -> Callable:
-    """``node`` stands for the set of shingles, ``n`` is its size, ``keys`` are its bands' keys."""
+    """``node`` stands for the set of shingles, ``n`` is its size, ``print`` its SimHash, ``keys`` are its bands' keys."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
-            for text in batch.column(2):
-                hashes = shingle_hashes(text.as_py(), size)
+            nodes, sizes, prints, keys = [], [], [], []
+            for value in batch.column(2):
+                text = value.as_py()
+                hashes = shingle_hashes(text, size)
+                prints.append(simhash(text, size))
                 nodes.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
                 sizes.append(len(hashes))
                 keys.append(band_keys(hashes).view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-            ], ["doc_id", "version", "node", "n", "keys"])
+                batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
+                pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())),
+            ], ["doc_id", "version", "node", "n", "print", "keys"])
 
     return made
 
@@ -133,10 +137,22 @@ def chained(members: DataFrame, number: int) -> DataFrame:
     return drawn.where("before is not null").select("a", "n_a", F.col("before.node").alias("b"), F.col("before.n").alias("n_b"))
 
 
-def roots_of_copies(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame | None:
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, n_a, b, n_b``: texts (``node, n, print``) of equal fingerprints in chains, and the smallest of two linked ones."""
+    equal = chained(nodes.select(F.col("print").alias("key"), "node", "n", F.col("node").alias("root")), 0)
+    firsts = written(nodes.groupBy("print").agg(F.min(F.struct("node", "n")).alias("first")), "golay-firsts")
+    found = links(firsts)
+    for side in ("a", "b"):
+        found = found.join(firsts.select(F.col("print").alias(side), F.col("first").alias(f"first_{side}")), side)
+    found = found.select(F.col("first_a.node").alias("a"), F.col("first_a.n").alias("n_a"), F.col("first_b.node").alias("b"), F.col("first_b.n").alias("n_b"))
+    return equal.union(found)
+
+
+def roots_of_copies(members: DataFrame, texts: DataFrame, size: int, similarity: float, known: DataFrame) -> DataFrame | None:
     """``member, root`` of every linked text; None without any link.
 
-    ``members`` are rows ``key, node, n, size`` (texts of the key), ``texts`` rows ``node, text``.
+    ``members`` are rows ``key, node, n, size`` (texts of the key), ``texts`` rows ``node, text``; ``known`` are pairs
+    ``a, n_a, b, n_b`` to be compared as well, in the first round.
     """
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(_ordered(pairs, similarity), "copy-candidates")
@@ -160,7 +176,7 @@ def roots_of_copies(members: DataFrame, texts: DataFrame, size: int, similarity:
         rows = written(labelled(large), "copy-members")
         pairs = chained(rows, number)
         if number == 0:
-            pairs = pairs.union(all_pairs(labelled(members.where(F.col("size") <= SMALL))))
+            pairs = pairs.union(all_pairs(labelled(members.where(F.col("size") <= SMALL)))).union(known)
         edges = verified(pairs)
         if edges.isEmpty():
             break
@@ -178,14 +194,17 @@ def groups_of_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     if their words are the same. Null and repeated ids make no difference; an empty table gives no rows.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    sets = written(in_tasks(plain, _signed(size), "doc_id long, version long, node long, n long, keys array<long>"), "shingle-sets")
+    sets = written(in_tasks(plain, _signed(size), "doc_id long, version long, node long, n long, print long, keys array<long>"), "shingle-sets")
     unique = sets.dropDuplicates(["node"]).select("node", "version", "n", F.explode("keys").alias("key"))
     unique = written(unique, "shingle-keys")
     sizes = unique.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(unique.join(sizes, "key"), "copy-keys")
-    meeting = members.select("node", "version").distinct()
+    nodes = written(sets.select("node", "version", "n", "print").dropDuplicates(["node"]), "copy-nodes")
+    known = written(simhash_pairs(nodes.select("node", "n", "print")), "golay-pairs")
+    near = nodes.join(known.select(F.col("a").alias("node")).union(known.select("b")), "node", "left_semi")
+    meeting = members.select("node", "version").union(near.select("node", "version")).distinct()
     texts = written(plain.join(meeting, "version").select("node", "text").dropDuplicates(["node"]), "copy-texts")
-    roots = roots_of_copies(members.select("key", "node", "n", "size"), texts, size, similarity)
+    roots = roots_of_copies(members.select("key", "node", "n", "size"), texts, size, similarity, known)
     if roots is None:
         return sets.select("doc_id", "version", F.col("node").alias("root"))
     joined = sets.join(roots, F.col("node") == F.col("member"), "left")

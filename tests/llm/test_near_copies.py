@@ -77,3 +77,31 @@ def test_rows_without_or_with_equal_ids(make):
     docs = [(None, long), (7, long), (7, other), (None, other + " end"), (None, "alone"), (None, "alone"), (8, "x y")]
     kept = sorted(((r.doc_id, r.text) for r in near_copies.without_near_copies(make(docs)).collect()), key=repr)
     assert kept == sorted([(7, long), (7, other), (None, "alone"), (8, "x y")], key=repr)
+
+
+def test_fingerprints_give_candidates(spark, make, monkeypatch):
+    """Every pair of at most two differing bits is reached by candidates from SimHash and Golay keys alone."""
+    rng = np.random.default_rng(8)
+    docs = []
+    for base in range(30):
+        words = [f"v{x}" for x in rng.integers(0, 900, 400)]
+        docs += [(10 * base + k, edited(rng, words, k)) for k in range(3)]
+    prints = np.array([golay_simhash.simhash(t, 5) for _, t in docs], np.uint64)
+    rows = [(i, 400, int(p)) for i, p in enumerate(prints.view(np.int64))]
+    found = near_copies.simhash_pairs(spark.createDataFrame(rows, "node long, n long, print long"))
+    reached = {frozenset((r.a, r.b)) for r in found.collect()}
+    close = {frozenset((i, j)) for i in range(90) for j in range(i) if (int(prints[i]) ^ int(prints[j])).bit_count() <= 2}
+    assert len(close) > 5 and reached <= close
+
+    def groups(pairs):
+        root = list(range(90))
+        for _ in range(90):
+            for a, b in map(tuple, pairs):
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert groups(reached) == groups(close)
+    used = []
+    monkeypatch.setattr(near_copies, "links", lambda *args: used.append(args) or golay_simhash.links(*args))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, make(docs), "").collect()} == survivors(docs)
+    assert len(used) == 1
