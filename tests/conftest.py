@@ -23,6 +23,7 @@ def spark(tmp_path_factory):
             "spark.driver.memory": "6g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.sql.ui.retainedExecutions": "100000",  # tests count in what the session has run; 1,000 are kept else
             "spark.sql.warehouse.dir": str(home / "warehouse"),
         },
     )
