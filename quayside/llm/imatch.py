@@ -27,6 +27,8 @@ RARE_LANES, ALL_LANES, SCALES = 4, 6, 24
 LANES = RARE_LANES + ALL_LANES
 _FEW = 4
 _LEAST_LONG = -(2**63)
+#: Documents of a stretch of the order, whose fingerprints one window compares; copies of a row that one array stands for.
+_BLOCK, _COPIES = 4096, 1000
 
 
 def _terms(text: Column) -> Column:
@@ -102,14 +104,16 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _in_order(keys: DataFrame) -> DataFrame:
-    """Unique ``sid, version, n`` with the keys before and after; the first follows the last.
+    """Unique ``sid, version`` with the keys before and after; the first follows the last. Other columns stay.
 
     Tasks of a range partitioning number their own rows; only each task's first and last key are ordered together.
+    ``part, block`` are stretches of up to ``_BLOCK`` rows of this order, and ``opens`` marks the first of each.
     """
     ranged = written(keys.repartitionByRange("sid", "version").withColumn("part", F.spark_partition_id()), "ordered-keys")
     own = Window.partitionBy("part").orderBy("sid", "version")
-    key = F.struct("sid", "version", "n")
+    key, place = F.struct("sid", "version", "n"), F.row_number().over(own) - 1
     inside = ranged.withColumn("before", F.lag(key).over(own)).withColumn("after", F.lead(key).over(own))
+    inside = inside.withColumn("block", F.floor(place / _BLOCK).cast("int")).withColumn("opens", place % _BLOCK == 0)
     ends = ranged.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))
     parts = Window.orderBy("part")
     every = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -117,7 +121,22 @@ def _in_order(keys: DataFrame) -> DataFrame:
         "part", F.coalesce(F.lag("last").over(parts), F.last("last").over(every)).alias("gone"),
         F.coalesce(F.lead("first").over(parts), F.first("first").over(every)).alias("next"))
     joined = inside.join(ends, "part")
-    return joined.select("sid", "version", "n", F.coalesce("before", "gone").alias("before"), F.coalesce("after", "next").alias("after"))
+    return joined.select(*keys.columns, "part", "block", "opens", F.coalesce("before", "gone").alias("before"), F.coalesce("after", "next").alias("after"))
+
+
+def _with_next(prints: DataFrame) -> DataFrame:
+    """``prints`` with the ``next_fingerprint``: one shuffle by blocks, of which only the first rows are sent to all."""
+    own = Window.partitionBy("part", "block").orderBy("sid", "version")
+    first = prints.where("opens").select(F.col("sid").alias("next_sid"), F.col("version").alias("next_version"), F.col("fingerprint").alias("first"))
+    led = prints.withColumn("led", F.lead("fingerprint").over(own)).join(F.broadcast(first), ["next_sid", "next_version"], "left")
+    return led.withColumn("next_fingerprint", F.coalesce("led", "first"))
+
+
+def _a_row_each(documents: DataFrame) -> DataFrame:
+    """A row for each of a document's ``copies``, with ``doc_id``: its sid in ``known`` of them, null in the others."""
+    blocks = documents.withColumn("at", F.explode(F.expr(f"sequence(0L, copies - 1, {_COPIES}L)")))
+    each = blocks.withColumn("copy", F.explode(F.expr(f"sequence(at + 1, least(copies, at + {_COPIES}))")))
+    return each.withColumn("doc_id", F.when(F.col("copy") <= F.col("known"), F.col("sid")))
 
 
 def imatch(docs: DataFrame, high: float = 0.1) -> DataFrame:
@@ -133,7 +152,8 @@ def imatch(docs: DataFrame, high: float = 0.1) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     common = F.broadcast(common_terms(plain, high))
     keyed = plain.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("sid"), F.xxhash64("text").alias("version"), "text")
-    keys = keyed.groupBy("sid", "version").agg(F.max(F.char_length("text")).cast("long").alias("n"))
+    keys = keyed.groupBy("sid", "version").agg(
+        F.max(F.char_length("text")).cast("long").alias("n"), F.count("*").alias("copies"), F.count("doc_id").alias("known"))
     order = written(_in_order(keys), "document-order")
     texts = keyed.select("sid", "version", "text").join(order, ["sid", "version"])
     given = texts.select(
@@ -141,25 +161,23 @@ def imatch(docs: DataFrame, high: float = 0.1) -> DataFrame:
         F.expr("substring(text, 1, cast(before.n div 4 as int))").alias("prefix"),
     ).groupBy("to_sid", "to_version").agg(F.min("prefix").alias("prefix"))
     both = texts.join(given, (F.col("sid") == F.col("to_sid")) & (F.col("version") == F.col("to_version")))
-    both = both.select("sid", "version", "n", "text", F.expr("concat(substring(text, 1, cast(n - n div 4 as int)), prefix)").alias("edited"))
+    place = ("copies", "known", "part", "block", "opens", "next_sid", "next_version")
+    both = both.select("*", F.col("after.sid").alias("next_sid"), F.col("after.version").alias("next_version"))
+    both = both.select("sid", "version", "n", *place, "text", F.expr("concat(substring(text, 1, cast(n - n div 4 as int)), prefix)").alias("edited"))
     both = both.dropDuplicates(["sid", "version"])
     # both texts of a document stay in its row, so fingerprints are not shuffled to meet
     sides = {"text": "fingerprint", "edited": "edited_fingerprint"}
-    keys = ("sid", "version", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    named = ("sid", "version", *place, "n_chars", "edited_sha256")
     made = both.crossJoin(common).select(
-        *keys, "common", *[F.xxhash64(t).alias(f"whole_{t}") for t in sides], *[_terms(F.col(t)).alias(f"all_{t}") for t in sides])
+        *named[:-2], F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "common",
+        *[F.xxhash64(t).alias(f"whole_{t}") for t in sides], *[_terms(F.col(t)).alias(f"all_{t}") for t in sides])
     made = made.select("*", *[F.array_except(f"all_{t}", "common").alias(f"rare_{t}") for t in sides])
     lanes = [(t, i, f"{'rare' if i < RARE_LANES else 'all'}_{t}") for t in sides for i in range(LANES)]
-    named = ("sid", "version", "n_chars", "edited_sha256", *[f"whole_{t}" for t in sides])
-    made = made.select(*named, *[_whole_set(F.col(f"rare_{t}")).alias(f"every_{t}") for t in sides], *[_lowest(F.col(c), i).alias(f"lane_{t}_{i}") for t, i, c in lanes])
+    wholes = [f"whole_{t}" for t in sides]
+    made = made.select(*named, *wholes, *[_whole_set(F.col(f"rare_{t}")).alias(f"every_{t}") for t in sides], *[_lowest(F.col(c), i).alias(f"lane_{t}_{i}") for t, i, c in lanes])
     tokens = {t: F.concat(f"every_{t}", F.lit("."), *[_lane(F.col(f"lane_{t}_{i}")) for i in range(LANES)]) for t in sides}
-    made = made.select(*named, *[F.rtrim(tokens[t], F.lit(".")).alias(f"tokens_{t}") for t in sides])
-    made = made.select(*named[:4], *[_or_text(F.col(f"tokens_{t}"), F.col(f"whole_{t}")).alias(name) for t, name in sides.items()])
-    prints = written(made.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))), "imatch")
-    after = order.select("sid", "version", F.col("after.sid").alias("next_sid"), F.col("after.version").alias("next_version"))
-    following = prints.select(F.col("sid").alias("next_sid"), F.col("version").alias("next_version"), F.col("fingerprint").alias("next_fingerprint"))
-    whole = prints.join(after, ["sid", "version"]).join(following, ["next_sid", "next_version"])
-    whole = whole.select(
-        "sid", "version", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
-    return keyed.select("doc_id", "sid", "version").join(whole, ["sid", "version"]).drop("sid", "version")
+    made = made.select(*named, *wholes, *[F.rtrim(tokens[t], F.lit(".")).alias(f"tokens_{t}") for t in sides])
+    made = made.select(*named, *[_or_text(F.col(f"tokens_{t}"), F.col(f"whole_{t}")).alias(name) for t, name in sides.items()])
+    prints = written(made.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))), "imatch", "zstd")
+    whole = _with_next(prints).withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint")))
+    return _a_row_each(whole).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
