@@ -25,9 +25,11 @@ from quayside.llm.unit_ids import UnitIds
 
 #: Words of up to so many bytes take one merge a round; longer ones all places of their lowest pair at once.
 SHORT = 64
-_WORDS = 50_000
-_IDS = 2_000_000
-_BYTES = 4 << 20
+_WORDS = 10_000
+_IDS = 500_000
+_BYTES = 1 << 20
+#: Rows of an Arrow batch whose texts are taken out of it at a time.
+_ROWS = 200
 
 # A row's key is its word's number above 32 bits of its position, so one order over one number holds all words.
 _ONE_MERGE = """
@@ -176,6 +178,12 @@ def _bpe(path: str, pattern: str, keep: int) -> Kept:
     return Kept(lambda: ByteBpe(path, pattern, keep))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def _coder(path: str, pattern: str, keep: int) -> Callable:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, ids, texts, size = _bpe(path, pattern, keep), [], [], 0
@@ -188,8 +196,8 @@ def _coder(path: str, pattern: str, keep: int) -> Callable:
                 pa.array(ids, pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array(decoded, pa.binary()),
             ], ["doc_id", "ids", "decoded"])
 
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in _parts(batches):
+            for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(text or "")
                 size += len(texts[-1])
@@ -208,7 +216,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep: int = 600_
 
     A null text is an empty one, and an empty text has no ids. Special tokens in a text are ordinary text.
     Rows without doc_id and repeated rows return as they are. Other columns are not read. An empty table
-    gives no rows. There is no shuffle; a task works on a few megabytes of text at a time. A worker
+    gives no rows. There is no shuffle; a task works on a megabyte of text, or one longer text, at a time. A worker
     remembers the ids of up to ``keep`` units and pieces of text: more is faster and takes more memory.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
