@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +167,7 @@ class _Library:
         for at in range(0, len(units), 20_000):
             part = units[at: at + 20_000]
             texts = ["".join(part[i: i + 100]) for i in range(0, len(part), 100)]
-            ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
             ends, reached = np.cumsum([len(u.encode()) for u in part]), np.cumsum(self.bytes_of[ids])
             cuts = np.searchsorted(reached, ends) + 1
             if not np.array_equal(reached[cuts - 1], ends):

@@ -2,6 +2,8 @@
 
 The splitting pattern of byte-level tokenizers starts a new piece in any case at a space that a character
 follows which is no white space. Texts are cut there; what stands between two cuts always has the same ids.
+
+Arrow cuts a block of texts and numbers its distinct units, so only these become Python strings and are looked up.
 """
 
 from __future__ import annotations
@@ -11,13 +13,35 @@ from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SAFE_CUT = re.compile(r" (?=\S)")
+_UNSAFE = re.compile(r" (?!\S)")
 
 #: Takes unit texts and says their ids, one after the other, and how many each has.
 Learn = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
+def cut_safely(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts, one after the other, and how many each text has.
+
+    A text in which every space is a safe cut is split at its spaces, which Arrow does for many texts at once.
+    """
+    odd = np.fromiter((_UNSAFE.search(t) is not None for t in texts), bool, len(texts))
+    plain = pc.split_pattern(pa.array([t for t, o in zip(texts, odd.tolist(), strict=True) if not o], pa.large_string()), " ")
+    units, counts = plain.flatten(), np.zeros(len(texts), np.int64)
+    counts[~odd] = pc.list_value_length(plain).to_numpy()
+    if not odd.any():
+        return units, counts
+    cut = [SAFE_CUT.split(texts[i]) for i in np.flatnonzero(odd)]
+    counts[odd] = list(map(len, cut))
+    units = pa.concat_arrays([units, pa.array(chain.from_iterable(cut), pa.large_string())])
+    starts, order = np.zeros(len(texts), np.int64), np.argsort(odd, kind="stable")
+    starts[order] = np.cumsum(counts[order]) - counts[order]
+    return units.take(pa.array(np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(len(units)))), counts
+
+
 class _Places(dict):
     """Numbers units in the order in which they are met."""
 
@@ -70,15 +94,25 @@ class UnitIds:
         """The ids of all texts, one after the other, and how many each text has."""
         if len(self.places) > self.most:
             self._forget()
-        cut = [SAFE_CUT.split(t) for t in texts]
-        for units in cut:
-            units[0] = (units[0],)
-            units.append(None)
-        counts = np.array([len(units) for units in cut], np.int64)
-        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(cut)), np.int64, counts.sum())
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        units, counts = cut_safely(texts)
+        counts += 1  # the end
+        ends = np.cumsum(counts) - 1
+        starts = ends - counts + 1
+        at, inner = np.empty(counts.sum(), np.int64), np.ones(counts.sum(), bool)
+        inner[starts] = inner[ends] = False
+        firsts = starts - np.arange(len(texts))
+        at[starts] = [self.places[unit,] for unit in units.take(pa.array(firsts)).to_pylist()]
+        at[ends] = self.places[None]
+        later = np.ones(len(units), bool)
+        later[firsts] = False
+        coded = units.filter(pa.array(later)).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        at[inner] = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         if self.places.fresh:
             self._learn()
         sizes = self.sizes[at]
         before = np.cumsum(sizes) - sizes
         ids = self.ids[np.repeat(self.starts[at] - before, sizes) + np.arange(sizes.sum())]
-        return ids, np.add.reduceat(sizes, np.cumsum(counts) - counts) if texts else np.zeros(0, np.int64)
+        return ids, np.add.reduceat(sizes, starts)
