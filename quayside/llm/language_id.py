@@ -6,15 +6,15 @@ of letters and letter trigrams of the whole text, in lower case, hashed into a f
 roots taken, brought to length one. Only the text is read for a prediction.
 
 The machines are fitted on a bounded sample: at most ``most_rows`` labelled documents altogether, and the
-same number from each language, drawn by a hash of their ids. Their features (``CELLS`` numbers each) are all
-that reaches the driver.
+same number from each language, drawn by a hash of their ids. Their features (up to ``CELLS`` numbers each, without zeros) are all
+that reaches the driver, where they are laid out once, in one matrix that all machines read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, cmp_to_key
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +41,8 @@ FAMILIES = {
 }
 
 _CHARS = 1 << 20
+#: Rows that a machine's step widens at once.
+_ROWS = 128
 
 
 @cache
@@ -71,16 +73,22 @@ def features(text: str | None) -> np.ndarray | None:
     return (root / np.linalg.norm(root)).astype(np.float32)
 
 
-def fit_machine(x: np.ndarray, positive: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss, both classes weighted alike."""
+def fit_machine(rows: np.ndarray, positive: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
+    """Weights and bias of a linear machine with squared hinge loss, both classes weighted alike.
+
+    ``rows`` are features with a one last. Steps in double precision widen ``_ROWS`` of them at a time, never all.
+    """
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
     share = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
-    rows = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w = ahead = np.zeros(rows.shape[1], np.float32)
     step, momentum = 1 / (4 + penalty), 1.0
     for _ in range(rounds):  # accelerated gradient steps
-        slack = np.maximum(0, 1 - y * (rows @ ahead))
-        new = ahead - step * (penalty * ahead - 2 * rows.T @ (share * y * slack))
+        slope, most = np.zeros(rows.shape[1], ahead.dtype), len(rows) if ahead.dtype == rows.dtype else _ROWS
+        for at in range(0, len(rows), most):
+            part, here = rows[at: at + most].astype(ahead.dtype, copy=False), slice(at, at + most)
+            slack = np.maximum(0, 1 - y[here] * (part @ ahead))
+            slope += part.T @ (2 * (share[here] * y[here] * slack))
+        new = ahead - step * (penalty * ahead - slope)
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead, w, momentum = new + (momentum - 1) / following * (new - w), new, following
     return w.astype(np.float32)
@@ -99,16 +107,17 @@ class Model:
     of_pair: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, langs: list[str], x: np.ndarray) -> Model:
+    def fit(cls, langs: list[str], rows: np.ndarray) -> Model:
+        """From the languages of ``rows``: features with a one last."""
         known = {lang: family for family, members in FAMILIES.items() for lang in members}
         names = np.array([known.get(lang, lang) for lang in langs])
         labels = np.array(langs)
         families = [sorted({str(x) for x in labels[names == f]}) for f in sorted(set(names))]
-        machines = [fit_machine(x, names == f) for f in sorted(set(names))] if len(families) > 1 else [np.append(np.zeros(CELLS), 1)] * len(families)
+        machines = [fit_machine(rows, names == f) for f in sorted(set(names))] if len(families) > 1 else [np.append(np.zeros(CELLS), 1)] * len(families)
         pairs = {}
         for a, b in (pair for members in families for pair in combinations(members, 2)):
             both = (labels == a) | (labels == b)
-            pairs[a, b] = fit_machine(x[both], labels[both] == a)
+            pairs[a, b] = fit_machine(rows[both], labels[both] == a)
         return cls(families, np.array(machines, np.float32).reshape(-1, CELLS + 1), pairs)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -135,10 +144,37 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features as the cells that are not zero and their values: a fraction of all cells reaches the driver."""
     for batch in batches:
-        rows = [(lang, x.tobytes()) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                if (x := features(t)) is not None]
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "x": pa.array([r[1] for r in rows], pa.binary())})
+        rows = [(lang, at.astype("<u2").tobytes(), x[at].astype("<f4").tobytes())
+                for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                if (x := features(t)) is not None for at in (np.flatnonzero(x),)]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()),
+        ], ["lang", "cells", "x"])
+
+
+def _filled(row: tuple, into: np.ndarray) -> np.ndarray:
+    into[np.frombuffer(row[1], "<u2")] = np.frombuffer(row[2], "<f4")
+    return into
+
+
+def _by_features(a: tuple, b: tuple) -> int:
+    """Compares rows of one language by the bytes of all their cells, which are made for one comparison at a time."""
+    left, right = (_filled(r, np.zeros(CELLS, "<f4")).tobytes() for r in (a, b))
+    return (left > right) - (left < right)
+
+
+def _matrix(found: list[tuple]) -> tuple[list[str], np.ndarray]:
+    """Languages and rows for :meth:`Model.fit`, in an order that does not depend on that of ``found``, which is emptied."""
+    found.sort(key=cmp_to_key(_by_features))
+    found.sort(key=lambda r: r[0])
+    langs, rows = [r[0] for r in found], np.zeros((len(found), CELLS + 1), np.float32)
+    rows[:, -1] = 1
+    for i, row in enumerate(found):
+        _filled(row, rows[i])
+    found.clear()
+    return langs, rows
 
 
 def fit_model(docs: DataFrame, most_rows: int = 2000, most_langs: int = 200) -> Model:
@@ -153,11 +189,10 @@ def fit_model(docs: DataFrame, most_rows: int = 2000, most_langs: int = 200) ->
     drawn = labelled.where(F.pmod("draw", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
     first = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
     drawn = drawn.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each).select("lang", "text")
-    rows = in_tasks(drawn, _featured, "lang string, x binary").collect()
-    if not rows:
+    found = in_tasks(drawn, _featured, "lang string, cells binary, x binary").collect()
+    if not found:
         return Model()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    return Model.fit([r["lang"] for r in rows], np.array([np.frombuffer(r["x"], np.float32) for r in rows]))
+    return Model.fit(*_matrix(found))
 
 
 def _predictor(model: Model, text_column: str) -> Callable:
