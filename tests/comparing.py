@@ -45,3 +45,13 @@ def mismatch(df, con, sql: str) -> str | None:
         if ours != theirs:
             return f"{ours} and {theirs}"
     return None
+
+
+def executions_since(spark, last: int | None = None) -> list:
+    """What the session has run after the execution ``last``; by number, as the list forgets its oldest ones."""
+    listed = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [e for e in map(listed.apply, range(listed.size())) if last is None or e.executionId() > last]
+
+
+def last_execution(spark) -> int:
+    return max((e.executionId() for e in executions_since(spark)), default=-1)

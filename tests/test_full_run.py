@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from comparing import executions_since, last_execution
 from pyspark.sql import functions as F
 
 from quayside.config import DEFAULT_PREFIX, SOURCE_TABLES, Layout
@@ -221,9 +222,8 @@ def test_the_audit_log_is_safe_to_repeat_and_compact(spark, done, source):
 
 
 def scans(spark, since, table):
-    """Scans of a table that read any of its columns, in all queries after the first ``since``."""
-    listed = spark._jsparkSession.sharedState().statusStore().executionsList()
-    plans = [listed.apply(i).physicalPlanDescription() for i in range(since, listed.size())]
+    """Scans of a table that read any of its columns, in all queries after the execution ``since``."""
+    plans = [e.physicalPlanDescription() for e in executions_since(spark, since)]
     found = [part for plan in plans for part in re.split(r"\n\n\n", plan) if re.search(rf"\) Scan parquet {table}\s", part)]
     return sum("ReadSchema: struct<>" not in part for part in found)
 
@@ -233,12 +233,11 @@ def test_publication_reads_each_table_once(spark, source):
     run = full_run.start(spark, store, source)
     for step in (full_run.ingest, full_run.stage, full_run.validate):
         step(run)
-    status = spark._jsparkSession.sharedState().statusStore()
-    before = status.executionsList().size()
+    before = last_execution(spark)
     full_run.publish(run)
     assert {t: scans(spark, before, re.escape(store.name("staging", t))) for t in SILVER} == dict.fromkeys(SILVER, 1)
     assert not store.observed and set(run.rows) == {"source", "bronze", "staging"}
-    before = status.executionsList().size()
+    before = last_execution(spark)
     full_run.build_gold(run)
     for fact in FACTS:
         pending = re.escape(store.name("gold", fact)) + "__[0-9a-f]+"

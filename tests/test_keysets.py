@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from comparing import executions_since, last_execution
 from pyspark.sql import functions as F
 
 from quayside.contracts import SILVER
@@ -52,11 +53,10 @@ def test_null_and_extreme_keys_are_suspect(spark):
 def shuffled(spark, action) -> int:
     """Bytes that the stages of an action write for a shuffle."""
     store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsList().size()
+    before = last_execution(spark)
     action()
     found = 0
-    for i in range(before, store.executionsList().size()):
-        execution = store.executionsList().apply(i)
+    for execution in executions_since(spark, before):
         values = store.executionMetrics(execution.executionId())
         metrics = execution.metrics()
         for k in range(metrics.size()):
