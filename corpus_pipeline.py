@@ -61,7 +61,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers) and the decoded ``text``."""
-    coded = encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=150_000)
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode_and_decode(docs, ranks, public_tokenizers.PATTERN, keep=150_000, sparing=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 

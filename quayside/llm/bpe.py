@@ -20,14 +20,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import Kept, in_tasks
+from quayside.llm.common import Kept, give_back, in_tasks
 from quayside.llm.unit_ids import UnitIds
 
 #: Words of up to so many bytes take one merge a round; longer ones all places of their lowest pair at once.
 SHORT = 64
 _WORDS = 10_000
-_IDS = 500_000
+_IDS = 100_000
 _BYTES = 1 << 20
+#: Sparing tasks take so much text at a time.
+_SPARING = 400_000
 #: Rows of an Arrow batch whose texts are taken out of it at a time.
 _ROWS = 200
 
@@ -184,14 +186,20 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, _ROWS)
 
 
-def _coder(path: str, pattern: str, keep: int) -> Callable:
+def _coder(path: str, pattern: str, keep: int, sparing: bool = False) -> Callable:
+    most = _SPARING if sparing else _BYTES
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, ids, texts, size = _bpe(path, pattern, keep), [], [], 0
 
         def coded() -> pa.RecordBatch:
             with kept as bpe:
                 tokens = bpe.encode(texts)
+                if sparing:
+                    give_back()
                 decoded = bpe.decode(tokens)
+            if sparing:
+                give_back()
             return pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array(decoded, pa.binary()),
             ], ["doc_id", "ids", "decoded"])
@@ -201,7 +209,7 @@ def _coder(path: str, pattern: str, keep: int) -> Callable:
                 ids.append(i)
                 texts.append(text or "")
                 size += len(texts[-1])
-                if size >= _BYTES:
+                if size >= most:
                     yield coded()
                     ids, texts, size = [], [], 0
         if ids:
@@ -210,14 +218,15 @@ def _coder(path: str, pattern: str, keep: int) -> Callable:
     return code
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep: int = 600_000) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep: int = 600_000, sparing: bool = False) -> DataFrame:
     """``doc_id, ids, decoded`` of every document: its ids as little-endian unsigned 32-bit integers, and the
     bytes that these ids decode to.
 
     A null text is an empty one, and an empty text has no ids. Special tokens in a text are ordinary text.
     Rows without doc_id and repeated rows return as they are. Other columns are not read. An empty table
     gives no rows. There is no shuffle; a task works on a megabyte of text, or one longer text, at a time. A worker
-    remembers the ids of up to ``keep`` units and pieces of text: more is faster and takes more memory.
+    remembers the ids of up to ``keep`` units and pieces of text: more is faster and takes more memory. A ``sparing``
+    task works on less text at a time and returns unused memory after each block, for more CPU time.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_tasks(plain, _coder(path, pattern, keep), "doc_id long, ids binary, decoded binary")
+    return in_tasks(plain, _coder(path, pattern, keep, sparing), "doc_id long, ids binary, decoded binary")

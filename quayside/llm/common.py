@@ -47,18 +47,35 @@ def written(df: DataFrame, purpose: str, compression: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns what Arrow's pool and the C library hold without need to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library can be asked to shrink
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _shipped: set[str] = set()
 
 
 def in_tasks(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow``, with this package sent along once per application so that workers can import it."""
+    """``mapInArrow``, with this package sent along once per application so that workers can import it.
+
+    Workers outlive their tasks, so each task ends by giving back memory that the next stage may need.
+    """
     context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[2]
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='run-')}/quayside", "zip", root, "quayside")
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
-    return df.mapInArrow(function, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 class Kept:
@@ -90,8 +107,7 @@ class Kept:
         if self.lock.acquire(blocking=False):  # in use again otherwise
             self.held = None
             gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # only the GNU C library can be asked to shrink
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
             self.lock.release()
 
 
